@@ -1,9 +1,17 @@
 """Queries of the corpus operators."""
 
+from tallyplan.llm.language_id import op9_language_id
+from tallyplan.llm.packing import op6_packing
+from tallyplan.llm.quality_classifier import op10_quality_classifier
 from tallyplan.llm.quality_rules import op3_quality_rules
+from tallyplan.llm.simhash import op5_simhash
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op5_simhash": op5_simhash,
+    "op6_packing": op6_packing,
+    "op9_language_id": op9_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}

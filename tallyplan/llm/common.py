@@ -192,3 +192,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     stars = links.groupBy("a").agg(F.min("b").alias("component"))
     return stars.select(F.col("a").alias("node"), "component").unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _summing(size: int):
+    def run(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, blob in zip(batch.column("slice").to_pylist(), batch.column("part"), strict=True):
+                part = np.frombuffer(pa.decompress(blob.as_py(), size * 4, "zstd", asbytes=True), np.float32)
+                totals[key] = totals[key] + part if key in totals else part.astype(np.float64)
+        keys = sorted(totals)
+        blobs = [pa.compress(totals.pop(k).astype(np.float32).tobytes(), "zstd", asbytes=True) for k in keys]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "part"])
+
+    return run
+
+
+def packed_slices(values: np.ndarray, slices: int) -> pa.RecordBatch:
+    """A table of numbers as rows (slice, part) for summed_slices."""
+    blobs = [pa.compress(part.tobytes(), "zstd", asbytes=True) for part in values.astype(np.float32).reshape(slices, -1)]
+    return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "part"])
+
+
+def summed_slices(parts: DataFrame, slices: int, size: int) -> np.ndarray:
+    """The sum of the partitions' tables ``parts(slice, part)``, as (slices, size) numbers.
+
+    Slices are added up as they stream by, first in 32 shares of the partitions, then all; the driver gets ``slices`` rows.
+    """
+    kind = "slice int, part binary"
+    shares = parts.withColumn("share", F.spark_partition_id() % 32).repartition("slice", "share").select("slice", "part").mapInArrow(_summing(size), kind)
+    table = np.zeros((slices, size), np.float32)
+    for row in shares.repartition("slice").mapInArrow(_summing(size), kind).collect():
+        table[row["slice"]] = np.frombuffer(pa.decompress(bytes(row["part"]), size * 4, "zstd", asbytes=True), np.float32)
+    return table
