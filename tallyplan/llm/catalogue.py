@@ -1,17 +1,31 @@
 """Queries of the corpus operators."""
 
+from tallyplan.llm.decontaminate import op2_decontaminate
+from tallyplan.llm.html_text import op8_html_text
 from tallyplan.llm.language_id import op9_language_id
 from tallyplan.llm.packing import op6_packing
+from tallyplan.llm.pii import op7_pii
 from tallyplan.llm.quality_classifier import op10_quality_classifier
 from tallyplan.llm.quality_rules import op3_quality_rules
 from tallyplan.llm.simhash import op5_simhash
 
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
+    "op8_html_text": op8_html_text,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
