@@ -8,6 +8,8 @@ from tallyplan.llm.pii import op7_pii
 from tallyplan.llm.quality_classifier import op10_quality_classifier
 from tallyplan.llm.quality_rules import op3_quality_rules
 from tallyplan.llm.simhash import op5_simhash
+from tallyplan.llm.suffix_array import op4_suffix_array
+from tallyplan.llm.suffix_tree import op1_suffix_tree
 
 
 def pipeline(spark, sf_dir):
@@ -17,8 +19,10 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
+    "op4_suffix_array": op4_suffix_array,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
