@@ -1,4 +1,4 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tallyplan.plans import evaluation, ranking, raster, spatial, store, takeoff, text, windows  # noqa: F401  they register
+from tallyplan.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
