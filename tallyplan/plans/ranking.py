@@ -9,7 +9,10 @@ from tallyplan.operators import takeoff as T
 from tallyplan.operators.cascade import cascade
 from tallyplan.plans.base import hits, query, with_hits
 
-ORDER = [F.desc("match_pct"), F.desc("verif_pct"), F.col("y"), F.col("x"), F.col("hit_id")]
+def order():
+    return [F.desc("match_pct"), F.desc("verif_pct"), F.col("y"), F.col("x"), F.col("hit_id")]
+
+
 _ORDER = "match_pct DESC, verif_pct DESC, y, x, hit_id"
 
 
@@ -33,13 +36,13 @@ def dedupe_final_hits(spark, d):
 )
 def raw_budget_topk(spark, d):
     """Limits per variant and template, reserved rows, and a soft limit per plan."""
-    return R.budget(hits(spark, d), ["plan_id", "template_id", "line"], ["plan_id", "template_id"], ORDER, 6, 12, 4, 200, ["plan_id"]).select("hit_id")
+    return R.budget(hits(spark, d), ["plan_id", "template_id", "line"], ["plan_id", "template_id"], order(), 6, 12, 4, 200, ["plan_id"]).select("hit_id")
 
 
 @query("peaks_per_variant", with_hits(f"SELECT hit_id FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, template_id ORDER BY {_ORDER}) AS r FROM hits) WHERE r <= 3 OR verif_pct >= 88"))
 def peaks_per_variant(spark, d):
     """The three best of each variant, and every hit whose geometry is proved."""
-    return R.top_per_group(hits(spark, d), ["plan_id", "template_id"], ORDER, 3, F.col("verif_pct") >= 88).select("hit_id")
+    return R.top_per_group(hits(spark, d), ["plan_id", "template_id"], order(), 3, F.col("verif_pct") >= 88).select("hit_id")
 
 
 @query(
@@ -50,7 +53,7 @@ def peaks_per_variant(spark, d):
 def recovery_quota(spark, d):
     """Four per region of a variant, ten per variant."""
     rows = hits(spark, d).withColumn("region", F.floor(F.col("y") / 300))
-    return R.running_quota(rows, ["region"], ["plan_id", "template_id"], ORDER, 4, 10).select("hit_id")
+    return R.running_quota(rows, ["region"], ["plan_id", "template_id"], order(), 4, 10).select("hit_id")
 
 
 @query(
@@ -60,9 +63,9 @@ def recovery_quota(spark, d):
 )
 def cell_fair_topk(spark, d):
     """Two of each cell come first, then the best of the rest, sixty per plan."""
-    cell = Window.partitionBy("plan_id", F.floor(F.col("x") / 200), F.floor(F.col("y") / 200)).orderBy(*ORDER)
+    cell = Window.partitionBy("plan_id", F.floor(F.col("x") / 200), F.floor(F.col("y") / 200)).orderBy(*order())
     ranked = hits(spark, d).withColumn("late", (F.row_number().over(cell) > 2).cast("int"))
-    return R.top_per_group(ranked, ["plan_id"], [F.col("late"), *ORDER], 60).select("hit_id")
+    return R.top_per_group(ranked, ["plan_id"], [F.col("late"), *order()], 60).select("hit_id")
 
 
 @query(
@@ -84,7 +87,7 @@ def supplement_cells(spark, d):
     """One hit for each cell that no good hit covers."""
     placed = hits(spark, d).withColumn("cx", F.floor(F.col("x") / 100)).withColumn("cy", F.floor(F.col("y") / 100))
     covered = placed.where("verif_pct >= 64").select("plan_id", "cx", "cy").distinct()
-    return R.top_per_group(placed.join(covered, ["plan_id", "cx", "cy"], "left_anti"), ["plan_id", "cx", "cy"], ORDER, 1).select("hit_id")
+    return R.top_per_group(placed.join(covered, ["plan_id", "cx", "cy"], "left_anti"), ["plan_id", "cx", "cy"], order(), 1).select("hit_id")
 
 
 @query("reading_order", with_hits("SELECT hit_id, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY y, x, verif_pct DESC, hit_id) AS BIGINT) AS place FROM hits"))
@@ -165,7 +168,7 @@ _STAGES = f"s AS (SELECT *, {_REASON} AS reason, row_number() OVER (PARTITION BY
 )
 def stage_funnel(spark, d):
     """Hits of each template after each stage, and the share of the validated that is final."""
-    rows = validated(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("plan_id", "template_id").orderBy(*ORDER)))
+    rows = validated(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("plan_id", "template_id").orderBy(*order())))
     stages = F.filter(F.array(F.lit("raw"), F.when(F.col("r") <= 8, "budgeted"), F.when((F.col("r") <= 8) & F.col("reason").isNull(), "validated"), F.when((F.col("r") <= 3) & F.col("reason").isNull(), "final")), lambda s: s.isNotNull())
     wide = rows.select("template_id", F.explode(stages).alias("stage")).groupBy("template_id").pivot("stage", ["raw", "budgeted", "validated", "final"]).count().na.fill(0)
     return wide.withColumn("yield", F.round(F.col("final") / F.greatest(F.lit(1), "validated"), 6))
@@ -176,7 +179,7 @@ def stage_funnel(spark, d):
     with_hits(f", {_STAGES} SELECT count(*) AS raw, count(*) FILTER (WHERE r <= 8) AS budgeted, count(*) FILTER (WHERE r > 8) AS removed_by_budget, count(*) FILTER (WHERE r <= 8 AND reason IS NOT NULL) AS removed_by_rules FROM s"),
 )
 def funnel_totals(spark, d):
-    rows = validated(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("plan_id", "template_id").orderBy(*ORDER)))
+    rows = validated(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("plan_id", "template_id").orderBy(*order())))
     return rows.agg(F.count("*").alias("raw"), F.count_if(F.col("r") <= 8).alias("budgeted"), F.count_if(F.col("r") > 8).alias("removed_by_budget"), F.count_if((F.col("r") <= 8) & F.col("reason").isNotNull()).alias("removed_by_rules"))
 
 
@@ -211,7 +214,7 @@ def strategy_profile(spark, d):
 
 @query("stage_scale_histogram", with_hits(f", {_STAGES} SELECT line AS scale, count(*) AS raw, count(*) FILTER (WHERE r <= 8) AS candidates, count(*) FILTER (WHERE r <= 8 AND reason IS NULL) AS accepted FROM s GROUP BY line"))
 def stage_scale_histogram(spark, d):
-    rows = validated(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("plan_id", "template_id").orderBy(*ORDER)))
+    rows = validated(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("plan_id", "template_id").orderBy(*order())))
     return rows.groupBy(F.col("line").alias("scale")).agg(F.count("*").alias("raw"), F.count_if(F.col("r") <= 8).alias("candidates"), F.count_if((F.col("r") <= 8) & F.col("reason").isNull()).alias("accepted"))
 
 
@@ -221,7 +224,7 @@ def stage_scale_histogram(spark, d):
 )
 def set_ops_trace(spark, d):
     """Suppressed and restored hits by identity, and the unions of two streams."""
-    rows = validated(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("plan_id", "template_id").orderBy(*ORDER)))
+    rows = validated(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("plan_id", "template_id").orderBy(*order())))
     a, b = rows.where("r <= 8").select("hit_id"), rows.where("reason is null").select("hit_id")
     kinds = {"suppressed": a.join(b, "hit_id", "left_anti"), "restored": b.join(a, "hit_id", "left_anti"), "either": a.union(b).distinct(), "streams": a.unionByName(b)}
     out = None
