@@ -24,7 +24,7 @@ BUCKET_ANCHORS, BUCKET_TEXT = 600_000, 6 << 20
 FLUSH_ANCHORS, FLUSH_BYTES = 3_000_000, 24 << 20
 _U = np.uint64
 _PLACE_BITS = 24
-_NONE = np.iinfo(np.int64).min
+_NONE = np.iinfo(np.int64).max  # stands for a null doc_id: never smaller than another
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -376,7 +376,7 @@ def _digest(kind, across: bool, finish: Callable):
                 size = np.diff(np.concatenate([cut, [len(order)]]))
                 if across:
                     least = np.repeat(np.minimum.reduceat(docs[order], cut), size)
-                    gone = order[(docs[order] > least) & (least != _NONE)]
+                    gone = order[(docs[order] > least) & (docs[order] != _NONE)]
                 else:
                     gone = order[np.repeat(size > 1, size)]
                 np.add.at(marks, runs.first[gone], 1)

@@ -97,7 +97,7 @@ def judge(group: P.Group) -> np.ndarray:
     starts = np.cumsum(group.windows) - group.windows
     window = C.ragged(starts[group.distinct], group.count)
     own = np.repeat(group.docs, group.count)
-    return (least[window] < own) & (least[window] != P._NONE)
+    return (least[window] < own) & (own != P._NONE)
 
 
 def _finish(ids, buf, offsets, units, gone) -> pa.RecordBatch:
