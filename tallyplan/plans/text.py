@@ -84,10 +84,15 @@ def token_families(spark, d):
     return table(spark, d, "part").groupBy(X.token_family(F.col("p_brand")).alias("family")).agg(F.count("*").alias("n"))
 
 
-@query("column_names", "SELECT CAST(p_partkey AS BIGINT) AS k, concat(CASE WHEN (p_partkey - 1) // 26 - 1 >= 26 THEN chr(CAST(65 + ((p_partkey - 1) // 26 - 1) // 26 - 1 AS INTEGER)) ELSE '' END, CASE WHEN p_partkey > 26 THEN chr(CAST(65 + ((p_partkey - 1) // 26 - 1) % 26 AS INTEGER)) ELSE '' END, chr(CAST(65 + (p_partkey - 1) % 26 AS INTEGER))) AS name FROM part")
+@query(
+    "column_names",
+    """WITH p AS (SELECT CAST(p_partkey % 18278 + 1 AS BIGINT) AS k FROM part), q AS (SELECT k, (k - 1) // 26 - 1 AS two FROM p), r AS (SELECT k, two, two // 26 - 1 AS three FROM q)
+ SELECT k, concat(CASE WHEN two >= 26 THEN chr(CAST(65 + three % 26 AS INTEGER)) ELSE '' END, CASE WHEN k > 26 THEN chr(CAST(65 + two % 26 AS INTEGER)) ELSE '' END, chr(CAST(65 + (k - 1) % 26 AS INTEGER))) AS name FROM r""",
+)
 def column_names(spark, d):
-    k = F.col("p_partkey").cast("long")
-    return table(spark, d, "part").select(k.alias("k"), X.column_name(k).alias("name"))
+    """Spreadsheet letters of the columns from 1 on."""
+    rows = table(spark, d, "part").select((F.col("p_partkey") % 18278 + 1).cast("long").alias("k"))
+    return rows.select("k", X.column_name(F.col("k")).alias("name"))
 
 
 @query("json_fallback_paths", "SELECT event_id, coalesce(json_extract_string(props, '$.symbol'), json_extract_string(props, '$.k')) AS v FROM events")
