@@ -1,5 +1,6 @@
 """Queries of the corpus operators."""
 
+from tallyplan.llm import oracle
 from tallyplan.llm.decontaminate import op2_decontaminate
 from tallyplan.llm.html_text import op8_html_text
 from tallyplan.llm.language_id import op9_language_id
@@ -32,4 +33,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_tree": oracle.OP1, "op4_suffix_array": oracle.OP4}

@@ -115,3 +115,18 @@ def test_prefix_parts_hold_every_repeat():
 def test_planes():
     a = np.array([1, 70_000, 2**40, 5], dtype=np.uint64)
     assert (passages.expand(passages.squeeze(a), 4, np.uint64) == a).all()
+
+
+@pytest.mark.parametrize("name", ["op1_suffix_tree", "op4_suffix_array"])
+def test_equals_sql(spark, name):
+    import duckdb
+
+    from tallyplan.llm.catalogue import ORACLE_SQL, QUERIES
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
+    df = QUERIES[name](spark, data)
+    got = con.execute(ORACLE_SQL[name])
+    assert [x[0] for x in got.description] == df.columns
+    assert sorted(map(tuple, df.collect())) == sorted(got.fetchall())
