@@ -18,33 +18,29 @@ from tallyplan.llm import common as C
 from tallyplan.llm import passages as P
 
 MIN_BYTES = 50
-#: Bytes of context in one transform.
-PACK_BYTES = 1 << 20
+#: Bytes of context in one transform: its sorts and gathers then stay near the processor.
+PACK_BYTES = 1 << 18
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes in the order of their first 64 symbols; a symbol of 0 closes each context."""
+    """Suffixes in the order of their first 64 symbols, by doubling from eight; a symbol of 0 closes each context. Suffixes
+    that agree so far stand in any order: classes of up to 63 symbols don't depend on it."""
     n = len(text)
     padded = np.zeros(n + 8, dtype=np.uint8)
     padded[:n] = text
-    eight = np.zeros(n, dtype=np.uint64)
+    key = np.zeros(n, dtype=np.uint64)
     for k in range(8):
-        eight = (eight << np.uint64(8)) | padded[k : n + k]
-    _, rank = np.unique(eight, return_inverse=True)
-    rank = rank.astype(np.uint64)
+        key = (key << np.uint64(8)) | padded[k : n + k]
     for step in (8, 16, 32):
-        after = np.zeros(n, dtype=np.uint64)
-        after[: max(0, n - step)] = rank[step:] + np.uint64(1)
-        pair = (rank << np.uint64(32)) | after
-        order = np.argsort(pair)
-        key = pair[order]
-        new = np.ones(n, dtype=np.uint64)
-        new[1:] = key[1:] != key[:-1]
-        rank = np.empty(n, dtype=np.uint64)
-        rank[order] = np.cumsum(new) - np.uint64(1)
-        if n and int(rank.max()) == n - 1:
-            break
-    return np.argsort(rank, kind="stable")
+        order = np.argsort(key)
+        ordered = key[order]
+        new = np.zeros(n, dtype=np.uint32)
+        new[1:] = ordered[1:] != ordered[:-1]
+        rank = np.empty(n, dtype=np.uint32)
+        rank[order] = np.cumsum(new, dtype=np.uint32)
+        key = rank.astype(np.uint64) << np.uint64(32)
+        key[: max(0, n - step)] |= rank[step:] + np.uint64(1)
+    return np.argsort(key)
 
 
 def shared_prefixes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
