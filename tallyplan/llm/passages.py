@@ -9,7 +9,6 @@ bits, which can only bring contexts together that turn out to differ.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,16 +21,24 @@ from tallyplan.llm import common as C
 #: Anchors of a bucket, bytes of text for a bucket of contexts, and what a task holds before it hands on.
 BUCKET_ANCHORS, BUCKET_TEXT = 600_000, 6 << 20
 FLUSH_ANCHORS, FLUSH_BYTES = 3_000_000, 24 << 20
+#: Bytes of text in a chunk.
+CHUNK_BYTES = 2 << 20
+#: Chunks are written once and read three times, so they are worth a higher level of compression.
+CHUNK_LEVEL = 5
 _U = np.uint64
 _PLACE_BITS = 24
 _NONE = np.iinfo(np.int64).max  # stands for a null doc_id: never smaller than another
 
 
+def deflate(raw: bytes, level: int = 3) -> bytes:
+    return pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
+
+
 def squeeze(a: np.ndarray) -> bytes:
     """Numbers as compressed byte planes; high bytes that hardly vary cost next to nothing."""
     a = np.ascontiguousarray(a)
     planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T if len(a) else np.zeros(0, np.uint8)
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+    return deflate(np.ascontiguousarray(planes).tobytes())
 
 
 def expand(blob: bytes, n: int, dtype) -> np.ndarray:
@@ -110,13 +117,13 @@ class Runs:
 
 
 def chunks_of(docs: DataFrame, tag: str) -> DataFrame:
-    """Texts in compressed chunks of about BLOCK_BYTES, written to the shared folder: (chunk, size, ids, lengths, data)."""
+    """Texts in compressed chunks of about CHUNK_BYTES, written to the shared folder: (chunk, size, ids, lengths, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("size", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
         for batch in batches:
-            for first, rows, buf, offsets in C.text_blocks(batch):
-                data = pa.compress(buf.tobytes(), "zstd", asbytes=True)
+            for first, rows, buf, offsets in C.text_blocks(batch, limit=CHUNK_BYTES):
+                data = deflate(buf.tobytes(), CHUNK_LEVEL)
                 yield pa.RecordBatch.from_arrays([pa.array([len(buf)], pa.int64()), pa.array([batch.column(0).slice(first, rows).to_pylist()], kind.field(1).type), pa.array([np.diff(offsets).tolist()], kind.field(2).type), pa.array([data], pa.binary())], schema=kind)
 
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "size long, ids array<long>, lengths array<long>, data binary")
@@ -146,15 +153,14 @@ def _anchors(kind, buckets: int, across: bool):
             key, ref, bucket = key[order], ref[order], bucket[order]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
             ends = np.concatenate([cut[1:], [len(bucket)]])
-            chunks = [c for c, _ in held]
+            chunks = np.array([c for c, _ in held], dtype=np.int64)
             held.clear()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[cut].astype(np.int64)), pa.array(ends - cut if len(cut) else np.zeros(0, np.int64)), pa.array([chunks] * len(cut), pa.list_(pa.int64())),
-                    pa.array([squeeze(np.diff(key[a:b], prepend=_U(0))) for a, b in zip(cut, ends, strict=False)], pa.binary()), pa.array([squeeze(ref[a:b]) for a, b in zip(cut, ends, strict=False)], pa.binary()),
-                ],
-                ["bucket", "n", "chunks", "keys", "refs"],
-            )
+            rows = []
+            for x, y in zip(cut.tolist(), ends.tolist(), strict=True):
+                used, place = np.unique(ref[x:y], return_inverse=True)  # a row names only the chunks that it needs
+                rows.append((int(bucket[x]), y - x, chunks[used].tolist(), squeeze(np.diff(key[x:y], prepend=_U(0))), squeeze(place.astype(np.uint32))))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], ["bucket", "n", "chunks", "keys", "refs"])
 
         total = 0
         for batch in batches:
@@ -244,7 +250,7 @@ def _contexts(kind, buckets: int, across: bool):
                 some = order[a:b]
                 data = text[C.ragged(at[some], size[some])]
                 blobs = [squeeze(x[some]) for x in (key, docs, chunk, place.astype(np.uint32), count.astype(np.uint8), size.astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (int(bucket[some[0]]), len(some), len(data))] + [pa.array([x], pa.binary()) for x in (*blobs, pa.compress(data.tobytes(), "zstd", asbytes=True))], names)
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (int(bucket[some[0]]), len(some), len(data))] + [pa.array([x], pa.binary()) for x in (*blobs, deflate(data.tobytes()))], names)
 
         total = 0
         for chunk, rows in _by_key("chunk", batches):
@@ -329,27 +335,27 @@ def _judge(kind, judge: Callable[[Group], np.ndarray], pack_bytes: int):
             pack = np.cumsum(weight) // pack_bytes
             packs = np.flatnonzero(np.concatenate([[True], pack[1:] != pack[:-1]]))
             bounds = np.concatenate([cut[packs], [len(order)]])
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 some = order[a:b]
                 group = Group(kind, key[some], docs[some], chunk[some], place[some], count[some], size[some], text[C.ragged(at[some], size[some])])
                 gone = judge(group)  # a flag for each window of each entry
-                first = C.ragged(group.place, group.count)
-                owner = np.repeat(group.chunk, group.count)
-                first, owner = first[gone], owner[gone]
-                if not len(first):
-                    continue
-                turn = np.lexsort((first, owner))
-                first, owner = first[turn], owner[turn]
-                new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (first[1:] > first[:-1] + 1)])
-                begin = np.flatnonzero(new)
-                finish = np.concatenate([begin[1:], [len(first)]]) - 1
-                lo, hi, own = first[begin], first[finish] + kind.window, owner[begin]
-                edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                ends = np.concatenate([edge[1:], [len(own)]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[edge]), pa.array(ends - edge), pa.array([squeeze(np.concatenate([lo[x:y], hi[x:y]]).astype(np.uint32)) for x, y in zip(edge, ends, strict=True)], pa.binary())],
-                    ["chunk", "n", "blob"],
-                )
+                found.append((np.repeat(group.chunk, group.count)[gone], C.ragged(group.place, group.count)[gone]))
+            owner, first = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not len(first):
+                continue
+            # one row for each chunk: the runs of windows that go
+            turn = np.lexsort((first, owner))
+            first, owner = first[turn], owner[turn]
+            begin = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (first[1:] > first[:-1] + 1)]))
+            finish = np.concatenate([begin[1:], [len(first)]]) - 1
+            lo, hi, own = first[begin], first[finish] + kind.window, owner[begin]
+            edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            ends = np.concatenate([edge[1:], [len(own)]])
+            for k in range(0, len(edge), 2_000):
+                part = list(zip(edge[k : k + 2_000].tolist(), ends[k : k + 2_000].tolist(), strict=True))
+                blobs = [squeeze(np.concatenate([lo[x:y], hi[x:y]]).astype(np.uint32)) for x, y in part]
+                yield pa.RecordBatch.from_arrays([pa.array([int(own[x]) for x, _ in part], pa.int64()), pa.array([y - x for x, y in part], pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "n", "blob"])
 
     return run
 
@@ -398,7 +404,3 @@ def remove(docs: DataFrame, tag: str, kind, judge: Callable[[Group], np.ndarray]
     contexts = with_chunks(chunks, repeated).mapInArrow(_contexts(kind, buckets, across), "bucket long, n long, bytes long, keys binary, docs binary, chunks binary, places binary, counts binary, sizes binary, data binary")
     gone = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(kind, judge, pack_bytes), "chunk long, n long, blob binary")
     return with_chunks(chunks, gone).mapInArrow(_digest(kind, across, finish), schema)
-
-
-def sha256_of(parts: np.ndarray) -> str:
-    return hashlib.sha256(parts.tobytes()).hexdigest()
