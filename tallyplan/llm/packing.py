@@ -15,8 +15,10 @@ from tallyplan.llm import common as C
 WINDOW = 2048
 #: The id that ends every document.
 END_ID = 1
-#: Words whose ids a worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 48
+#: Words whose ids a worker remembers, and the bytes of the longest of them.
+CACHE_WORDS, CACHE_LENGTH = 500_000, 48
+#: Words that go to the tokenizer as one text.
+JOINED_WORDS = 8_192
 #: Pieces that are packed together: bounds a packer's memory, and is large enough that windows left open hardly count.
 GROUP_PIECES = 1 << 17
 
@@ -29,39 +31,91 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_words(words: list[str], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each word. White space always parts the tokenizer's words, so ids of a text are those of its words."""
-    if _STATE.get("path") != path:
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+# Marks that the tokenizer parts from the letters before them as one run.
+_TAIL = b".,!?;:%*#&$|"
+
+
+class WordEncoder:
+    """Ids of words, remembered. White space always parts the tokenizer's words, so the ids of a text are those of its words.
+
+    Words of letters alone end in a token that the vocabulary marks as a word's end, so many go to the tokenizer as one
+    text and their ids are told apart by that mark; should the count not agree, and for all other words, each goes alone.
+    """
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _STATE.update(path=path, tokenizer=Tokenizer.from_file(path), cache={})
-    cache = _STATE["cache"]
-    missing = [w for w in dict.fromkeys(words) if w not in cache]
-    if len(cache) + len(missing) > CACHE_WORDS:
-        cache.clear()
-        missing = list(dict.fromkeys(words))
-    own: dict[str, bytes] = {}
-    for at in range(0, len(missing), 4096):
-        part = missing[at : at + 4096]
-        for word, got in zip(part, _STATE["tokenizer"].encode_batch_fast(part, add_special_tokens=False), strict=True):
-            ids = np.asarray(got.ids, dtype="<u4").tobytes()
-            if len(word) <= CACHE_LENGTH:
-                cache[word] = ids
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+
+    def alone(self, words: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.asarray(g.ids, dtype="<u4").tobytes() for g in got]
+
+    def lettered(self, words: list[bytes]) -> list[bytes]:
+        ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(words) or (len(at) and at[-1] != len(ids)):
+            return self.alone(words)
+        raw = ids.tobytes()
+        cut = (at * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words; the remembered ones grow by them."""
+        stems, tails, whole = {}, {}, []
+        for w in words:
+            stem = w.rstrip(_TAIL)
+            if stem and stem.decode().isalpha():
+                stems[w] = stem
+                tails[w] = w[len(stem) :]
             else:
-                own[word] = ids
-    return [cache[w] if w in cache else own[w] for w in words]
-
-
-# The white space that parts words here.
-_SPLIT = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+                whole.append(w)
+        ids: dict[bytes, bytes] = {}
+        for kind, parts in ((self.lettered, set(stems.values())), (self.alone, {t for t in tails.values() if t})):
+            missing = [p for p in parts if p not in self.known]
+            ids.update((p, self.known[p]) for p in parts if p in self.known)
+            for at in range(0, len(missing), JOINED_WORDS):
+                some = missing[at : at + JOINED_WORDS]
+                ids.update(zip(some, kind(some), strict=True))
+        out = {w: ids[stem] + (ids[tails[w]] if tails[w] else b"") for w, stem in stems.items()}
+        out.update(zip(whole, self.alone(whole), strict=True))
+        for part in (ids, out):
+            if len(self.known) + len(part) > CACHE_WORDS:
+                self.known.clear()
+            self.known.update((w, i) for w, i in part.items() if len(w) <= CACHE_LENGTH)
+        return out
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, as little-endian 32-bit numbers, with the closing id."""
+        split = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts]  # bytes.split parts at space and 9 to 13
+        known = self.known
+        missing = {w for words in split for w in words if w not in known}
+        if missing:
+            fresh = {w: known[w] for words in split for w in words if w in known} if len(known) + 3 * len(missing) > CACHE_WORDS else known
+            own = self.learn(list(missing))
+            if fresh is not known:
+                fresh.update(own)
+                known = fresh
+            else:
+                known = self.known
+                if any(len(w) > CACHE_LENGTH for w in missing):
+                    known = {**{w: known[w] for words in split for w in words if w in known}, **own}
+        end = np.array([END_ID], "<u4").tobytes()
+        return [b"".join([known[w] for w in words]) + end for words in split]
 
 
-def encode(text: str | None, path: str) -> bytes:
-    words = [w for w in (text or "").translate(_SPLIT).split(" ") if w]
-    return b"".join(encode_words(words, path)) + np.array([END_ID], "<u4").tobytes()
+def encoder(path: str) -> WordEncoder:
+    if _STATE.get("path") != path:
+        _STATE.update(path=path, encoder=WordEncoder(path))
+    return _STATE["encoder"]
 
 
 class OpenWindows:
@@ -146,10 +200,13 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
             return base_used + int(where.max()) + 1, (whole.slice(at, 20_000) for at in range(0, whole.num_rows, 20_000))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py(), path)
-                total = len(ids) // 4
-                held += [(doc_id, start, length, crc, total) for start, length, crc in pieces(ids, window)]
+            doc_ids = batch.column(0).to_pylist()
+            for first, rows, buf, offsets in C.text_blocks(batch):
+                raw = buf.tobytes()
+                texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                for doc_id, ids in zip(doc_ids[first : first + rows], encoder(path)(texts), strict=True):
+                    total = len(ids) // 4
+                    held += [(doc_id, start, length, crc, total) for start, length, crc in pieces(ids, window)]
                 if len(held) >= GROUP_PIECES:
                     used, out = flush(used)
                     yield from out
