@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the numpy kernels; bounds their temporaries.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -225,3 +225,13 @@ def summed_slices(parts: DataFrame, slices: int, size: int) -> np.ndarray:
     for row in shares.repartition("slice").mapInArrow(_summing(size), kind).collect():
         table[row["slice"]] = np.frombuffer(pa.decompress(bytes(row["part"]), size * 4, "zstd", asbytes=True), np.float32)
     return table
+
+
+def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, chosen by the hash of their key alone: all if they are few, else a share that fits.
+
+    A filter by the share, so tasks hand on what belongs to the sample and no more.
+    """
+    n = rows.count()
+    share = min(1.0, 0.95 * most / max(1, n))
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))).limit(most)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyplan.llm import common as C
 
-#: Most documents that the CRF's weights are fitted on (those of the smallest hashes), and the words taken from each.
+#: Most documents that the CRF's weights are fitted on (chosen by the hashes of their ids), and the words taken from each.
 SAMPLE_DOCS, SAMPLE_WORDS = 4_000, 192
 #: Buckets of the hashed weights and of the lexicon.
 BUCKETS = 1 << 16
@@ -159,7 +159,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
     seen = counts.sum(axis=1, keepdims=True)
     lexicon = np.clip(odds, -4, 4) * (seen / (seen + 5))
 
-    sample = docs.withColumn("text", F.substring("text", 1, SAMPLE_WORDS * 24)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text", "lang").collect()
+    sample = C.hash_sample(docs.withColumn("text", F.substring("text", 1, SAMPLE_WORDS * 24)), "doc_id", sample_docs).select("doc_id", "text", "lang").collect()
+    sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     rng = np.random.default_rng(5)
     table = pa.RecordBatch.from_pylist([{"text": r["text"]} for r in sample], pa.schema([("text", pa.string())]))
     target = np.array([langs.index(r["lang"]) for r in sample])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyplan.llm import common as C
 
-#: Most labelled rows that the network is fitted on; they are those of the smallest hashes of their ids.
+#: Most labelled rows that the network is fitted on, chosen by the hashes of their ids.
 SAMPLE_ROWS = 20_000
 #: Buckets of the word table, and the vectors' length: the table's size is their product, whatever the corpus.
 BUCKETS, DIMS = 1 << 14, 32
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample_rows:
     The sample's ids (16 bytes each) are all that is broadcast.
     """
     marks = labels.where("quality is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = C.hash_sample(marks, "doc_id", sample_rows)
     pools = docs.join(F.broadcast(sample.select("doc_id")), "doc_id").mapInArrow(_pool(vectors), "doc_id long, pooled binary")
     rows = pools.groupBy("doc_id").agg(F.min("pooled").alias("pooled")).join(F.broadcast(sample), "doc_id").collect()
     rows.sort(key=lambda r: r["doc_id"])

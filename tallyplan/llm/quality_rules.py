@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyplan.llm import common as C
 from tallyplan.llm import trees
 
-#: Most labelled rows that the trees are fitted on; they are those of the smallest hashes of their ids.
+#: Most labels that the trees are fitted on, chosen by the hashes of their ids.
 SAMPLE_ROWS = 20_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -51,8 +51,8 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     breaks = np.flatnonzero(buf == 10)
     line_starts = np.concatenate([offsets[:-1][np.diff(offsets) > 0], breaks + 1])
     line_starts = np.unique(line_starts[line_starts < len(buf)])
-    stops = np.unique(np.concatenate([breaks, offsets[1:]]))
-    line_ends = stops[np.searchsorted(stops, line_starts, side="left")] if len(line_starts) else line_starts
+    closing = np.append(breaks, len(buf))
+    line_ends = np.minimum(closing[np.searchsorted(breaks, line_starts, side="left")], offsets[C.owner(line_starts, offsets) + 1])
     first_word = np.searchsorted(starts, line_starts)
     lined = (np.searchsorted(starts, line_ends) > first_word)
     line_starts, line_ends = line_starts[lined], line_ends[lined]
@@ -105,9 +105,11 @@ def profile(docs: DataFrame) -> DataFrame:
 
 
 def train(profiles: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> trees.Forest:
-    """Fits on at most ``sample_rows`` labelled rows. Without labels of both kinds the forest is its base rate."""
+    """Fits on at most ``sample_rows`` labels, whose 16 bytes each are all that is broadcast, and the rows of their ids (twice
+    as many at most). Without labels of both kinds the forest is its base rate."""
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = profiles.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("quality", *FEATURES).toPandas()
+    rows = profiles.join(F.broadcast(C.hash_sample(marks, "doc_id", sample_rows)), "doc_id").limit(2 * sample_rows).select("doc_id", "quality", *FEATURES).toPandas()
+    rows = rows.sort_values(["doc_id", *FEATURES])
     monotone = {FEATURES.index(k): v for k, v in MONOTONE.items()}
     return trees.fit(rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy(float), monotone)
 
