@@ -1,9 +1,9 @@
-"""Benchmark decontamination: CGK embedding of item-sized windows, bit-sampling LSH, and exact edit verification.
+"""Benchmark decontamination: a counting screen that loses nothing, and exact edit verification.
 
-Windows worth embedding are those that share grams with an item along one diagonal: at the similarity asked for, an
-item keeps runs of unedited characters, and each such run gives a gram hit. The CGK walk maps a window and its item to
-symbol sequences that agree at many places if few edits part them; a window is verified if, in one of the repetitions,
-all sampled places agree.
+An item is divided into pieces that share its edits out: if a passage is within the item's edits, one piece at least is
+within its own share. A piece of L characters within e edits keeps L - 3 - 4 e of its grams of four characters, each
+moved by e places at most, so places whose text holds fewer of them there are out, and no others. Those left are searched for the piece by bit-parallel edit distance,
+all at once; what then remains is verified against the whole item.
 """
 
 from __future__ import annotations
@@ -22,13 +22,16 @@ from tallyplan.llm import common as C
 SIMILARITY = 0.8
 #: An item needs so many words and characters to be looked for.
 MIN_WORDS, MIN_CHARS = 5, 20
-GRAM = 10
-#: Gram hits on one diagonal that make a window, and the drift of the diagonal that edits may cause from hit to hit.
-MIN_HITS, DRIFT = 8, 24
-#: Agreement of a sampled symbol expected between a leak and its item, symbols of a sample, and the recall aimed at.
-AGREEMENT, SAMPLE, RECALL = 0.5, 3, 0.99
-#: A gram of more items than this is not looked up, unless an item would lose half of its grams.
-COMMON = 32
+#: Characters of a gram and most of a piece, which is a machine word of the bit-parallel search.
+GRAM, PIECE = 4, 32
+#: Edits of a piece, and one, that are aimed at.
+SHARE = 5
+#: Buckets that grams are hashed to, and pieces at a time.
+BUCKETS, GROUP = 1 << 14, 1024
+#: Places counted together (at most 15, for half a byte), such blocks in a candidate, and candidates' starts at a time.
+STRIDE, TILE, TILES = 15, 2, 64
+#: Candidates that are searched at once.
+BATCH = 4096
 #: Item bytes that travel with a task; a larger benchmark is searched in several passes.
 SHARD_BYTES = 16 << 20
 
@@ -38,10 +41,6 @@ _NORMAL = np.full(256, 32, dtype=np.uint8)
 _NORMAL[48:58], _NORMAL[97:123], _NORMAL[65:91], _NORMAL[128:] = range(48, 58), range(97, 123), range(97, 123), range(128, 256)
 
 
-def repetitions() -> int:
-    return int(np.ceil(np.log(1 - RECALL) / np.log(1 - AGREEMENT**SAMPLE)))
-
-
 def normalized(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Normal bytes with runs of spaces as one, and the documents' new offsets."""
     out = _NORMAL[buf]
@@ -62,29 +61,13 @@ def normal_text(text: str | None) -> np.ndarray:
     return normalized(raw, np.array([0, len(raw)]))[0]
 
 
-class Walk:
-    """CGK walks: at step j the symbol under the pointer is written, and a random bit of (j, symbol) moves the pointer on."""
-
-    def __init__(self, longest: int):
-        rng = np.random.default_rng(4091)
-        self.reps, self.steps = repetitions(), 2 * longest + 1
-        self.bits = rng.integers(0, 2, (self.reps, self.steps, 256), dtype=np.int64)
-        self.draw = rng.random((self.reps, SAMPLE))
-
-    def samples(self, strings: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Sampled symbols (strings, repetitions, SAMPLE) of zero-padded strings; places are drawn below twice each size."""
-        n = len(strings)
-        places = (self.draw[None] * (2 * sizes)[:, None, None]).astype(np.int64)
-        out = np.zeros((n, self.reps, SAMPLE), dtype=np.int64)
-        pointer = np.zeros((n, self.reps), dtype=np.int64)
-        rows, reps = np.arange(n)[:, None], np.arange(self.reps)[None]
-        last = strings.shape[1] - 1
-        for j in range(int(places.max()) + 1 if n else 0):
-            symbol = np.where(pointer < lengths[:, None], strings[rows, np.minimum(pointer, last)], 0)
-            at = places == j
-            out = np.where(at, symbol[:, :, None], out)
-            pointer += self.bits[reps, j, symbol]
-        return out
+def gram_buckets(text: np.ndarray) -> np.ndarray:
+    """The bucket of the gram at each place of a text."""
+    n = max(0, len(text) - GRAM + 1)
+    code = np.zeros(n, dtype=np.uint32)
+    for k in range(GRAM):
+        code |= text[k : k + n].astype(np.uint32) << np.uint32(8 * k)
+    return ((code * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int64)
 
 
 def edit_distance(pattern: bytes, text: bytes) -> int:
@@ -114,103 +97,154 @@ def edit_distance(pattern: bytes, text: bytes) -> int:
 
 
 class Items:
-    """The items of a shard, ready for lookup: their gram postings, and the samples of their walks."""
+    """The items of a shard, ready for lookup: their pieces, in order of the blocks that a passage of them may touch."""
 
-    def __init__(self, rows: tuple[tuple[int, str], ...]):
+    def __init__(self, rows: tuple[tuple[int, str], ...], similarity: float = SIMILARITY):
         texts = [(i, normal_text(t)) for i, t in rows]
         texts = [(i, t) for i, t in texts if len(t.tobytes().split()) >= MIN_WORDS and len(t) >= MIN_CHARS]
         self.ids = [i for i, _ in texts]
         self.texts = [t.tobytes().strip() for _, t in texts]
         self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
-        hashes, item, place = [], [], []
-        for k, t in enumerate(self.texts):
-            sums = C.byte_sums(np.frombuffer(t, np.uint8))
-            at = np.arange(max(0, len(t) - GRAM + 1))
-            hashes.append(C.range_hash(sums, at, at + GRAM)), item.append(np.full(len(at), k)), place.append(at)
-        h, i, p = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, np.uint64), (item, np.int64), (place, np.int64)))
-        if len(h):
-            pairs = np.unique(np.stack([h, i.astype(np.uint64)], axis=1), axis=0)[:, 0]
-            distinct, many = np.unique(pairs, return_counts=True)
-            common = many[np.searchsorted(distinct, h)] > COMMON
-            lost = np.bincount(i, common, len(self.texts)) / np.maximum(np.bincount(i, minlength=len(self.texts)), 1)
-            keep = ~common | (lost[i] > 0.5)
-            h, i, p = h[keep], i[keep], p[keep]
-        order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.place = h[order], i[order], p[order]
-        self.seen = np.zeros(1 << 22, dtype=bool)
-        self.seen[(self.hash >> _U(42)).astype(np.int64)] = True
-        if self.texts:
-            self.walk = Walk(int(self.lengths.max()))
-            self.samples = self.walk.samples(self._padded(self.texts), self.lengths, self.lengths)
-
-    def _padded(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(texts), int(self.lengths.max()) + 1), dtype=np.int64)
-        for k, t in enumerate(texts):
-            part = t[: out.shape[1]]
-            out[k, : len(part)] = np.frombuffer(part, np.uint8)
-        return out
-
-    def windows(self, text: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-        """(document, item, start in text) of the windows that share grams with an item along a diagonal."""
-        n = len(text) - GRAM + 1
-        if n <= 0 or not len(self.hash):
-            return []
-        sums = C.byte_sums(text)
-        at = np.arange(n)
-        h = C.range_hash(sums, at, at + GRAM)
-        at = np.flatnonzero(self.seen[(h >> _U(42)).astype(np.int64)])
-        lo = np.searchsorted(self.hash, h[at], side="left")
-        hi = np.searchsorted(self.hash, h[at], side="right")
-        at, lo, count = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        doc = C.owner(at, offsets)
-        inside = at + GRAM <= offsets[doc + 1]
-        at, lo, count, doc = at[inside], lo[inside], count[inside], doc[inside]
-        post = C.ragged(lo, count)
-        at, doc = np.repeat(at, count), np.repeat(doc, count)
-        item, start = self.item[post], at - self.place[post]
-        order = np.lexsort((start, doc, item))
-        item, start, doc = item[order], start[order], doc[order]
-        if not len(item):
-            return []
-        new = np.ones(len(item), dtype=bool)
-        new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > DRIFT)
-        cut = np.flatnonzero(new)
-        size = np.diff(np.concatenate([cut, [len(item)]]))
-        need = np.minimum(MIN_HITS, np.maximum(1, self.lengths[item[cut]] - GRAM + 1))
-        some = cut[size >= need]
-        middle = some + size[size >= need] // 2
-        return list(zip(doc[some].tolist(), item[some].tolist(), start[middle].tolist(), strict=True))
-
-    def leaks(self, text: np.ndarray, offsets: np.ndarray, similarity: float = SIMILARITY, sampling: bool = True) -> dict[tuple[int, int], int]:
-        """Edits by (document, item) of the verified leaks."""
-        found = self.windows(text, offsets)
+        self.most = ((1 - similarity) * self.lengths + 1e-9).astype(np.int64)
+        pieces = []  # blocks (first and end) of both halves' grams, item, place, length, edits
+        for k, (m, most) in enumerate(zip(self.lengths.tolist(), self.most.tolist(), strict=True)):
+            parts = min(most + 1, max(-(-m // (PIECE - 4)), round((most + 1) / SHARE)))
+            cuts = [j * (most + 1) // parts for j in range(parts + 1)]
+            for j in range(parts):
+                place, edits = cuts[j] * m // (most + 1), cuts[j + 1] - cuts[j] - 1  # edits + 1 add up to most + 1
+                size = min(PIECE, cuts[j + 1] * m // (most + 1) - place)  # a piece's beginning is within its edits too
+                half, last = (size - GRAM + 1) // 2, STRIDE - 1 + size - GRAM + edits
+                early, late = (0, max(0, STRIDE + half - 2 + edits) // STRIDE + 1), (max(0, half - edits) // STRIDE, max(0, last) // STRIDE + 1)
+                pieces.append((*early, *late, k, place, size, edits))
+        table = np.array(sorted(pieces), dtype=np.int64).reshape(-1, 8)
+        self.blocks, (self.item, self.place, self.size, self.edits) = table[:, :4], table[:, 4:].T
+        self.need = np.clip(self.size - GRAM + 1 - GRAM * self.edits, 0, 255).astype(np.uint8)
+        self.built: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _tables(self, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a group of pieces: the row of each bucket, the rows' bytes (a piece's; 1 for a gram of its first half, 16 for
+        one of its second, as words of eight pieces), and the places where a piece has a byte."""
+        if first not in self.built:
+            last = min(first + GROUP, len(self.item))
+            grams, bits = np.zeros((BUCKETS, -(-(last - first) // 8) * 8), dtype=np.uint8), np.zeros((last - first, 256), dtype=np.uint32)
+            for k in range(first, last):
+                piece = np.frombuffer(self.texts[self.item[k]], np.uint8)[self.place[k] : self.place[k] + self.size[k]]
+                own = gram_buckets(piece)
+                grams[own[: len(own) // 2], k - first] |= 1
+                grams[own[len(own) // 2 :], k - first] |= 16
+                bits[k - first] = np.uint32((1 << (PIECE - len(piece))) - 1)  # below the piece, bits match all
+                np.bitwise_or.at(bits[k - first], piece, np.uint32(1) << np.arange(PIECE - len(piece), PIECE, dtype=np.uint32))
+            some = np.flatnonzero(grams.any(axis=1))
+            row = np.zeros(BUCKETS + 1, dtype=np.int64)
+            row[some] = np.arange(1, len(some) + 1)
+            while len(self.built) >= 4:
+                self.built.pop(next(iter(self.built)))
+            self.built[first] = row, np.concatenate([np.zeros_like(grams[:1]), grams[some]]).view(np.uint64), bits
+        return self.built[first]
+
+    def _screened(self, buckets: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, start) of the candidates: stretches of blocks where a passage may begin that holds enough of the piece's grams."""
+        row, table, _ = self._tables(first)
+        spans, need = self.blocks[first : first + GROUP], self.need[first : first + GROUP]
+        parts = [(w, (spans[8 * w : 8 * w + 256, ::2].min(axis=0).tolist(), spans[8 * w : 8 * w + 256, 1::2].max(axis=0).tolist())) for w in range(0, table.shape[1], 32)]
+        need = np.concatenate([need, np.full(table.shape[1] * 8 - len(need), 255, np.uint8)])
+        reach = int(spans.max())
+        total = -(-len(buckets) // (STRIDE * TILE)) * TILE
+        rows = np.zeros((total + reach) * STRIDE, dtype=np.int64)
+        rows[: len(buckets)] = row[buckets]
+        which, where = [], []
+        low = _U(0x0F0F0F0F0F0F0F0F)
+        for at in range(0, total, TILES * TILE):
+            n = min(TILES * TILE, total - at)
+            counts = np.add.reduce(table[rows[at * STRIDE : (at + n + reach) * STRIDE]].reshape(n + reach, STRIDE, -1), axis=1)
+            window = np.zeros((n, counts.shape[1]), dtype=np.uint64)
+            halves = counts & low, counts >> _U(4) & low
+            for w, (k0s, k1s) in parts:
+                mine = window[:, w : w + 32]
+                for half, k0, k1 in zip(halves, k0s, k1s, strict=True):
+                    for k in range(k0, k1):
+                        mine += half[k : k + n, w : w + 32]
+            enough = (window.view(np.uint8) >= need).reshape(n // TILE, TILE, -1).any(axis=1)
+            found = np.flatnonzero(enough)
+            which.append(found % len(need)), where.append((found // len(need) * TILE + at) * STRIDE)
+        return np.concatenate(which), np.concatenate(where)
+
+    def _passages(self, text: np.ndarray, buckets: np.ndarray, first: int) -> Iterator[tuple[int, int, int]]:
+        """(piece, start, end) of stretches of text that hold the piece within its edits."""
+        piece, start = self._screened(buckets, first)
+        bits = self._tables(first)[2].ravel()
+        length = TILE * STRIDE + (self.size + self.edits)[first + piece]
+        order = np.argsort(length, kind="stable")
+        one, end = np.uint32(1), np.uint32(PIECE - 1)
+        for k in range(0, len(order), BATCH):
+            some = order[k : k + BATCH]
+            mine, begin, steps = piece[some], start[some], int(length[some[-1]])
+            best = self.size[first + mine]
+            rows, score = mine * 256, best.astype(np.uint32)
+            low, at = score.copy(), begin.copy()
+            up, down = (0xFFFFFFFF << (PIECE - best) & 0xFFFFFFFF).astype(np.uint32), np.zeros(len(some), dtype=np.uint32)
+            byte, eq, d, x, h_up, h_down = rows.copy(), *(np.empty_like(up) for _ in range(5))
+            for _ in range(steps):  # as in edit_distance, a piece's last byte being the top bit
+                np.take(text, at, out=byte, mode="clip")
+                at += 1
+                byte += rows
+                np.take(bits, byte, out=eq, mode="clip")
+                eq |= down  # x
+                np.bitwise_and(eq, up, out=d)
+                d += up
+                d ^= up
+                d |= eq
+                np.bitwise_or(d, up, out=h_up)
+                np.invert(h_up, out=h_up)
+                h_up |= down
+                np.bitwise_and(up, d, out=h_down)
+                np.right_shift(h_up, end, out=x)
+                score += x
+                np.right_shift(h_down, end, out=x)
+                score -= x
+                h_up <<= one
+                h_down <<= one
+                np.bitwise_and(h_up, d, out=down)
+                np.bitwise_or(h_up, d, out=up)
+                np.invert(up, out=up)
+                up |= h_down
+                np.minimum(low, score, out=low)
+            best = low.astype(np.int64)
+            hit = np.flatnonzero(best <= self.edits[first + mine])
+            yield from zip((first + mine[hit]).tolist(), begin[hit].tolist(), (begin[hit] + steps).tolist(), strict=True)
+
+    def leaks(self, text: np.ndarray, offsets: np.ndarray, sampling: bool = False) -> dict[tuple[int, int], int]:
+        """Edits by (document, item) of all leaks; nothing is sampled, whatever ``sampling`` says."""
         out: dict[tuple[int, int], int] = {}
-        for first in range(0, len(found), 512):
-            part = found[first : first + 512]
-            strings = []
-            for doc, item, start in part:
-                a = max(int(offsets[doc]), start)
-                strings.append(text[a : min(int(offsets[doc + 1]), start + int(self.lengths[item]))].tobytes())
-            which = np.array([item for _, item, _ in part])
-            if sampling:
-                got = self.walk.samples(self._padded(strings), np.array([len(s) for s in strings]), self.lengths[which])
-                passed = (got == self.samples[which]).all(axis=2).any(axis=1)
+        regions = []
+        buckets = gram_buckets(text)
+        padded = np.concatenate([text, np.zeros(4 * PIECE + TILE * STRIDE, dtype=np.uint8)]).astype(np.int64)
+        for first in range(0, len(self.item) if len(buckets) else 0, GROUP):
+            for piece, start, end in self._passages(padded, buckets, first):
+                k = int(self.item[piece])
+                before, after = int(self.place[piece]), int(self.lengths[k] - self.place[piece] - self.size[piece])
+                most = int(self.most[k])
+                for doc in range(int(C.owner(start, offsets)), int(C.owner(min(end, len(text)) - 1, offsets)) + 1):
+                    a, b = max(int(offsets[doc]), start - before - most), min(int(offsets[doc + 1]), end + after + most)
+                    if b - a >= int(self.lengths[k]) - most:
+                        regions.append((doc, k, a, b))
+        regions.sort()
+        merged: list[list[int]] = []
+        for doc, k, a, b in regions:
+            if merged and merged[-1][:2] == [doc, k] and a <= merged[-1][3]:
+                merged[-1][3] = max(b, merged[-1][3])
             else:
-                passed = np.ones(len(part), dtype=bool)
-            for k in np.flatnonzero(passed).tolist():
-                doc, item, start = part[k]
-                most = int((1 - similarity) * self.lengths[item] + 1e-9)
-                a = max(int(offsets[doc]), start - most)
-                b = min(int(offsets[doc + 1]), start + int(self.lengths[item]) + most)
-                edits = edit_distance(self.texts[item], text[a:b].tobytes())
-                if edits <= most:
-                    out[doc, item] = min(edits, out.get((doc, item), edits))
+                merged.append([doc, k, a, b])
+        for doc, k, a, b in merged:
+            edits = edit_distance(self.texts[k], text[a:b].tobytes())
+            if edits <= self.most[k]:
+                out[doc, k] = min(edits, out.get((doc, k), edits))
         return out
 
 
 @lru_cache(maxsize=2)
-def _items(rows: tuple[tuple[int, str], ...]) -> Items:
-    return Items(rows)
+def _items(rows: tuple[tuple[int, str], ...], similarity: float = SIMILARITY) -> Items:
+    return Items(rows, similarity)
 
 
 def _shards(benchmark: DataFrame) -> list[tuple[tuple[int, str], ...]]:
@@ -234,11 +268,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
     def search(rows: tuple[tuple[int, str], ...]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = _items(rows)
+            items = _items(rows, similarity)
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 for first, _, buf, offsets in C.text_blocks(batch):
-                    got = items.leaks(*normalized(buf, offsets), similarity)
+                    got = items.leaks(*normalized(buf, offsets))
                     if got:
                         yield pa.RecordBatch.from_pylist(
                             [{"doc_id": ids[first + d], "item_id": items.ids[i], "item_chars": int(items.lengths[i]), "edits": e} for (d, i), e in got.items()],

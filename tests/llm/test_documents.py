@@ -192,6 +192,30 @@ def test_sampling_reaches_its_recall():
     assert total >= 150 and found >= 0.9 * total
 
 
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+def test_leaks_equal_plain_edit_search(share):
+    rng = np.random.default_rng(int(share * 100))
+    texts = [" ".join("".join(rng.choice(list("etaoinshr"), rng.integers(2, 9))) for _ in range(n)) for n in (5, 6, 12, 40, 90) for _ in range(4)]
+    items = decontaminate.Items(tuple(enumerate(texts)))
+    docs = []
+    for t in texts:
+        for spread in (True, False):
+            n = int(share * len(t))
+            at = (np.arange(n) * len(t) // n + len(t) // n // 2) if spread else rng.choice(len(t), n, replace=False)
+            out = list(t)
+            for x in at.tolist():
+                out[x] = str(rng.choice(["q", "", out[x] + "z"])) if not spread else "q"
+            docs.append("the left part " + "".join(out) + " right")
+    buffer, offsets = np.frombuffer("".join(docs).encode(), np.uint8), np.cumsum([0] + [len(d) for d in docs])
+    expected = {}
+    for d, doc in enumerate(docs):
+        for k, t in enumerate(texts):
+            edits = decontaminate.edit_distance(t.encode(), doc.encode())
+            if edits <= int(0.2 * len(t) + 1e-9):
+                expected[d, k] = edits
+    assert len(expected) >= len(docs) and items.leaks(buffer, offsets) == expected
+
+
 # --- packing
 
 
