@@ -59,20 +59,23 @@ def greedy_winners(nodes: DataFrame, conflicts: DataFrame, rounds: int = 200) ->
 
 
 def greedy_matching(pairs: DataFrame, rounds: int = 100) -> DataFrame:
-    """Greedy one-to-one matching of ``pairs(a, b, cost)`` by ascending cost, ties by a and b: rounds of mutual bests."""
-    open_ = cut(pairs.select("a", "b", F.struct("cost", "a", "b").alias("key")))
-    done = []
-    for _ in range(rounds):
+    """Greedy one-to-one matching of ``pairs(a, b, cost)`` by ascending cost, ties by a and b: rounds of mutual bests.
+
+    Rounds go on until no pair is open; each settles one pair at least, the least open one. The matches so far are cut
+    every ``rounds`` rounds, so that a long chain of decisions doesn't make a plan of as many unions.
+    """
+    open_ = cut(pairs.where("a is not null and b is not null").select("a", "b", F.struct("cost", "a", "b").alias("key")))
+    out, done = pairs.select("a", "b", "cost").limit(0), 0
+    while open_.limit(1).count():
         best_a = open_.groupBy("a").agg(F.min("key").alias("best_a"))
         best_b = open_.groupBy("b").agg(F.min("key").alias("best_b"))
         chosen = cut(open_.join(best_a, "a").join(best_b, "b").where("key = best_a and key = best_b").select("a", "b", F.col("key.cost").alias("cost")))
         if not chosen.limit(1).count():
-            break
-        done.append(chosen)
+            raise RuntimeError("the matching did not settle")
+        out, done = out.union(chosen), done + 1
+        if done % rounds == 0:
+            out = cut(out)
         open_ = cut(open_.join(chosen.select("a"), "a", "left_anti").join(chosen.select("b"), "b", "left_anti").select("a", "b", "key"))
-    out = pairs.select("a", "b", "cost").limit(0)
-    for c in done:
-        out = out.union(c)
     return out
 
 

@@ -95,6 +95,12 @@ def test_greedy_matching_equals_scan(spark):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_greedy_matching_settles_beyond_its_rounds(spark):
+    pairs = [(a, b, 5) for a in range(7) for b in range(7)]
+    got = graph.greedy_matching(spark.createDataFrame(pairs, "a long, b long, cost long"), rounds=3).collect()
+    assert sorted(map(tuple, got)) == [(k, k, 5) for k in range(7)]
+
+
 def test_merged_rectangles_do_not_overlap(spark):
     rows = QUERIES["merged_rectangles"](spark, DATA).collect()
     assert not any(p.plan_id == q.plan_id and inter((p.x, p.y, p.w, p.h), (q.x, q.y, q.w, q.h)) for p, q in itertools.combinations(rows, 2))
