@@ -25,12 +25,36 @@ _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
 _CLASS[48:58] = 2
 _CLASS[[c for c in range(33, 127) if not chr(c).isalnum()]] = 3
+#: The class of letters of scripts that set no spaces between words, and of marks beyond ASCII.
+_UNSPACED, _MARK = 4, 3
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _FOLD = C._BYTE_KEYS.copy()
 _FOLD[65:91] = _FOLD[97:123]
 
 
+def classes(buf: np.ndarray) -> np.ndarray:
+    """The class of each byte; those of a character beyond ASCII have one class."""
+    kind = _CLASS[buf]
+    if not (buf >= 0xE0).any():
+        return kind
+    at = np.flatnonzero(buf >= 0xE0)
+    b0, b1 = buf[at].astype(np.int64), buf[np.minimum(at + 1, len(buf) - 1)].astype(np.int64)
+    b2 = buf[np.minimum(at + 2, len(buf) - 1)].astype(np.int64)
+    point = (b0 & 15) << 12 | (b1 & 63) << 6 | b2 & 63
+    wide = b0 >= 0xF0
+    # Unicode blocks. Thai to Tibetan, Burmese, Khmer, CJK with kana, half-width kana; marks and full-width marks.
+    unspaced = (0xE00 <= point) & (point < 0x1000) | (0x1000 <= point) & (point < 0x10A0) | (0x1780 <= point) & (point < 0x1800) | (0x2E80 <= point) & (point < 0xA000)
+    unspaced |= (0xF900 <= point) & (point < 0xFB00) | (0xFF66 <= point) & (point < 0xFFA0)
+    mark = (0x2000 <= point) & (point < 0x2E00) | (0x3000 <= point) & (point < 0x3005) | (0x3008 <= point) & (point < 0x3021) | (0xFF00 <= point) & (point < 0xFF10)
+    unspaced = np.where(wide, (b1 >= 0xA0) & (b0 == 0xF0), unspaced & ~mark)  # the planes of further ideographs
+    value = np.where(unspaced, _UNSPACED, np.where(mark & ~wide, _MARK, kind[at])).astype(np.uint8)
+    for k in range(4):
+        here = (at + k < len(buf)) & ((k < 3) | wide)
+        kind[at[here] + k] = value[here]
+    return kind
+
+
 def index_vectors(buckets: int = BUCKETS, dims: int = DIMS) -> np.ndarray:
     """Sparse ternary index vectors: for each bucket the places of its +1 and its -1."""
     rng = np.random.default_rng(811)
@@ -39,21 +63,36 @@ def index_vectors(buckets: int = BUCKETS, dims: int = DIMS) -> np.ndarray:
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, document) of the tokens: runs of letters, of digits or of other marks.
+    """(bucket, document) of the tokens, in order: runs of letters, of digits or of other marks.
 
-    Short tokens are themselves; long words stand for their case and last three bytes, so that words never seen
-    before share a vector with like ones.
+    Every token stands for all of its bytes. Words of more than six characters are followed by their case and last three
+    characters as a token of its own, so that words never seen before share a vector with like ones. A run of a script
+    without spaces gives its characters one by one and in pairs.
     """
-    kind = _CLASS[buf]
+    kind = classes(buf)
     starts, ends = _class_bounds(kind, offsets)
     sums = C.byte_sums(buf, _FOLD)
-    length = ends - starts
     upper = np.concatenate([[0], np.cumsum(_UPPER[buf])])
-    caps = (upper[ends] - upper[starts] >= 2).astype(np.uint64)
-    from_ = np.where(length > 6, ends - 3, starts)
-    shape = caps * np.uint64(2) + (length > 6)
-    h = C.mixed(C.range_hash(sums, from_, ends) + shape * np.uint64(0x9E3779B97F4A7C15))
-    return (h % np.uint64(buckets)).astype(np.int64), C.owner(starts, offsets)
+    head = (buf & 0xC0) != 0x80  # the first byte of a character
+    heads = np.flatnonzero(head)
+    before = np.concatenate([[0], np.cumsum(head)])
+    length = before[ends] - before[starts]
+    unspaced = kind[starts] == _UNSPACED
+    word = ~unspaced
+    caps = (upper[ends] - upper[starts] >= 2).astype(np.uint64) * np.uint64(2)
+    long = word & (length > 6)
+    from_, to, shape = [starts[word], heads[before[ends[long]] - 3]], [ends[word], ends[long]], [caps[word], caps[long] + np.uint64(1)]
+    if unspaced.any():
+        first, n = before[starts[unspaced]], length[unspaced]
+        after = np.append(heads, len(buf))
+        for size in (1, 2):
+            at = C.ragged(first, np.maximum(n - size + 1, 0))
+            from_.append(after[at]), to.append(np.minimum(after[at + size], np.repeat(ends[unspaced], np.maximum(n - size + 1, 0)))), shape.append(np.full(len(at), size + 3, np.uint64))
+    place, last, shape = np.concatenate(from_), np.concatenate(to), np.concatenate(shape)
+    order = np.lexsort((place, last)) if len(from_) > 2 or long.any() else slice(None)
+    place, last, shape = place[order], last[order], shape[order]
+    h = C.mixed(C.range_hash(sums, place, last) + shape * np.uint64(0x9E3779B97F4A7C15))
+    return (h % np.uint64(buckets)).astype(np.int64), C.owner(place, offsets)
 
 
 def _class_bounds(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
