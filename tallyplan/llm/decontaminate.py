@@ -8,6 +8,7 @@ all at once; what then remains is verified against the whole item.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,8 @@ from tallyplan.llm import common as C
 
 #: A passage is a leak at this similarity (1 - edits / item length) or more.
 SIMILARITY = 0.8
-#: An item needs so many words and characters to be looked for.
+#: An item of fewer words or bytes is looked for as it stands, on word bounds: edits would be too loose. In scripts without
+#: spaces a character counts as a word.
 MIN_WORDS, MIN_CHARS = 5, 20
 #: Characters of a gram and most of a piece, which is a machine word of the bit-parallel search.
 GRAM, PIECE = 4, 32
@@ -70,6 +72,21 @@ def gram_buckets(text: np.ndarray) -> np.ndarray:
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int64)
 
 
+#: Characters of scripts without spaces between words: Thai to Tibetan, Burmese, Khmer, CJK with kana, half-width kana, further ideographs.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def word_count(text: bytes) -> int:
+    """Words between spaces; each character of a script without spaces is one."""
+    return len(_UNSPACED.sub(" x ", text.decode(errors="replace")).split())
+
+
+def bounded(before: bytes, text: bytes, after: bytes) -> bool:
+    """Whether a word ends before and after a text: at a space or an end, or at a character of a script without spaces."""
+    left, own, right = (x.decode(errors="replace") for x in (before, text, after))
+    return all(not a or not b or a == " " or b == " " or bool(_UNSPACED.match(a) or _UNSPACED.match(b)) for a, b in ((left[-1:], own[:1]), (own[-1:], right[:1])))
+
+
 def edit_distance(pattern: bytes, text: bytes) -> int:
     """Fewest edits that turn the pattern into some substring of the text (bit-parallel)."""
     m = len(pattern)
@@ -100,14 +117,23 @@ class Items:
     """The items of a shard, ready for lookup: their pieces, in order of the blocks that a passage of them may touch."""
 
     def __init__(self, rows: tuple[tuple[int, str], ...], similarity: float = SIMILARITY):
-        texts = [(i, normal_text(t)) for i, t in rows]
-        texts = [(i, t) for i, t in texts if len(t.tobytes().split()) >= MIN_WORDS and len(t) >= MIN_CHARS]
+        texts = [(i, normal_text(t).tobytes().strip()) for i, t in rows]
+        texts = [(i, t) for i, t in texts if t]
         self.ids = [i for i, _ in texts]
-        self.texts = [t.tobytes().strip() for _, t in texts]
+        self.texts = [t for _, t in texts]
+        short = [word_count(t) < MIN_WORDS or len(t) < MIN_CHARS for t in self.texts]
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: hashes and items
+        for size in sorted({len(t) for t, s in zip(self.texts, short, strict=True) if s}):
+            some = np.array([k for k, t in enumerate(self.texts) if short[k] and len(t) == size])
+            h = np.concatenate([C.range_hash(C.byte_sums(np.frombuffer(self.texts[k], np.uint8)), np.array([0]), np.array([size])) for k in some.tolist()])
+            order = np.argsort(h, kind="stable")
+            self.exact[size] = h[order], some[order]
         self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.most = ((1 - similarity) * self.lengths + 1e-9).astype(np.int64)
         pieces = []  # blocks (first and end) of both halves' grams, item, place, length, edits
         for k, (m, most) in enumerate(zip(self.lengths.tolist(), self.most.tolist(), strict=True)):
+            if short[k]:
+                continue
             parts = min(most + 1, max(-(-m // (PIECE - 4)), round((most + 1) / SHARE)))
             cuts = [j * (most + 1) // parts for j in range(parts + 1)]
             for j in range(parts):
@@ -213,9 +239,26 @@ class Items:
             hit = np.flatnonzero(best <= self.edits[first + mine])
             yield from zip((first + mine[hit]).tolist(), begin[hit].tolist(), (begin[hit] + steps).tolist(), strict=True)
 
+    def _copies(self, text: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], int]:
+        """No edits, by (document, item), for each short item that stands in a document on word bounds."""
+        out: dict[tuple[int, int], int] = {}
+        sums = C.byte_sums(text) if self.exact else None
+        for size, (hashes, items) in self.exact.items():
+            at = np.arange(max(0, len(text) - size + 1))
+            h = C.range_hash(sums, at, at + size)
+            low, high = np.searchsorted(hashes, h, side="left"), np.searchsorted(hashes, h, side="right")
+            for place in np.flatnonzero(high > low).tolist():
+                doc = int(C.owner(place, offsets))
+                a, b = int(offsets[doc]), int(offsets[doc + 1])
+                for k in items[low[place] : high[place]].tolist():
+                    if (doc, k) not in out and place + size <= b and text[place : place + size].tobytes() == self.texts[k]:
+                        if bounded(text[max(a, place - 4) : place].tobytes(), self.texts[k], text[place + size : min(b, place + size + 4)].tobytes()):
+                            out[doc, k] = 0
+        return out
+
     def leaks(self, text: np.ndarray, offsets: np.ndarray, sampling: bool = False) -> dict[tuple[int, int], int]:
         """Edits by (document, item) of all leaks; nothing is sampled, whatever ``sampling`` says."""
-        out: dict[tuple[int, int], int] = {}
+        out = self._copies(text, offsets)
         regions = []
         buckets = gram_buckets(text)
         padded = np.concatenate([text, np.zeros(4 * PIECE + TILE * STRIDE, dtype=np.uint8)]).astype(np.int64)
@@ -262,7 +305,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     """doc_id, item_id, item_chars, edits and similarity of every (document, item) of which the document holds a leak.
 
     Texts are compared lower-cased, with runs of anything but letters and digits as one space. A null or empty text holds
-    no leak; items of fewer than five words or twenty characters aren't looked for; repeated rows and items give a pair
+    no leak; items of fewer than five words or twenty bytes are looked for as they stand, on word bounds; repeated rows and items give a pair
     once; a null doc_id stays null and a null item_id becomes -1; empty tables give no rows; further columns are not used.
     """
 
