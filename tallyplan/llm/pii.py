@@ -1,6 +1,7 @@
 """Personal data: base patterns, and bootstrapped contextual extraction, all in DataFrame expressions.
 
-Seeds (tokens that a base pattern covers) induce lexical patterns (the two words before them). Pattern-instance graphs
+Seeds (tokens that a base pattern covers) induce lexical patterns (the two words before them; marks stand for tokens
+among those and for the start of the text). A token after one word only may go by that word alone. Pattern-instance graphs
 are scored in rounds: a pattern by the share of known instances among all it has, an instance by its best pattern.
 Patterns of high confidence then mark tokens that no base pattern knows.
 """
@@ -27,9 +28,9 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 ROUNDS = 3
 MIN_INSTANCES, MIN_CONFIDENCE = 5, 0.8
-MIN_LENGTH, MAX_LENGTH = 6, 64
-#: Characters before a token in which its two words of context are looked for.
-CONTEXT_CHARS = 80
+MIN_LENGTH = 6
+#: Words of a context that aren't in the text: its start, any word at all, and an earlier token.
+START, ANY, EARLIER = "\x02", "\x03", "\x04"
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -87,18 +88,32 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def candidates(text: Column) -> Column:
     """Tokens that may be identifiers, with their span and the two words before them."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int,token:string,context:string>>)")
+    kind = "array<struct<start:int,end:int,token:string,context:string>>"
+    none = F.expr(f"cast(array() as {kind})")
 
     def shape(s: Column) -> Column:
         lead = F.length(F.regexp_extract(s["match"], r"^[^A-Za-z0-9+@]*", 0))
         token = F.regexp_replace(s["match"], r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9@]+$", "")
-        context = F.lower(F.regexp_extract(F.right(s["gap"], F.lit(CONTEXT_CHARS)), r"(\S+\s+\S+)\s+\z", 1))
+        back = F.reverse(s["gap"])  # words are taken from its start, so that no gap is read twice
+        last, other = (F.lower(F.reverse(F.regexp_extract(back, pattern, 1))) for pattern in (r"^\s*+(\S++)", r"^\s*+\S++\s++(\S++)"))
         first = s["start"] + lead
-        return F.struct(first.cast("int").alias("start"), (first + F.length(token)).cast("int").alias("end"), token.alias("token"), F.regexp_replace(context, r"\s+", " ").alias("context"))
+        return F.struct(first.cast("int").alias("start"), (first + F.length(token)).cast("int").alias("end"), token.alias("token"), last.alias("last"), other.alias("other"))
 
-    got = F.transform(found(text, TOKEN), shape)
-    fit = F.filter(got, lambda c: F.length(c["token"]).between(2, MAX_LENGTH) & (F.length(c["context"]) > 0))
-    return F.when(text.rlike("[0-9@]"), fit).otherwise(none)
+    def step(acc: Column, s: Column) -> Column:
+        last = F.when(s["last"] == "", acc["last"]).otherwise(s["last"])
+        other = F.when(s["other"] != "", s["other"]).when(s["last"] != "", acc["last"]).otherwise(acc["other"])
+        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), F.concat(other, F.lit(" "), last).alias("context"))
+        return F.struct(last.alias("other"), F.lit(EARLIER).alias("last"), F.array_append(acc["out"], one).alias("out"))
+
+    got = F.aggregate(F.transform(found(text, TOKEN), shape), F.struct(F.lit(START).alias("other"), F.lit(START).alias("last"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.when(text.rlike("[0-9@]"), F.filter(got, lambda c: F.length(c["token"]) >= 2)).otherwise(none)
+
+
+def _contexts() -> Column:
+    """A token's contexts and whether it may be taken for one: its two words, and the last alone if no more are before it."""
+    alone = F.col("context").startswith(f"{START} ") & (F.col("context") != f"{START} {START}")
+    short = F.concat(F.lit(f"{ANY} "), F.substring_index("context", " ", -1))
+    return F.explode(F.array(F.struct(F.col("context"), F.lit(True).alias("taken")), F.struct(short.alias("context"), alone.alias("taken"))))
 
 
 def annotate(docs: DataFrame, *carry: str) -> DataFrame:
@@ -114,7 +129,8 @@ def discover(notes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     covering = F.filter("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     one = C.materialize(one.select("doc_id", "text_key", "start", "end", "token", "context", F.get(F.transform(covering, lambda s: s["kind"]), F.lit(0)).alias("seed")), "pii-tokens")
     # the graph: patterns and instances, counted once each however often a pair repeats
-    edges = C.materialize(one.groupBy("context", "token").agg(F.max("seed").alias("seed")), "pii-edges")
+    by_context = one.select("token", "seed", _contexts().alias("x")).groupBy("x.context", "token")
+    edges = C.materialize(by_context.agg(F.max("seed").alias("seed"), F.max("x.taken").alias("taken")), "pii-edges")
     known = edges.groupBy("token").agg(F.max("seed").alias("seed")).select("token", "seed", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score"))
     for _ in range(rounds):
         scored = edges.select("context", "token").join(known, "token")
@@ -123,15 +139,17 @@ def discover(notes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         )
         patterns = C.materialize(patterns.where("best.seed is not null").select("context", "n", F.col("best.seed").alias("kind"), (F.col("best.mass") / F.col("n")).alias("confidence")), "pii-patterns")
         strong = patterns.where((F.col("n") >= MIN_INSTANCES) & (F.col("confidence") >= MIN_CONFIDENCE))
-        gained = edges.select("context", "token").join(strong, "context").groupBy("token").agg(F.max(F.struct("confidence", "kind")).alias("g"))
+        gained = edges.where("taken").select("context", "token").join(strong, "context").groupBy("token").agg(F.max(F.struct("confidence", "kind")).alias("g"))
         known = C.materialize(
             edges.groupBy("token").agg(F.max("seed").alias("own")).join(gained, "token", "left").select(
                 "token", F.coalesce("own", F.when(F.col("g.confidence") >= MIN_CONFIDENCE, F.col("g.kind"))).alias("seed"), F.when(F.col("own").isNotNull(), 1.0).otherwise(F.coalesce(F.col("g.confidence"), F.lit(0.0))).alias("score")
             ),
             "pii-known",
         )
-    fresh = one.where(f"seed is null and length(token) >= {MIN_LENGTH}").join(strong.select("context", "kind"), "context")
-    return fresh.select("doc_id", "text_key", "kind", "start", "end").distinct()
+    fresh = one.where(f"seed is null and length(token) >= {MIN_LENGTH}").select("doc_id", "text_key", "start", "end", _contexts().alias("x")).where("x.taken")
+    fresh = fresh.select("doc_id", "text_key", "start", "end", "x.context").join(strong.select("context", "confidence", "kind"), "context")
+    best = fresh.groupBy("doc_id", "text_key", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+    return best.select("doc_id", "text_key", F.col("best.kind").alias("kind"), "start", "end")
 
 
 def _text_of(spans: Column) -> Column:
