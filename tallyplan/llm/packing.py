@@ -15,12 +15,15 @@ from tallyplan.llm import common as C
 WINDOW = 2048
 #: The id that ends every document.
 END_ID = 1
-#: Words whose ids a worker remembers, and the bytes of the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 500_000, 48
+#: Words whose ids a worker remembers at least (at most two times as many), and the bytes of the longest of them.
+CACHE_WORDS, CACHE_LENGTH = 400_000, 48
+#: Bytes of text whose words are looked up together.
+BLOCK_BYTES = 2 << 20
 #: Words that go to the tokenizer as one text.
 JOINED_WORDS = 8_192
 #: Pieces that are packed together: bounds a packer's memory, and is large enough that windows left open hardly count.
-GROUP_PIECES = 1 << 17
+GROUP_PIECES = 1 << 15
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
 _STATE: dict = {}
 
@@ -53,7 +56,8 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def alone(self, words: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -68,48 +72,49 @@ class WordEncoder:
         cut = (at * 4).tolist()
         return [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words; the remembered ones grow by them."""
-        stems, tails, whole = {}, {}, []
+    def ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words. Those met of late are remembered; when they are many, the ones not met since are forgotten."""
+        recent, older, out, plain, tailed, whole = self.recent, self.older, {}, [], {}, []
         for w in words:
-            stem = w.rstrip(_TAIL)
-            if stem and stem.decode().isalpha():
-                stems[w] = stem
-                tails[w] = w[len(stem) :]
-            else:
-                whole.append(w)
-        ids: dict[bytes, bytes] = {}
-        for kind, parts in ((self.lettered, set(stems.values())), (self.alone, {t for t in tails.values() if t})):
-            missing = [p for p in parts if p not in self.known]
-            ids.update((p, self.known[p]) for p in parts if p in self.known)
-            for at in range(0, len(missing), JOINED_WORDS):
-                some = missing[at : at + JOINED_WORDS]
-                ids.update(zip(some, kind(some), strict=True))
-        out = {w: ids[stem] + (ids[tails[w]] if tails[w] else b"") for w, stem in stems.items()}
-        out.update(zip(whole, self.alone(whole), strict=True))
-        for part in (ids, out):
-            if len(self.known) + len(part) > CACHE_WORDS:
-                self.known.clear()
-            self.known.update((w, i) for w, i in part.items() if len(w) <= CACHE_LENGTH)
+            ids = recent.get(w)
+            if ids is None:
+                ids = older.get(w)
+                if ids is not None:
+                    recent[w] = ids
+                else:
+                    stem = w.rstrip(_TAIL)
+                    if not stem or not (stem.isalpha() or not stem.isascii() and stem.decode().isalpha()):
+                        whole.append(w)
+                    elif len(stem) == len(w):
+                        plain.append(w)
+                    else:
+                        tailed[w] = stem
+                    continue
+            out[w] = ids
+        fresh = {}
+        for at in range(0, len(plain), JOINED_WORDS):
+            some = plain[at : at + JOINED_WORDS]
+            fresh.update(zip(some, self.lettered(some), strict=True))
+        if tailed:
+            parts = self.ids_of({*tailed.values(), *(w[len(stem) :] for w, stem in tailed.items())})
+            fresh.update((w, parts[stem] + parts[w[len(stem) :]]) for w, stem in tailed.items())
+        if whole:
+            fresh.update(zip(whole, self.alone(whole), strict=True))
+        out.update(fresh)
+        self.recent.update(fresh if max(map(len, fresh), default=0) <= CACHE_LENGTH else {w: i for w, i in fresh.items() if len(w) <= CACHE_LENGTH})
+        if len(self.recent) > CACHE_WORDS:
+            self.recent, self.older = {}, self.recent
         return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit numbers, with the closing id."""
         split = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts]  # bytes.split parts at space and 9 to 13
-        known = self.known
-        missing = {w for words in split for w in words if w not in known}
-        if missing:
-            fresh = {w: known[w] for words in split for w in words if w in known} if len(known) + 3 * len(missing) > CACHE_WORDS else known
-            own = self.learn(list(missing))
-            if fresh is not known:
-                fresh.update(own)
-                known = fresh
-            else:
-                known = self.known
-                if any(len(w) > CACHE_LENGTH for w in missing):
-                    known = {**{w: known[w] for words in split for w in words if w in known}, **own}
+        words: set[bytes] = set()
+        for some in split:
+            words.update(some)
+        ids = self.ids_of(words)
         end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) + end for words in split]
+        return [b"".join(map(ids.__getitem__, some)) + end for some in split]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -176,46 +181,68 @@ def pieces(ids: bytes, window: int) -> list[tuple[int, int, int]]:
     return [(at, min(window, total - at), zlib.crc32(ids[4 * at : 4 * min(total, at + window)])) for at in range(0, total, window)]
 
 
-def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """Packs ``docs(doc_id, text, ...)`` into windows of ``window`` tokens.
-
-    Each document's ids and a closing id are cut into full windows and a rest; the rests of a partition's documents,
-    up to ``GROUP_PIECES`` at a time, are placed by best-fit decreasing. A null or empty text is its closing id alone;
-    repeated rows are packed each; a null doc_id stays null; an empty table gives no rows; further columns are not used.
-    ``sequence_id`` holds the partition in its upper bits, so windows of different partitions never share one.
-    """
-    path = path or tokenizer_path()
+def cut_pieces(docs: DataFrame, window: int, path: str) -> DataFrame:
+    """The pieces of ``docs(doc_id, text)``, each with a number of its own; written once, so the numbers stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        base, held, used = TaskContext.get().partitionId() << 40, [], 0
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-        def flush(base_used: int) -> tuple[int, Iterator[pa.RecordBatch]]:
-            table = np.array([h[1:] for h in held], dtype=np.int64)
-            where, offset = best_fit_decreasing(table[:, 1], window)
-            columns = [pa.array([h[0] for h in held], pa.int64()), *(pa.array(table[:, k]) for k in range(4)), pa.array(where + base + base_used), pa.array(offset)]
-            whole = pa.RecordBatch.from_arrays(columns, names)
-            return base_used + int(where.max()) + 1, (whole.slice(at, 20_000) for at in range(0, whole.num_rows, 20_000))
-
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, rows, buf, offsets in C.text_blocks(batch):
+            for first, rows, buf, offsets in C.text_blocks(batch, limit=BLOCK_BYTES):
                 raw = buf.tobytes()
                 texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                held = []
                 for doc_id, ids in zip(doc_ids[first : first + rows], encoder(path)(texts), strict=True):
-                    total = len(ids) // 4
-                    held += [(doc_id, start, length, crc, total) for start, length, crc in pieces(ids, window)]
-                if len(held) >= GROUP_PIECES:
-                    used, out = flush(used)
-                    yield from out
+                    held += [(doc_id, start, length, crc, len(ids) // 4) for start, length, crc in pieces(ids, window)]
+                for at in range(0, len(held), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held[at : at + 20_000], strict=True)], PIECE)
+
+    cut = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in PIECE))
+    return C.materialize(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+
+
+def _place(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over rows in order of their group: each group is packed by itself."""
+        group, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables([pa.Table.from_batches([h]) for h in held]).combine_chunks()
+            where, offset = best_fit_decreasing(np.asarray(table.column("length")), window)
+            sequence = ((np.int64(group) << 32) + where) * 2 + 1
+            out = table.drop_columns(["group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+            return iter(out.to_batches(max_chunksize=20_000))
+
+        for batch in batches:
+            key = np.asarray(batch.column("group"))
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
+                if held and key[a] != group:
+                    yield from flush()
                     held.clear()
+                group = int(key[a])
+                held.append(batch.slice(a, b - a))
         if held:
-            yield from flush(used)[1]
+            yield from flush()
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return run
+
+
+def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
+    """Packs ``docs(doc_id, text, ...)`` into windows of ``window`` tokens.
+
+    Each document's ids and a closing id are cut into full windows, which are sequences of their own, and a rest. The rests
+    of the whole table are dealt by a hash of their numbers into groups of about ``GROUP_PIECES``, however the table is
+    divided, and each group is placed by best-fit decreasing. A null or empty text is its closing id alone; very long texts
+    are cut like any other; repeated rows are packed each; a null doc_id stays null; an empty table gives no rows; further
+    columns are not used.
+    """
+    cut = cut_pieces(docs, window, path or tokenizer_path())
+    groups = 1 + cut.where(F.col("length") < window).count() // GROUP_PIECES
+    full = cut.where(F.col("length") == window).select(*PIECE, (F.col("piece") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rests = cut.where(F.col("length") < window).select(*PIECE, F.pmod(F.xxhash64("piece"), F.lit(groups)).alias("group"))
+    dealt = rests.repartition("group").sortWithinPartitions("group")
+    placed = dealt.mapInArrow(_place(window), ", ".join(f"{c} long" for c in (*PIECE, "sequence_id", "offset")))
+    return full.unionByName(placed)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,5 +250,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the packed pieces of all documents that are left."""
+    """Pipeline stage: the packed pieces of all documents that are left.
+
+    A null or empty text is its closing id; a null doc_id stays null; repeated rows are packed each; very long texts are cut
+    into windows; an empty table gives no rows; further columns, whatever their names, go no further.
+    """
     return pack(docs)

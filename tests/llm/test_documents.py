@@ -258,6 +258,41 @@ def test_packing(spark):
     assert len(by_sequence) * 2048 - total < 0.05 * total + 2048
 
 
+@pytest.mark.parametrize("partitions", [1, 16, 211])
+def test_padding_does_not_depend_on_partitions(spark, partitions):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").unionByName(spark.read.parquet(f"{DATA}/documents.parquet"))
+    rows = packing.pack(docs.repartition(partitions)).collect()
+    used = sum(r.length for r in rows)
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_sequence.values():
+        assert [o for o, _ in sorted(parts)] == (np.cumsum([0] + [n for _, n in sorted(parts)])[:-1]).tolist()
+    assert len(by_sequence) * 2048 - used < 0.03 * used and max(o + n for p in by_sequence.values() for o, n in p) <= 2048
+
+
+def test_groups_are_packed_apart(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    docs = spark.createDataFrame([(k, "some words to pack " * (k % 40)) for k in range(400)], "doc_id long, text string")
+    rows = packing.pack(docs, window=64).collect()
+    total = {}
+    for r in rows:
+        total[r.sequence_id] = total.get(r.sequence_id, 0) + r.length
+    assert sum(total.values()) == sum(r.doc_tokens for r in rows if r.start == 0) and max(total.values()) <= 64
+    assert len({s >> 33 for s in total if s % 2}) > 4
+
+
+def test_words_are_remembered_in_turn(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    encoder, plain = packing.WordEncoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    for k in range(30):
+        text = " ".join(f"word{chr(97 + (k * j) % 26)}{'.' if j % 3 else ''} stemm{chr(97 + j % 26)}," for j in range(15)) + " " + "é" * 60 + ". " + "y" * 70
+        assert np.frombuffer(encoder([text.encode()])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
+    assert len(encoder.recent) <= 20
+
+
 def test_word_ids_equal_whole_texts():
     from tokenizers import Tokenizer
 
