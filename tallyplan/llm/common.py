@@ -142,12 +142,63 @@ def byte_sums(buf: np.ndarray, keys: np.ndarray = _BYTE_KEYS) -> np.ndarray:
 
 
 def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the ranges; equal content gives equal hashes wherever it stands. Lengths count."""
+    """Hashes of the ranges; equal content gives equal hashes wherever it stands. Lengths count.
+
+    Different content may meet, and can be made to: where a match decides a result, exact_classes compares the content.
+    """
     _, down = powers(len(sums))
     h = (sums[ends] - sums[starts]) * down[starts]
     return mixed(h + (ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
 
+def exact_classes(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first member of each class, class of each element) of the ranges of ``data``: those with one content make a class.
+
+    Equal ranges must have equal hashes. Ranges of one hash are compared, so that a hash never decides; those that differ
+    are told apart by their content.
+    """
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    other = _differing(data, starts, sizes, first[inverse])
+    if not len(other):
+        return first, inverse
+    label = inverse.astype(np.int64)
+    seen: dict[tuple[int, bytes], int] = {}
+    for k in np.flatnonzero(np.isin(inverse, inverse[other])).tolist():
+        label[k] = len(first) + seen.setdefault((int(inverse[k]), data[starts[k] : starts[k] + sizes[k]].tobytes()), len(seen))
+    _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
+    return first, inverse
+
+
+def _differing(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Elements whose range isn't equal to that of the element ``like`` names."""
+    apart = np.flatnonzero(like != np.arange(len(like)))
+    out = [apart[sizes[apart] != sizes[like[apart]]]]
+    apart = apart[sizes[apart] == sizes[like[apart]]]
+    apart = apart[sizes[apart] > 0]
+    if data.dtype == np.uint8 and len(data) >= 8 and len(apart):  # eight bytes at a time, the last eight over again
+        wide = np.ndarray((len(data) - 7,), np.uint64, np.ascontiguousarray(data), 0, (1,))
+        short = sizes[apart] < 8
+        groups = [(data, apart[short], sizes[apart[short]], 1), (wide, apart[~short], (sizes[apart[~short]] + 7) // 8, 8)]
+    else:
+        groups = [(data, apart, sizes[apart], 1)]
+    for source, some, counts, step in groups:
+        ends = np.cumsum(counts)
+        at = 0
+        while at < len(some):
+            done = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + (1 << 18), side="right")))
+            part, n = some[at:to], counts[at:to]
+            inside = ragged(np.zeros(len(part), np.int64), n) * step
+            if step > 1:
+                inside = np.minimum(inside, np.repeat(sizes[part] - step, n))
+            a, b = np.repeat(starts[part], n) + inside, np.repeat(starts[like[part]], n) + inside
+            bad = source[a] != source[b]
+            if bad.any():
+                out.append(np.unique(np.repeat(part, n)[bad]))
+            at = to
+    return np.concatenate(out)
+
+
 def per_document(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of 0/1 flags between offsets."""
     sums = np.zeros(len(flags) + 1, dtype=np.int64)

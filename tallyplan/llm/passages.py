@@ -3,8 +3,9 @@
 A window is a run of a fixed number of units (words or bytes) of one document. Its anchor is its gram of least hash, so
 equal windows have equal anchors at equal places. Only anchors that stand in two places can hold a repeated window;
 their contexts (all windows of one anchor place, with the text they span) are dealt out by anchor, each bucket is judged
-by an operator's own index, and the verdicts return to the chunks. All steps are exact: an anchor's key is cut to 48
-bits, which can only bring contexts together that turn out to differ.
+by an operator's own index, and the verdicts return to the chunks, where they hold for all copies of a context. All steps
+are exact: hashes say which texts may be equal, and the texts are then compared; an anchor's key is cut to 48 bits, which can
+only bring contexts together that turn out to differ.
 """
 
 from __future__ import annotations
@@ -58,10 +59,19 @@ class Words:
         self.starts, self.ends = C.word_bounds(buf, offsets)
         self.values = C.range_hash(C.byte_sums(buf), self.starts, self.ends)
         self.offsets = np.searchsorted(self.starts, offsets)
+        # the words alone, each with one space after it
+        self.sizes = self.ends - self.starts
+        self.text = buf[np.minimum(C.ragged(self.starts, self.sizes + 1), max(0, len(buf) - 1))]
+        self.at = np.concatenate([[0], np.cumsum(self.sizes + 1)])
+        self.text[self.at[1:] - 1] = 32
 
     def slices(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Byte ranges of the units first to last (exclusive)."""
-        return self.starts[first], self.ends[last - 1]
+        """Ranges in ``text`` of the units first to last (exclusive)."""
+        return self.at[first], self.at[last] - 1
+
+    def ranks(self) -> np.ndarray:
+        """A number for each unit, from 1; equal units have equal numbers."""
+        return C.exact_classes(self.values, self.text, self.at[:-1], self.sizes)[1] + 1
 
 
 class Bytes:
@@ -72,6 +82,7 @@ class Bytes:
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         self.values = C._BYTE_KEYS[buf]
         self.offsets = offsets
+        self.text = buf
 
     def slices(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return first, last
@@ -112,8 +123,16 @@ class Runs:
         self.doc = C.owner(self.first, units.offsets)
         self.last = self.first + self.count - 1 + window  # unit after the context
 
-    def contexts(self) -> np.ndarray:
-        return C.range_hash(self.sums, self.first, self.last)
+    def contexts(self, units, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes of equal contexts: the first run of each and each run's class, and whether a run's document is its
+        class's least. The first run is one of the least document."""
+        a, b = units.slices(self.first, self.last)
+        order = np.argsort(docs, kind="stable")
+        first, inverse = C.exact_classes(C.range_hash(self.sums, self.first[order], self.last[order]), units.text, a[order], (b - a)[order])
+        of = np.empty(len(order), dtype=np.int64)
+        of[order] = inverse
+        first = order[first]
+        return first, of, docs == docs[first][of]
 
 
 def chunks_of(docs: DataFrame, tag: str) -> DataFrame:
@@ -229,17 +248,17 @@ def with_chunks(chunks: DataFrame, notes: DataFrame) -> DataFrame:
     return a.unionByName(b).repartition("chunk").sortWithinPartitions("chunk")
 
 
-def _contexts(kind, buckets: int, across: bool):
-    """Distinct contexts of a chunk's repeated anchors, in blobs by bucket: each by one place or, if documents are compared,
-    by all its places in the document of the smallest doc_id (the chunk itself decides on the others)."""
+def _contexts(kind, buckets: int):
+    """Distinct contexts of a chunk's repeated anchors, in blobs by bucket: each by its first place in the document of the
+    smallest doc_id, and with the number of its places (2 for more). The others follow its verdict in _digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        names = ["bucket", "n", "bytes", "keys", "docs", "chunks", "places", "counts", "sizes", "data"]
+        names = ["bucket", "n", "bytes", "keys", "docs", "chunks", "places", "counts", "sizes", "weights", "data"]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, docs, chunk, place, count, size = (np.concatenate([h[k] for h in held]) for k in range(6))
-            text = np.concatenate([h[6] for h in held])
+            key, docs, chunk, place, count, size, weight = (np.concatenate([h[k] for h in held]) for k in range(7))
+            text = np.concatenate([h[7] for h in held])
             held.clear()
             at = np.concatenate([[0], np.cumsum(size)])
             bucket = (key % _U(buckets)).astype(np.int64)
@@ -249,7 +268,7 @@ def _contexts(kind, buckets: int, across: bool):
             for a, b in zip(cut, ends, strict=False):
                 some = order[a:b]
                 data = text[C.ragged(at[some], size[some])]
-                blobs = [squeeze(x[some]) for x in (key, docs, chunk, place.astype(np.uint32), count.astype(np.uint8), size.astype(np.uint32))]
+                blobs = [squeeze(x[some]) for x in (key, docs, chunk, place.astype(np.uint32), count.astype(np.uint8), size.astype(np.uint32), weight.astype(np.uint8))]
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (int(bucket[some[0]]), len(some), len(data))] + [pa.array([x], pa.binary()) for x in (*blobs, deflate(data.tobytes()))], names)
 
         total = 0
@@ -263,17 +282,14 @@ def _contexts(kind, buckets: int, across: bool):
             units = kind(buf, offsets)
             runs = Runs(units)
             where = np.minimum(np.searchsorted(wanted, runs.key), len(wanted) - 1)
-            some = np.flatnonzero(wanted[where] == runs.key)
-            context, docs = runs.contexts()[some], _ids(head["ids"])[runs.doc[some]]
-            order = np.lexsort((docs, context))
-            new = np.concatenate([[True], context[order][1:] != context[order][:-1]]) if len(order) else np.zeros(0, bool)
-            if across and len(order):
-                first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-                new = docs[order] == docs[order][first]
-            some, docs = some[order[new]], docs[order[new]]
+            docs = _ids(head["ids"])[runs.doc]
+            some, of, _ = runs.contexts(units, docs)
+            weight = np.minimum(np.bincount(of), 2)
+            good = wanted[where[some]] == runs.key[some]
+            some, weight = some[good], weight[good]
             a, b = units.slices(runs.first[some], runs.last[some])
-            text = buf[C.ragged(a, b - a)]
-            held.append((runs.key[some], docs, np.full(len(some), chunk, np.int64), runs.first[some], runs.count[some], b - a, text))
+            text = units.text[C.ragged(a, b - a)]
+            held.append((runs.key[some], docs[some], np.full(len(some), chunk, np.int64), runs.first[some], runs.count[some], b - a, weight, text))
             total += len(text) + 40 * len(some)
             if total >= FLUSH_BYTES:
                 yield from flush()
@@ -285,23 +301,19 @@ def _contexts(kind, buckets: int, across: bool):
 
 
 class Group:
-    """The contexts of some anchors: distinct texts, and each entry's text, document, chunk, place and windows."""
+    """The contexts of some anchors: distinct texts, and each entry's text, document, chunk, place, windows and weight."""
 
-    def __init__(self, kind, key, docs, chunk, place, count, size, text):
-        self.kind, self.docs, self.chunk, self.place, self.count = kind, docs, chunk, place, count
+    def __init__(self, kind, key, docs, chunk, place, count, size, weight, text):
+        self.docs, self.chunk, self.place, self.count = docs, chunk, place, count
         at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        units = kind(text, at)
-        spans = units.offsets
-        hashes = C.range_hash(C.prefix_sums(units.values), spans[:-1], spans[1:]) ^ C.mixed(key.copy())
-        _, first, self.distinct = np.unique(hashes, return_index=True, return_inverse=True)
+        hashes = C.range_hash(C.byte_sums(text), at[:-1], at[1:])
+        first, self.distinct = C.exact_classes(hashes, text, at[:-1], size)
         # the distinct contexts' own units, one after the other
-        lengths = np.diff(spans)[first]
-        self.values = units.values[C.ragged(spans[:-1][first], lengths)]
-        self.text = text[C.ragged(at[:-1][first], np.diff(at)[first])]
-        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
+        self.text = text[C.ragged(at[:-1][first], size[first])]
+        self.units = kind(self.text, np.concatenate([[0], np.cumsum(size[first])]))
+        self.offsets = self.units.offsets
         self.windows = count[first]
-        self.key = key[first]
-        self.entries = np.bincount(self.distinct, minlength=len(first))
+        self.weight = np.bincount(self.distinct, weight).astype(np.int64)
         self.least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.distinct, docs)
 
@@ -309,11 +321,6 @@ class Group:
         """(context, unit) of every window of the distinct contexts."""
         return np.repeat(np.arange(len(self.windows)), self.windows), C.ragged(self.offsets[:-1], self.windows)
 
-    def alone(self) -> np.ndarray:
-        """Contexts that no other context shares its anchor with."""
-        _, inverse, count = np.unique(self.key, return_inverse=True, return_counts=True)
-        return count[inverse] == 1
-
 
 def _judge(kind, judge: Callable[[Group], np.ndarray], pack_bytes: int):
     """Intervals of windows (chunk, first, last unit) that ``judge`` finds repeated, by bucket.
@@ -323,22 +330,21 @@ def _judge(kind, judge: Callable[[Group], np.ndarray], pack_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key("bucket", batches):
-            kinds = (("keys", np.uint64), ("docs", np.int64), ("chunks", np.int64), ("places", np.uint32), ("counts", np.uint8), ("sizes", np.uint32))
-            key, docs, chunk, place, count, size = (np.concatenate([expand(r[c], r["n"], t) for r in rows]) for c, t in kinds)
+            kinds = (("keys", np.uint64), ("docs", np.int64), ("chunks", np.int64), ("places", np.uint32), ("counts", np.uint8), ("sizes", np.uint32), ("weights", np.uint8))
+            key, docs, chunk, place, count, size, weight = (np.concatenate([expand(r[c], r["n"], t) for r in rows]) for c, t in kinds)
             place, count, size = place.astype(np.int64), count.astype(np.int64), size.astype(np.int64)
             text = np.concatenate([np.frombuffer(pa.decompress(r["data"], r["bytes"], "zstd", asbytes=True), np.uint8) for r in rows])
             at = np.concatenate([[0], np.cumsum(size)])
             order = np.argsort(key, kind="stable")
             sorted_key = key[order]
             cut = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
-            weight = np.add.reduceat(size[order], cut)
-            pack = np.cumsum(weight) // pack_bytes
+            pack = np.cumsum(np.add.reduceat(size[order], cut)) // pack_bytes
             packs = np.flatnonzero(np.concatenate([[True], pack[1:] != pack[:-1]]))
             bounds = np.concatenate([cut[packs], [len(order)]])
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 some = order[a:b]
-                group = Group(kind, key[some], docs[some], chunk[some], place[some], count[some], size[some], text[C.ragged(at[some], size[some])])
+                group = Group(kind, key[some], docs[some], chunk[some], place[some], count[some], size[some], weight[some], text[C.ragged(at[some], size[some])])
                 gone = judge(group)  # a flag for each window of each entry
                 found.append((np.repeat(group.chunk, group.count)[gone], C.ragged(group.place, group.count)[gone]))
             owner, first = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -361,7 +367,7 @@ def _judge(kind, judge: Callable[[Group], np.ndarray], pack_bytes: int):
 
 
 def _digest(kind, across: bool, finish: Callable):
-    """Applies the intervals, and what a chunk repeats within itself, and lets ``finish`` make the rows."""
+    """Applies the intervals, to a context's copies in the chunk as well, and lets ``finish`` make the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key("chunk", batches):
@@ -369,25 +375,29 @@ def _digest(kind, across: bool, finish: Callable):
             buf, offsets = opened(head["size"], head["lengths"], head["data"])
             units = kind(buf, offsets)
             runs = Runs(units)
-            marks = np.zeros(len(units.values) + 1, dtype=np.int64)
+            n, window = len(units.values), kind.window
+            marks = np.zeros(n + 2, dtype=np.int64)
             for r in rows:
                 if r["blob"] is not None:
                     span = expand(r["blob"], 2 * r["n"], np.uint32).astype(np.int64)
                     np.add.at(marks, span[: r["n"]], 1)
-                    np.add.at(marks, span[r["n"] :], -1)
+                    np.add.at(marks, span[r["n"] :] - window + 1, -1)
+            gone = np.cumsum(marks[:n]) > 0  # windows, by their first unit
             if len(runs.first):
-                context, docs = runs.contexts(), _ids(head["ids"])[runs.doc]
-                order = np.argsort(context, kind="stable")
-                cut = np.flatnonzero(np.concatenate([[True], context[order][1:] != context[order][:-1]]))
-                size = np.diff(np.concatenate([cut, [len(order)]]))
+                docs = _ids(head["ids"])[runs.doc]
+                first, of, least = runs.contexts(units, docs)
+                copies = np.flatnonzero(first[of] != np.arange(len(of)))
                 if across:
-                    least = np.repeat(np.minimum.reduceat(docs[order], cut), size)
-                    gone = order[(docs[order] > least) & (docs[order] != _NONE)]
-                else:
-                    gone = order[np.repeat(size > 1, size)]
-                np.add.at(marks, runs.first[gone], 1)
-                np.add.at(marks, runs.last[gone], -1)
-            yield finish(head["ids"], buf, offsets, units, np.cumsum(marks[:-1]) > 0)
+                    other = copies[~least[copies] & (docs[copies] != _NONE)]
+                    gone[C.ragged(runs.first[other], runs.count[other])] = True
+                    copies = copies[least[copies]]
+                like = first[of[copies]]
+                gone[C.ragged(runs.first[copies], runs.count[copies])] = gone[C.ragged(runs.first[like], runs.count[copies])]
+            begin = np.flatnonzero(gone)
+            marks = np.zeros(n + 1, dtype=np.int64)
+            marks[begin] += 1
+            np.add.at(marks, begin + window, -1)
+            yield finish(head["ids"], buf, offsets, units, np.cumsum(marks[:n]) > 0)
 
     return run
 
@@ -401,6 +411,6 @@ def remove(docs: DataFrame, tag: str, kind, judge: Callable[[Group], np.ndarray]
     anchors = chunks.mapInArrow(_anchors(kind, buckets, across), "bucket long, n long, chunks array<long>, keys binary, refs binary")
     repeated = anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "chunk long, n long, blob binary")
     buckets = 1 + int(total / BUCKET_TEXT)
-    contexts = with_chunks(chunks, repeated).mapInArrow(_contexts(kind, buckets, across), "bucket long, n long, bytes long, keys binary, docs binary, chunks binary, places binary, counts binary, sizes binary, data binary")
+    contexts = with_chunks(chunks, repeated).mapInArrow(_contexts(kind, buckets), "bucket long, n long, bytes long, keys binary, docs binary, chunks binary, places binary, counts binary, sizes binary, weights binary, data binary")
     gone = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(kind, judge, pack_bytes), "chunk long, n long, blob binary")
     return with_chunks(chunks, gone).mapInArrow(_digest(kind, across, finish), schema)

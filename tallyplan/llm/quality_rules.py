@@ -35,6 +35,14 @@ _UPPER, _DIGIT = _table(bytes(range(65, 91))), _table(bytes(range(48, 58)))
 _MARK = _table(bytes(c for c in range(33, 127) if not chr(c).isalnum()))
 
 
+def _classes(keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As exact_classes, but within documents; keys hold the document by a salt, so that they hardly ever meet across two."""
+    first, inverse = C.exact_classes(keys, data, starts, sizes)
+    if (doc[first][inverse] != doc).any():
+        _, first, inverse = np.unique(doc * len(first) + inverse, return_index=True, return_inverse=True)
+    return first, inverse
+
+
 def statistics(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(counts, features) of the documents in a block, a row each."""
     docs = len(offsets) - 1
@@ -59,23 +67,23 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     line_doc = C.owner(line_starts, offsets)
     salt = C.mixed(np.arange(docs, dtype=np.uint64) + np.uint64(77))
     keys = C.range_hash(sums, line_starts, line_ends) ^ salt[line_doc]
-    _, firsts = np.unique(keys, return_index=True)
+    firsts, _ = _classes(keys, buf, line_starts, line_ends - line_starts, line_doc)
     n_lines = np.bincount(line_doc, minlength=docs)
     n_dup = n_lines - np.bincount(line_doc[firsts], minlength=docs)
 
-    words = C.range_hash(sums, starts, ends)
+    distinct_words, words = C.exact_classes(C.range_hash(sums, starts, ends), buf, starts, ends - starts)
     n_repeat = np.zeros(docs, dtype=np.int64)
     if len(words) >= 8:
         at = np.arange(len(words) - 7)
         at = at[word_doc[at] == word_doc[at + 7]]
-        windows = C.range_hash(C.prefix_sums(words), at, at + 8) ^ salt[word_doc[at]]
-        _, inverse, count = np.unique(windows, return_inverse=True, return_counts=True)
-        hit = at[count[inverse] > 1]
+        windows = C.range_hash(C.prefix_sums(C.mixed(words.astype(np.uint64) + np.uint64(1))), at, at + 8) ^ salt[word_doc[at]]
+        _, inverse = _classes(windows, words, at, np.full(len(at), 8), word_doc[at])
+        hit = at[np.bincount(inverse)[inverse] > 1]
         marks = np.zeros(len(words) + 1, dtype=np.int64)
         np.add.at(marks, hit, 1)
         np.add.at(marks, hit + 8, -1)
         n_repeat = C.per_document(np.cumsum(marks[:-1]) > 0, word_at)
-    _, firsts = np.unique(words ^ salt[word_doc], return_index=True)
+    _, firsts = np.unique(word_doc * len(distinct_words) + words, return_index=True)
     distinct = np.bincount(word_doc[firsts], minlength=docs)
     counts = np.stack([n_words, word_chars, n_symbols, n_dup, n_repeat], axis=1).astype(np.int64)
     w, c = np.maximum(n_words, 1), np.maximum(word_chars, 1)

@@ -71,29 +71,21 @@ def shared_prefixes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
 def judge(group: P.Group) -> np.ndarray:
     """For each window of each entry: does a smaller doc_id have it?"""
     context, unit = group.window_places()
-    least = group.least[context]
-    mixed = ~group.alone()
-    if mixed.any():
-        # contexts that share their anchor with another go into the transform
-        chosen = np.flatnonzero(mixed)
-        lengths = np.diff(group.offsets)[chosen]
-        text = np.zeros(int(lengths.sum()) + len(chosen), dtype=np.uint8)
-        base = np.cumsum(lengths + 1) - (lengths + 1)
-        text[C.ragged(base, lengths)] = group.text[C.ragged(group.offsets[:-1][chosen], lengths)]
-        order, classes = shared_prefixes(text, MIN_BYTES)
-        of = np.empty(len(text), dtype=np.int64)
-        of[order] = classes
-        shift = np.zeros(len(group.windows), dtype=np.int64)
-        shift[chosen] = base - group.offsets[:-1][chosen]
-        some = np.flatnonzero(mixed[context])
-        mine = of[unit[some] + shift[context[some]]]
-        best = np.full(int(classes[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, mine, least[some])
-        least[some] = best[mine]
+    # the contexts one after the other, each closed by a symbol of 0
+    lengths = np.diff(group.offsets)
+    text = np.zeros(len(group.text) + len(lengths), dtype=np.uint8)
+    base = group.offsets[:-1] + np.arange(len(lengths))
+    text[C.ragged(base, lengths)] = group.text
+    order, classes = shared_prefixes(text, MIN_BYTES)
+    of = np.empty(len(text), dtype=np.int64)
+    of[order] = classes
+    mine = of[unit + context]
+    least = np.full(int(classes[-1]) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, mine, group.least[context])
     starts = np.cumsum(group.windows) - group.windows
     window = C.ragged(starts[group.distinct], group.count)
     own = np.repeat(group.docs, group.count)
-    return (least[window] < own) & (own != P._NONE)
+    return (least[mine][window] < own) & (own != P._NONE)
 
 
 def _finish(ids, buf, offsets, units, gone) -> pa.RecordBatch:

@@ -1,8 +1,8 @@
 """Substring dedup of words: prefix-partitioned suffix trees.
 
 The suffixes of a pack of contexts are split by prefixes of as many words as it takes until each part fits a memory
-bound. A part's subtree is built from its sorted suffixes and their common prefixes; an internal node as deep as the
-window length is a maximal repeat, and every window below it stands in two places.
+bound. A part's subtree is built from its sorted suffixes and their common prefixes. A leaf weighs as many places as its
+suffix has; a node as deep as the window length that weighs two or more is a repeat, and every window below it goes.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ MIN_WORDS = 35
 PART_SUFFIXES, PACK_BYTES = 1 << 14, 6 << 20
 
 
-def prefix_parts(ranks: np.ndarray, suffixes: np.ndarray, most: int, depth: int) -> list[tuple[np.ndarray, int]]:
-    """The suffixes in parts of at most ``most``, with the length of the prefix that each part's suffixes share.
+def prefix_parts(ranks: np.ndarray, suffixes: np.ndarray, most: int, depth: int) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """The suffixes in parts of at most ``most``, with the length of the prefix that each part's suffixes share; and those
+    that are leaves, having a prefix for themselves.
 
     Prefixes grow by a word where a part is too large; at full depth all of a part is one repeat. Small neighbours are
     put together, with a shared length of 0.
     """
     done: list[tuple[np.ndarray, int]] = []
+    leaves: list[np.ndarray] = []
     loose: list[np.ndarray] = []
     size = 0
     open_ = [(suffixes, 0)]
@@ -50,7 +52,8 @@ def prefix_parts(ranks: np.ndarray, suffixes: np.ndarray, most: int, depth: int)
         counts = np.diff(np.concatenate([cut, [len(word)]]))
         single = np.repeat(counts == 1, counts)
         small = part[order][~single & np.repeat(counts <= most // 4, counts)]
-        # prefixes of one suffix are leaves; those of few suffixes are cut into ranges of whole prefixes
+        leaves.append(part[order][single])
+        # prefixes of few suffixes are cut into ranges of whole prefixes
         if len(small):
             keep = counts[(counts > 1) & (counts <= most // 4)]
             ends = np.cumsum(keep)
@@ -64,7 +67,7 @@ def prefix_parts(ranks: np.ndarray, suffixes: np.ndarray, most: int, depth: int)
             open_.append((part[order][cut[s] : cut[s] + counts[s]], shared + 1))
     if loose:
         done.append((np.concatenate(loose), 0))
-    return done
+    return done, np.concatenate(leaves) if leaves else suffixes[:0]
 
 
 def deep_nodes(ranks: np.ndarray, part: np.ndarray, shared: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,19 +87,16 @@ def deep_nodes(ranks: np.ndarray, part: np.ndarray, shared: int, depth: int) ->
 def judge(group: P.Group) -> np.ndarray:
     """For each window of each entry: does its word sequence start anywhere else?"""
     context, unit = group.window_places()
-    places = group.entries[context] > 1  # the whole context stands in two chunks
-    mixed = ~group.alone()
-    some = np.flatnonzero(mixed[context])
-    if len(some):
-        _, ranks = np.unique(group.values, return_inverse=True)
-        ranks = ranks.astype(np.int64) + 1
-        suffixes = unit[some]
-        row = np.full(len(group.values), -1, dtype=np.int64)
-        row[suffixes] = some
-        for part, shared in prefix_parts(ranks, suffixes, PART_SUFFIXES, MIN_WORDS):
-            leaves, node = deep_nodes(ranks, part, shared, MIN_WORDS)
-            many = np.bincount(node)[node] > 1
-            places[row[leaves[many]]] = True
+    ranks = group.units.ranks()
+    weight = np.zeros(len(ranks), dtype=np.int64)
+    weight[unit] = group.weight[context]
+    gone = np.zeros(len(ranks), dtype=bool)
+    parts, leaves = prefix_parts(ranks, unit, PART_SUFFIXES, MIN_WORDS)
+    gone[leaves] = weight[leaves] > 1
+    for part, shared in parts:
+        suffixes, node = deep_nodes(ranks, part, shared, MIN_WORDS)
+        gone[suffixes] = np.bincount(node, weight[suffixes])[node] > 1
+    places = gone[unit]
     starts = np.cumsum(group.windows) - group.windows
     return places[C.ragged(starts[group.distinct], group.count)]
 

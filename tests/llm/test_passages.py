@@ -106,12 +106,29 @@ def test_prefix_parts_hold_every_repeat():
     suffixes = np.arange(3900)
     pairs = collections.Counter(tuple(ranks[k : k + 12]) for k in suffixes)
     deep = set()
-    for part, shared in suffix_tree.prefix_parts(ranks, suffixes, 64, 12):
+    parts, alone = suffix_tree.prefix_parts(ranks, suffixes, 64, 12)
+    assert sorted(np.concatenate([alone, *(p for p, _ in parts)]).tolist()) == suffixes.tolist()
+    assert all(pairs[tuple(ranks[k : k + 12])] == 1 for k in alone.tolist())
+    for part, shared in parts:
         leaves, node = suffix_tree.deep_nodes(ranks, part, shared, 12)
         deep |= set(leaves[np.bincount(node)[node] > 1].tolist())
     assert deep == {k for k in suffixes.tolist() if pairs[tuple(ranks[k : k + 12])] > 1}
 
 
+@pytest.mark.parametrize("kind", ["tree", "transform"])
+def test_all_comes_from_the_index(spark, monkeypatch, kind):
+    """Without the tree's weights, or with a transform whose rows are all apart, nothing goes, copies included."""
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, text) for k in range(5)] + [(9, "left " + text + " right")], "doc_id long, text string")
+    if kind == "tree":
+        kept = suffix_tree.dedup_words(docs)
+        assert {len(r.text) for r in kept.where("doc_id < 9").collect()} == {0}
+        monkeypatch.setattr(suffix_tree, "judge", lambda group: np.zeros(int(group.count.sum()), bool))
+        assert suffix_tree.dedup_words(docs).where(f"length(text) >= {len(text)}").count() == 6
+    else:
+        assert {len(r.kept) for r in suffix_array.dedup_bytes(docs).where("doc_id between 1 and 8").collect()} == {0}
+
+
 def test_planes():
     a = np.array([1, 70_000, 2**40, 5], dtype=np.uint64)
     assert (passages.expand(passages.squeeze(a), 4, np.uint64) == a).all()
