@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from tallyplan.llm import common as C
 
-#: Most documents that the CRF's weights are fitted on (chosen by the hashes of their ids), and the words taken from each.
-SAMPLE_DOCS, SAMPLE_WORDS = 4_000, 192
+#: Most documents that the CRF's weights are fitted on, an equal share for each language, chosen by the hashes of their ids;
+#: and the stretches of words taken from each, spread over its whole text.
+SAMPLE_DOCS, STRETCHES = 4_000, 12
 #: Buckets of the hashed weights and of the lexicon.
 BUCKETS = 1 << 16
 SLICES = 8
-#: Words of a training sequence; two documents' halves meet in each, so that transitions are learned.
+#: Most words of a training sequence; the stretches of two documents meet in each, so that transitions are learned.
 STEPS = 32
 #: Words handled at once by forward-backward.
 GROUP_WORDS = 1 << 18
@@ -95,10 +96,10 @@ def _grams(words: Words, a: int, b: int) -> np.ndarray:
     return ((low[:-2] * 65536 + low[1:-1] * 256 + low[2:]) * 0x9E3779B1 >> 7) % BUCKETS
 
 
-def marginals(scores: np.ndarray, counts: np.ndarray, stay: np.ndarray) -> np.ndarray:
+def marginals(scores: np.ndarray, counts: np.ndarray, stay: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Posterior label probabilities of the words of sequences laid one after the other; ``stay`` holds exp(transitions).
 
-    Scaled forward-backward over all sequences at once, step by step; sequences are in falling order of length inside.
+    ``pairs`` is increased by the posterior probabilities of the labels of neighbours, summed over all of them. Scaled forward-backward over all sequences at once, step by step; sequences are in falling order of length inside.
     """
     labels = scores.shape[1]
     emit = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
@@ -124,6 +125,9 @@ def marginals(scores: np.ndarray, counts: np.ndarray, stay: np.ndarray) -> np.nd
         at = firsts[:k] + t
         post = alpha[at] * beta[:k]
         out[at] = post / post.sum(axis=1, keepdims=True)
+        if pairs is not None and t:
+            joint = alpha[at - 1][:, :, None] * stay[None] * (beta[:k] * emit[at])[:, None, :]
+            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         back = (beta[:k] * emit[at]) @ stay.T
         beta[:k] = back / back.sum(axis=1, keepdims=True)
     return out
@@ -144,13 +148,33 @@ def _count_words(langs: list[str]):
     return run
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of up to STEPS // 2 words, evenly spread over each whole text; all of a text that has no more."""
+    half = STEPS // 2
+    for batch in batches:
+        ids, langs = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
+        for first, _, buf, offsets in C.text_blocks(batch):
+            starts, ends = C.run_bounds(_LETTER[buf], offsets)
+            count = np.bincount(C.owner(starts, offsets), minlength=len(offsets) - 1)
+            rows = []
+            for d, at in zip(np.flatnonzero(count).tolist(), (np.cumsum(count) - count)[count > 0].tolist(), strict=True):
+                n = int(count[d])
+                places = range(0, n, half) if n <= half * STRETCHES else [j * (n - half) // (STRETCHES - 1) for j in range(STRETCHES)]
+                rows += [(ids[first + d], langs[first + d], buf[starts[at + k] : ends[at + min(n, k + half) - 1]].tobytes()) for k in places]
+            doc, lang, text = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lang, pa.string()), pa.array(text, pa.binary())], ["doc_id", "lang", "text"])
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
-    """Learns from ``docs(doc_id, text, lang)``: the lexicon counts the words of all of them, the weights are fitted on a
-    bounded sample. None if there is nothing to learn from."""
+    """Learns from ``docs(doc_id, text, lang)``: the lexicon counts the words of all of them, the weights are fitted on
+    stretches from anywhere in the texts of a bounded sample, with as many documents for each language. None if there is nothing to learn from."""
     docs = docs.where("lang is not null and text is not null")
-    langs = [r["lang"] for r in docs.groupBy("lang").count().orderBy("lang").collect()]  # the label set
+    rows = docs.groupBy("lang").count().orderBy("lang").collect()  # the label set
+    langs = [r["lang"] for r in rows]
     if not langs:
         return None
+    most = max(1, sample_docs // len(langs))
+    shares = {r["lang"]: min(1.0, 0.95 * most / r["count"]) for r in rows}
     size = BUCKETS // SLICES * len(langs)
     parts = docs.select("text", "lang").mapInArrow(_count_words(langs), "slice int, part binary")
     counts = C.summed_slices(parts, SLICES, size).reshape(BUCKETS, len(langs)).astype(float)
@@ -159,32 +183,33 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
     seen = counts.sum(axis=1, keepdims=True)
     lexicon = np.clip(odds, -4, 4) * (seen / (seen + 5))
 
-    sample = C.hash_sample(docs.withColumn("text", F.substring("text", 1, SAMPLE_WORDS * 24)), "doc_id", sample_docs).select("doc_id", "text", "lang").collect()
-    sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
+    share = F.create_map(*(x for lang, part in shares.items() for x in (F.lit(lang), F.lit(int(part * (1 << 30))))))
+    chosen = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(1 << 30)) < share[F.col("lang")])
+    sample = chosen.mapInArrow(_stretches, "doc_id long, lang string, text binary").limit(sample_docs * STRETCHES).collect()
+    sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], bytes(r["text"])))
     rng = np.random.default_rng(5)
-    table = pa.RecordBatch.from_pylist([{"text": r["text"]} for r in sample], pa.schema([("text", pa.string())]))
+    table = pa.RecordBatch.from_arrays([pa.array([bytes(r["text"]) for r in sample], pa.binary())], ["text"])
     target = np.array([langs.index(r["lang"]) for r in sample])
     affixes, grams, lexes, golds = [], [], [], []
     for first, rows, buf, offsets in C.text_blocks(table):
         words = Words(buf, offsets)
         aff, lex, gram = words.affixes(), words.lexicon(), words.grams()
-        firsts = np.cumsum(words.count) - words.count
-        for d in np.flatnonzero(words.count >= STEPS // 2):
-            for at in range(int(firsts[d]), int(firsts[d] + min(words.count[d], SAMPLE_WORDS)) - STEPS // 2 + 1, STEPS // 2):
-                some = slice(at, at + STEPS // 2)
-                affixes.append(aff[some]), lexes.append(lex[some]), golds.append(target[first + d])
-                grams.append([gram[s : max(s, e - 2)] for s, e in zip(words.starts[some], words.ends[some], strict=True)])
+        ends = np.cumsum(words.count)
+        for d in np.flatnonzero(words.count):
+            some = slice(int(ends[d] - words.count[d]), int(ends[d]))
+            affixes.append(aff[some]), lexes.append(lex[some]), golds.append(target[first + d])
+            grams.append([gram[x : max(x, y - 2)] for x, y in zip(words.starts[some], words.ends[some], strict=True)])
     n = len(langs)
     model = {"langs": langs, "bias": np.zeros(n), "affix": np.zeros((BUCKETS, n), np.float32), "gram": np.zeros((BUCKETS, n), np.float32), "lexicon": lexicon.astype(np.float32), "stay": np.eye(n) * 2.0}
     squares = {k: np.full(model[k].shape, 1e-3) for k in ("bias", "affix", "gram", "stay")}
     weight, weight_square = 0.5, 1e-3
-    half = STEPS // 2
     for step in range(160 if len(golds) > 1 else 0):
         left, right = rng.integers(0, len(golds), 48), rng.integers(0, len(golds), 48)
         pick = np.stack([left, np.where(rng.random(48) < 0.5, left, right)], axis=1).ravel()
         aff = np.concatenate([affixes[p] for p in pick])
         lex = np.concatenate([lexes[p] for p in pick])
-        gold = np.repeat([golds[p] for p in pick], half)
+        sizes = np.array([len(lexes[p]) for p in pick])
+        gold = np.repeat([golds[p] for p in pick], sizes)
         gram = [g for p in pick for g in grams[p]]
         size = np.array([len(g) for g in gram])
         flat = np.concatenate(gram) if size.sum() else np.zeros(0, np.int64)
@@ -194,13 +219,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
         for k in range(n):
             score[:, k] += np.bincount(word, model["gram"][flat, k] * per, len(gold))
         trans = np.exp(model["stay"])
-        post = marginals(score, np.full(len(pick) // 2, STEPS), trans)
+        lengths = sizes.reshape(-1, 2).sum(axis=1)
+        expected, seen_pairs = np.zeros((n, n)), np.zeros((n, n))
+        post = marginals(score, lengths, trans, expected)
         error = (np.eye(n)[gold] - post) / len(pick)
-        pair = np.arange(len(gold))[np.arange(len(gold)) % STEPS != STEPS - 1]
-        seen_pairs = np.zeros((n, n))
+        inside = np.ones(len(gold), dtype=bool)
+        inside[np.cumsum(lengths) - 1] = False
+        pair = np.flatnonzero(inside)
         np.add.at(seen_pairs, (gold[pair], gold[pair + 1]), 1)
-        joint = post[pair][:, :, None] * trans[None] * post[pair + 1][:, None, :]
-        expected = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(0)
         grads = {"bias": error.sum(0), "stay": (seen_pairs - expected) / len(pick)}
         for name, index, rows in (("affix", aff.ravel(), np.repeat(error, aff.shape[1], axis=0)), ("gram", flat, error[word] * per[:, None])):
             g = np.stack([np.bincount(index, rows[:, k], BUCKETS) for k in range(n)], axis=1)
@@ -240,7 +266,8 @@ def label_documents(buf: np.ndarray, offsets: np.ndarray, model: dict) -> tuple[
 def identify(docs: DataFrame, learn_from: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, lang_pred and score of every row of ``docs(doc_id, text, ...)``.
 
-    A null text, or one without a letter, is ``und`` with score 0; so is everything if there is nothing to learn from.
+    A null text, or one without a letter, is ``und`` with score 0; so is everything if there is nothing to learn from. Very
+    long texts are labelled whole; of labels with equal mass the first in order of name is taken.
     Repeated rows are labelled alike, a null doc_id stays null, an empty table gives no rows, further columns are not used.
     """
     model = train(learn_from, sample_docs)

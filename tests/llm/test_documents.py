@@ -409,16 +409,39 @@ def test_marginals_equal_enumeration():
     rng = np.random.default_rng(6)
     scores, counts = rng.normal(size=(7, 3)), np.array([0, 4, 3])
     stay = np.exp(rng.normal(size=(3, 3)))
-    got = language_id.marginals(scores, counts, stay)
+    pairs, both = np.zeros((3, 3)), np.zeros((3, 3))
+    got = language_id.marginals(scores, counts, stay, pairs)
     import itertools
 
     for a, n in ((0, 4), (4, 3)):
-        mass = np.zeros((n, 3))
+        mass, joint = np.zeros((n, 3)), np.zeros((n - 1, 3, 3))
         for path in itertools.product(range(3), repeat=n):
             p = np.prod([np.exp(scores[a + k, s]) for k, s in enumerate(path)]) * np.prod([stay[x, y] for x, y in zip(path, path[1:], strict=False)])
             for k, s in enumerate(path):
                 mass[k, s] += p
+                if k:
+                    joint[k - 1, path[k - 1], s] += p
         assert np.allclose(got[a : a + n], mass / mass.sum(axis=1, keepdims=True))
+        both += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    assert np.allclose(pairs, both)
+
+
+def test_stretches_come_from_whole_texts(spark):
+    texts = [" ".join(f"w{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{chr(97 + k // 676)}" for k in range(n)) for n in (3, 192, 5000)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": k, "lang": "x", "text": t} for k, t in enumerate([*texts, "", None, "12"])], pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())]))
+    rows = [r for b in language_id._stretches([batch]) for r in b.to_pylist()]
+    by_doc = {k: [r["text"].decode() for r in rows if r["doc_id"] == k] for k in range(6)}
+    assert by_doc[0] == [texts[0]] and " ".join(by_doc[1]) == texts[1] and len(by_doc[2]) == language_id.STRETCHES
+    assert texts[2].startswith(by_doc[2][0]) and texts[2].endswith(by_doc[2][-1]) and not by_doc[3] + by_doc[4] + by_doc[5]
+
+
+def test_short_and_rare_languages_are_learned(spark):
+    rows = [(k, "the of and thing with word " * 9, "aa") for k in range(300)] + [(1000 + k, "oui non", "bb") for k in range(6)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(spark.createDataFrame([(1, "non oui oui"), (2, "with the thing")], "doc_id long, text string"), learn, sample_docs=40).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "bb", 2: "aa"}
 
 
 def test_quality(spark):
