@@ -8,6 +8,8 @@ Patterns of high confidence then mark tokens that no base pattern knows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +35,23 @@ MIN_LENGTH = 6
 START, ANY, EARLIER = "\x02", "\x03", "\x04"
 
 
+#: Matches that are laid out one by one; blocks of them are then moved to their place, so that long texts stay cheap.
+BLOCK = 512
+SPAN = "struct<start:int,end:int,match:string,gap:string>"
+
+
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def found(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as structs (start, end, match, gap), in code points; gap is the text before it."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string,gap:string>>)").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         gap, match = F.coalesce(pair["g"], F.lit("")), pair["m"]
@@ -45,7 +60,19 @@ def found(text: Column, pattern: str) -> Column:
         one = F.struct(first.cast("int").alias("start"), last.cast("int").alias("end"), match.alias("match"), gap.alias("gap"))
         return F.when(match.isNull(), acc).otherwise(F.struct(last.cast("int").alias("at"), F.array_append(acc["out"], one).alias("out")))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def laid_out(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), _none(SPAN).alias("out")), step)
+
+    def moved(acc: Column, block: Column) -> Column:
+        there = F.transform(block["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["match"].alias("match"), s["gap"].alias("gap")))
+        return F.struct((acc["at"] + block["at"]).cast("int").alias("at"), F.array_append(acc["out"], there).alias("out"))
+
+    def whole(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(all_), F.lit(BLOCK)), lambda i: laid_out(F.slice(all_, i, BLOCK)))
+        many = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), _none(f"array<{SPAN}>").alias("out")), moved, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(all_) <= BLOCK, laid_out(all_)["out"]).otherwise(many)
+
+    return _bound(pairs, whole)
 
 
 def _digits(match: Column) -> Column:
@@ -99,13 +126,21 @@ def candidates(text: Column) -> Column:
         first = s["start"] + lead
         return F.struct(first.cast("int").alias("start"), (first + F.length(token)).cast("int").alias("end"), token.alias("token"), last.alias("last"), other.alias("other"))
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.when(s["last"] == "", acc["last"]).otherwise(s["last"])
-        other = F.when(s["other"] != "", s["other"]).when(s["last"] != "", acc["last"]).otherwise(acc["other"])
-        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), F.concat(other, F.lit(" "), last).alias("context"))
-        return F.struct(last.alias("other"), F.lit(EARLIER).alias("last"), F.array_append(acc["out"], one).alias("out"))
+    def before(k: Column) -> Column:
+        return F.when(k > 0, F.lit(EARLIER)).otherwise(F.lit(START))
+
+    def last_word(s: Column, k: Column) -> Column:
+        return F.when(s["last"] != "", s["last"]).otherwise(before(k))
 
-    got = F.aggregate(F.transform(found(text, TOKEN), shape), F.struct(F.lit(START).alias("other"), F.lit(START).alias("last"), none.alias("out")), step, lambda acc: acc["out"])
+    def placed(tokens: Column) -> Column:
+        def one(s: Column, k: Column) -> Column:
+            earlier = F.when(k > 0, last_word(F.get(tokens, k - 1), k - 1)).otherwise(F.lit(START))
+            other = F.when(s["other"] != "", s["other"]).when(s["last"] != "", before(k)).otherwise(earlier)
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), F.concat(other, F.lit(" "), last_word(s, k)).alias("context"))
+
+        return F.transform(tokens, one)
+
+    got = _bound(F.transform(found(text, TOKEN), shape), placed)
     return F.when(text.rlike("[0-9@]"), F.filter(got, lambda c: F.length(c["token"]) >= 2)).otherwise(none)
 
 
@@ -164,8 +199,9 @@ def _gathered(new: DataFrame) -> DataFrame:
 def personal_data(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, the hash of the base spans, and all spans, for every row of ``docs(doc_id, text, ...)``.
 
-    A null text is empty and has no span; a null doc_id stays null; rows that repeat get the same spans each; an empty
-    table gives no rows; further columns are not used.
+    A null text is empty and has no span; a null doc_id stays null; rows that repeat get the same spans each; very long texts
+    are read whole; of patterns with equal confidence the first kind in reverse order of KINDS decides; an empty table gives no
+    rows; further columns are not used.
     """
     notes = annotate(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id").select("doc_id", "text_key", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.concat(*KINDS).alias("spans"), "candidates")
     notes = C.materialize(notes, "pii")
@@ -185,15 +221,20 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every span becomes its kind in angle brackets; n_chars follows the text, a null text stays null."""
+    """Pipeline stage: every span becomes its kind in angle brackets; n_chars follows the text, a null text stays null.
+
+    Of spans that overlap the first stays, of those that start together the shortest. Rows with a null doc_id, repeated rows
+    and very long texts are redacted like any other; an empty table gives no rows; further columns pass, whatever their names.
+    """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
+    own_, id_, key_, spans_ = C.fresh_names(docs, "own", "id", "key", "spans")
     notes = annotate(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id").select("doc_id", "text_key", F.concat(*KINDS).alias("spans"), "candidates").where("size(candidates) > 0 or size(spans) > 0")
     notes = C.materialize(notes, "pii-stage")
     found_ = notes.where("size(spans) > 0").select("doc_id", "text_key", F.explode("spans").alias("s")).select("doc_id", "text_key", "s.kind", "s.start", "s.end")
-    spans = C.materialize(_gathered(found_.unionByName(discover(notes)).distinct()), "pii-spans").withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key").withColumnRenamed("new", "_spans")
+    spans = C.materialize(_gathered(found_.unionByName(discover(notes)).distinct()), "pii-spans").withColumnRenamed("doc_id", id_).withColumnRenamed("text_key", key_).withColumnRenamed("new", spans_)
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))  # a span always holds one of these
-    hit = docs.where(may).withColumn("_own", key)
-    joined = hit.join(spans, hit["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
+    hit = docs.where(may).withColumn(own_, key)
+    joined = hit.join(spans, hit["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.col(own_) == F.col(key_)), "left")
     name = F.array(*(F.lit(f"<{k}>") for k in KINDS))
 
     def step(acc: Column, s: Column) -> Column:
@@ -201,9 +242,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         text = F.when(apart, F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.get(name, s["kind"]))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), text.alias("out"))
 
-    by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    by_start = F.array_sort(F.transform(spans_, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     cut = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
-    done = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    done = joined.withColumn("text", F.when(F.col(spans_).isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return done.select(*docs.columns).unionByName(docs.where(~may))

@@ -207,13 +207,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group, the row of the smallest doc_id stays (of equal ids that of the smallest text hash)."""
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    groups = simhash(keyed.select("doc_id", "text", "_key"), "_key")
-    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best"))
+    """Pipeline stage: of each group, the row of the smallest doc_id stays (of equal ids that of the smallest text hash).
+
+    A null or empty text is a member of the group of fingerprint zero; a null doc_id stays only in a group without others;
+    of rows that repeat in full one stays; very long texts count whole; an empty table gives no rows; further columns pass,
+    whatever their names.
+    """
+    key, id_, stay_ = C.fresh_names(docs, "key", "id", "stay")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    groups = simhash(keyed.select("doc_id", "text", F.col(key).alias("text_key")), "text_key")
+    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
     # rows without any doc_id in their whole group have no component id; they are told apart by fingerprint
-    loose = groups.where("component_id is null").groupBy("fp").agg(F.min("_key").alias("_key")).select(F.lit(None).cast("long").alias("_id"), "_key")
-    stay = C.materialize(best.where("component_id is not null").select(F.col("best.doc_id").alias("_id"), "best._key").unionByName(loose), "simhash-stay")
-    twice = groups.groupBy("doc_id", "_key").count().where("count > 1").limit(1).count()
-    kept = keyed.join(stay.withColumnRenamed("_key", "_stay"), keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_stay")), "left_semi")
-    return (kept.dropDuplicates(["doc_id", "_key"]) if twice else kept).drop("_key")
+    loose = groups.where("component_id is null").groupBy("fp").agg(F.min("text_key").alias(stay_)).select(F.lit(None).cast("long").alias(id_), stay_)
+    stay = C.materialize(best.where("component_id is not null").select(F.col("best.doc_id").alias(id_), F.col("best.text_key").alias(stay_)).unionByName(loose), "simhash-stay")
+    twice = groups.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
+    kept = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(stay_)), "left_semi")
+    return (kept.dropDuplicates(["doc_id", key]) if twice else kept).drop(key)
