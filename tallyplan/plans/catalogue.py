@@ -1,4 +1,4 @@
 """All registered queries and their SQL."""
 
-from tallyplan.plans import evaluation, ranking, raster, resolve, spatial, store, streams, takeoff, text, windows  # noqa: F401  they register
+from tallyplan.plans import evaluation, ranking, raster, resolve, rules, selection, spatial, store, streams, takeoff, text, windows  # noqa: F401  they register
 from tallyplan.plans.base import ORACLE_SQL, QUERIES  # noqa: F401

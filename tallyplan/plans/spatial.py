@@ -117,28 +117,10 @@ def ghost_suppression(spark, d):
     return out.where("stronger >= 3 and overlapping >= 2 and cx between x0 and x1 and cy between y0 and y1").select(F.col("hit_id_a").alias("hit_id"))
 
 
-@query("nms_greedy")
-def nms_greedy(spark, d):
-    """Non-maximum suppression per template: best first, none that overlaps a kept one with an IoU over .30."""
-    boxes = hits(spark, d).select(*BOX, "template_id", "verif_pct", "match_pct")
-    over = lambda a, b: G.intersection(a, b) * 100 > G.union_area(a, b) * 30
-    pairs = S.self_pairs(boxes.select(*BOX), over, ["plan_id"], "hit_id").select(F.col("hit_id_a").alias("a"), F.col("hit_id_b").alias("b"))
-    nodes = boxes.select(F.col("hit_id").alias("id"), F.struct(-F.col("verif_pct"), -F.col("match_pct"), "hit_id").alias("rank"))
-    return graph.greedy_winners(nodes, pairs).select(F.col("id").alias("hit_id"))
-
-
-@query("local_winners_greedy")
-def local_winners_greedy(spark, d):
-    """Winners that no better winner of the same place dominates; a dominated bridge doesn't take its far side along."""
-    boxes = hits(spark, d)
-    nodes = boxes.select(F.col("hit_id").alias("id"), F.struct(-F.col("verif_pct"), -F.col("match_pct"), "y", "x", "hit_id").alias("rank"))
-    return graph.greedy_winners(nodes, cluster_edges(boxes)).select(F.col("id").alias("hit_id"))
-
-
 @query("merged_rectangles")
 def merged_rectangles(spark, d):
     """Clusters' bounds merged until none overlap."""
-    boxes = hits(spark, d).where("verif_pct >= 80 and match_pct >= 85").select(F.col("hit_id").alias("id"), "plan_id", "x", "y", "w", "h")
+    boxes = hits(spark, d).select(F.col("hit_id").alias("id"), "plan_id", "x", "y", "w", "h")
     return graph.merge_rectangles(boxes, ["plan_id"]).select("id", "plan_id", "x", "y", "w", "h")
 
 

@@ -71,20 +71,6 @@ def test_bridge_does_not_collapse_neighbours(spark):
     assert sorted(r.id for r in graph.greedy_winners(nodes, edges).collect()) == [1, 3]
 
 
-def test_nms_equals_scan(spark):
-    rows = hits(spark, DATA).collect()
-    order = [r.hit_id for r in sorted(rows, key=lambda r: (-r.verif_pct, -r.match_pct, r.hit_id))]
-    box = {r.hit_id: (r.x, r.y, r.w, r.h) for r in rows}
-    plan = {r.hit_id: r.plan_id for r in rows}
-    kept = {}
-    for k in order:
-        b = box[k]
-        mine = kept.setdefault(plan[k], [])
-        if not any((i := inter(b, box[o])) * 100 > (b[2] * b[3] + box[o][2] * box[o][3] - i) * 30 for o in mine):
-            mine.append(k)
-    assert sorted(r.hit_id for r in QUERIES["nms_greedy"](spark, DATA).collect()) == sorted(k for v in kept.values() for k in v)
-
-
 def test_greedy_matching_equals_scan(spark):
     pairs = [(a, b, (a * 31 + b * 17) % 23) for a in range(9) for b in range(9) if (a + b) % 3]
     used_a, used_b, expected = set(), set(), []
