@@ -27,3 +27,37 @@ def nearest_conflicts(golden: DataFrame, candidate: DataFrame, on: list[str], di
     pairs = spatial_join(golden, candidate, other, on, pad=distance)
     best = F.min(F.struct(G.distance2_squared(G.Box("_a"), G.Box("_b")).alias("d2"), F.col("box_id_b").alias("box_id"), F.col("symbol_b").alias("symbol")))
     return pairs.groupBy(F.col("box_id_a").alias("golden_id")).agg(best.alias("m")).select("golden_id", F.col("m.box_id").alias("candidate_id"), F.col("m.symbol").alias("symbol"))
+
+
+def sentinel_counts(sentinels: DataFrame, boxes: DataFrame, reach: int, radius: int, share_percent: int) -> DataFrame:
+    """``sentinels(id, plan_id, mode, x, y, w, h, symbols, near)`` with n, the boxes at their place that have one of their symbols
+    (any, for allow_any_near). A place is a region, within ``reach`` of which a box's centre lies or of which it shares
+    enough, or a point, within ``radius`` of which its corner lies."""
+
+    def there(s: G.Box, b: G.Box):
+        wide = s.expanded(reach)
+        region = G.center_within(b, wide) | (G.intersection(b, wide) * 100 >= F.least(b.area, wide.area) * share_percent)
+        point = (b.x - s.x) * (b.x - s.x) + (b.y - s.y) * (b.y - s.y) <= radius * radius
+        symbol = (F.col("mode_a") == "allow_any_near") | F.array_contains("symbols_a", F.col("template_id_b"))
+        return symbol & F.when(F.col("near_a"), point).otherwise(region)
+
+    n = spatial_join(sentinels, boxes, there, ["plan_id"], cell=128, pad=max(reach, radius)).groupBy(F.col("id_a").alias("id")).agg(F.count("*").alias("n"))
+    return sentinels.join(n, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def report(golden: DataFrame, candidate: DataFrame, distance: int = 18, size: int = 12, conflict: int = 20) -> DataFrame:
+    """(plan_id, box_id, side, status) of every box: matched or moved pairs by the golden box, what is missing or extra, and
+    missing boxes with another symbol in their place as conflicts."""
+    pairs = graph.cut(match_snapshots(golden, candidate, ["plan_id", "symbol"], distance, size))
+    matched = golden.join(pairs.select(F.col("a").alias("box_id"), "cost"), "box_id").select("plan_id", "box_id", F.lit("golden").alias("side"), F.when(F.col("cost") == 0, "matched").otherwise("moved").alias("status"))
+    missing = golden.join(pairs.select(F.col("a").alias("box_id")), "box_id", "left_anti")
+    extra = candidate.join(pairs.select(F.col("b").alias("box_id")), "box_id", "left_anti")
+    other = nearest_conflicts(missing, extra, ["plan_id"], conflict).select(F.col("golden_id").alias("box_id"), F.lit(True).alias("met"))
+    gone = missing.join(other, "box_id", "left").select("plan_id", "box_id", F.lit("golden").alias("side"), F.when(F.col("met"), "conflict").otherwise("missing").alias("status"))
+    return matched.unionByName(gone).unionByName(extra.select("plan_id", "box_id", F.lit("candidate").alias("side"), F.lit("extra").alias("status")))
+
+
+def gate(golden: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Per plan the numbers of missing, extra and conflicting boxes, and whether all are zero."""
+    counts = report(golden, candidate).groupBy("plan_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("missing", "extra", "conflict")))
+    return counts.withColumn("ok", (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("conflict") == 0))

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the folder that spark.checkpoint.dir names; one is made only where the session names none."""
+    """An eager checkpoint in the folder that spark.checkpoint.dir names; where the session names none, a local
+    session gets one of its own and a cluster is told to name one."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
         named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='tallyplan-')}")
     return df.checkpoint(eager=True)

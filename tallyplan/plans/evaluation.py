@@ -2,9 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyplan.functions import geometry as G
 from tallyplan.operators import evaluate as E
-from tallyplan.operators.spatial import spatial_join
 from tallyplan.plans.base import D2, hits, query, table, with_hits
 
 
@@ -51,21 +49,30 @@ def nearest_class_conflict(spark, d):
     return E.nearest_conflicts(golden(spark, d), candidate(spark, d), ["plan_id"], 20)
 
 
+#: A sentinel for each plan and mode; every third asks for a place by a point, the others by a region.
+_SENTINELS = """, s AS (SELECT s_suppkey * 4 + m.k AS id, CAST(s_suppkey AS BIGINT) AS plan_id, m.mode, CAST(s_suppkey * 40 % 1000 + m.k * 30 AS BIGINT) AS x, CAST(s_suppkey * 37 % 1000 AS BIGINT) AS y, CAST(120 AS BIGINT) AS w, CAST(90 + m.k AS BIGINT) AS h,
+ s_suppkey % 29 AS symbol, (s_suppkey * 3 + m.k) % 29 AS other, s_suppkey % 3 = 0 AS near FROM supplier CROSS JOIN (VALUES (0, 'require_near'), (1, 'forbid'), (2, 'forbid_near'), (3, 'allow_any_near')) m(k, mode))"""
+
+
 @query(
     "sentinel_eval",
-    with_hits(""", s AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'forbid' ELSE 'require_near' END AS mode, CAST(n_nationkey * 40 AS BIGINT) AS x, CAST(n_nationkey * 37 % 1000 AS BIGINT) AS y, CAST(n_nationkey % 29 AS BIGINT) AS symbol FROM nation),
- n AS (SELECT id, count(hit_id) AS n FROM s LEFT JOIN hits h ON h.plan_id = 1 AND h.template_id = s.symbol AND 2*h.x + h.w BETWEEN 2*s.x - 20 AND 2*s.x + 420 AND 2*h.y + h.h BETWEEN 2*s.y - 20 AND 2*s.y + 420 GROUP BY id)
- SELECT id, mode, n, CASE WHEN mode = 'forbid' THEN n = 0 ELSE n BETWEEN 1 AND 999999 END AS ok FROM s JOIN n USING (id)"""),
+    with_hits(f"""{_SENTINELS}, n AS (SELECT s.id, count(b.hit_id) AS n FROM s LEFT JOIN hits b ON b.plan_id = s.plan_id AND (s.mode = 'allow_any_near' OR b.template_id IN (s.symbol, s.other)) AND b.line <> 7
+ AND CASE WHEN s.near THEN (b.x - s.x) * (b.x - s.x) + (b.y - s.y) * (b.y - s.y) <= 60 * 60
+ ELSE 2*b.x + b.w BETWEEN 2*s.x - 60 AND 2*(s.x + s.w) + 60 AND 2*b.y + b.h BETWEEN 2*s.y - 60 AND 2*(s.y + s.h) + 60
+  OR greatest(0, least(b.x + b.w, s.x + s.w + 30) - greatest(b.x, s.x - 30)) * greatest(0, least(b.y + b.h, s.y + s.h + 30) - greatest(b.y, s.y - 30)) * 100 >= least(b.w * b.h, (s.w + 60) * (s.h + 60)) * 35 END GROUP BY s.id)
+ SELECT id, mode, n, CASE WHEN mode LIKE 'forbid%' THEN n = 0 ELSE n BETWEEN 1 AND 999999 END AS ok FROM s JOIN n USING (id)"""),
 )
 def sentinel_eval(spark, d):
-    """Checks that a symbol is, or isn't, in a region of a plan."""
-    k = F.col("n_nationkey").cast("long")
-    s = table(spark, d, "nation").select(k.alias("id"), F.when(k % 3 == 0, "forbid").otherwise("require_near").alias("mode"), (k * 40).alias("x"), (k * 37 % 1000).alias("y"), F.lit(200).cast("long").alias("w"), F.lit(200).cast("long").alias("h"), (k % 29).alias("template_id"))
-    boxes = hits(spark, d).where("plan_id = 1").select("hit_id", "template_id", "x", "y", "w", "h")
-    inside = lambda a, b: G.center_within(b, a.expanded(10))
-    n = spatial_join(s, boxes, inside, ["template_id"], cell=128, pad=10).groupBy(F.col("id_a").alias("id")).agg(F.count("*").alias("n"))
-    counted = s.join(n, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return counted.select("id", "mode", "n", F.when(F.col("mode") == "forbid", F.col("n") == 0).otherwise(F.col("n").between(1, 999999)).alias("ok"))
+    """Checks of every plan that symbols are, or aren't, at a place: four modes, by region or by point, without one source."""
+    k = F.col("s_suppkey").cast("long")
+    # The modes of sentinels.
+    modes = F.array(*(F.struct(F.lit(i).alias("k"), F.lit(m).alias("mode")) for i, m in enumerate(("require_near", "forbid", "forbid_near", "allow_any_near"))))
+    s = table(spark, d, "supplier").select(k.alias("plan_id"), F.explode(modes).alias("m")).select("plan_id", "m.*")
+    p = F.col("plan_id")
+    s = s.select((p * 4 + F.col("k")).alias("id"), "plan_id", "mode", (p * 40 % 1000 + F.col("k") * 30).alias("x"), (p * 37 % 1000).alias("y"), F.lit(120).cast("long").alias("w"), (90 + F.col("k")).cast("long").alias("h"), F.array(p % 29, (p * 3 + F.col("k")) % 29).alias("symbols"), (p % 3 == 0).alias("near"))
+    boxes = hits(spark, d).where("line <> 7").select("hit_id", "plan_id", "template_id", "x", "y", "w", "h")
+    counted = E.sentinel_counts(s, boxes, reach=30, radius=60, share_percent=35)
+    return counted.select("id", "mode", "n", F.when(F.col("mode").startswith("forbid"), F.col("n") == 0).otherwise(F.col("n").between(1, 999999)).alias("ok"))
 
 
 @query(
@@ -79,14 +86,26 @@ def case_verdict(spark, d):
 
 
 @query(
-    "regression_gate",
-    with_hits(f"{_SNAPSHOTS}, m AS (SELECT plan_id, count(*) AS n FROM g GROUP BY plan_id), k AS (SELECT plan_id, count(*) AS n FROM c GROUP BY plan_id) SELECT plan_id, m.n - coalesce(k.n, 0) AS missing, m.n = coalesce(k.n, 0) AS ok FROM m LEFT JOIN k USING (plan_id)"),
+    "net_changes",
+    with_hits(f"{_SNAPSHOTS}, m AS (SELECT plan_id, count(*) AS n FROM g GROUP BY plan_id), k AS (SELECT plan_id, count(*) AS n FROM c GROUP BY plan_id) SELECT plan_id, coalesce(k.n, 0) - m.n AS net FROM m LEFT JOIN k USING (plan_id)"),
 )
-def regression_gate(spark, d):
+def net_changes(spark, d):
+    """By how many boxes a plan's candidate snapshot differs; says nothing of which."""
     a = golden(spark, d).groupBy("plan_id").agg(F.count("*").alias("g"))
     b = candidate(spark, d).groupBy("plan_id").agg(F.count("*").alias("c"))
-    out = a.join(b, "plan_id", "left").withColumn("missing", F.col("g") - F.coalesce("c", F.lit(0)))
-    return out.select("plan_id", "missing", (F.col("missing") == 0).alias("ok"))
+    return a.join(b, "plan_id", "left").select("plan_id", (F.coalesce("c", F.lit(0)) - F.col("g")).alias("net"))
+
+
+@query("regression_gate")
+def regression_gate(spark, d):
+    """Plans pass if every golden box has its own match, no box is extra and none stands where another symbol should be."""
+    return E.gate(golden(spark, d), candidate(spark, d))
+
+
+@query("snapshot_report")
+def snapshot_report(spark, d):
+    """Each box of either snapshot: matched, moved, missing, extra, or in conflict with a box of another symbol."""
+    return E.report(golden(spark, d), candidate(spark, d))
 
 
 @query("review_progress", with_hits("SELECT plan_id, count(*) AS total, count(*) FILTER (WHERE verif_pct >= 76) AS accepted, count(*) FILTER (WHERE verif_pct >= 58) AS acceptable FROM hits GROUP BY plan_id"))

@@ -57,15 +57,15 @@ def nearby_boxes(spark, d):
 
 @query(
     "variants_in_regions",
-    with_hits(""", v AS (SELECT DISTINCT template_id, line, max(w) OVER (PARTITION BY template_id, line) AS vw, max(h) OVER (PARTITION BY template_id, line) AS vh FROM hits WHERE plan_id <= 2), r AS (SELECT hit_id, template_id, w + 12 AS rw, h + 6 AS rh, w * h AS ink FROM hits WHERE plan_id = 1)
- SELECT hit_id, line FROM v JOIN r USING (template_id) WHERE vw <= rw AND vh <= rh AND 2 * ink >= vw * vh"""),
+    with_hits(""", v AS (SELECT plan_id, template_id, line, max(w) AS vw, max(h) AS vh FROM hits GROUP BY plan_id, template_id, line), r AS (SELECT hit_id, plan_id, template_id, w + 12 AS rw, h + 6 AS rh, w * h AS ink FROM hits)
+ SELECT hit_id, v.line FROM v JOIN r USING (plan_id, template_id) WHERE vw <= rw AND vh <= rh AND 2 * ink >= vw * vh"""),
 )
 def variants_in_regions(spark, d):
-    """Variants that fit a search region with enough ink for them."""
+    """Variants of a plan's templates that fit a search region with enough ink for them."""
     h = hits(spark, d)
-    v = h.where("plan_id <= 2").groupBy("template_id", "line").agg(F.max("w").alias("vw"), F.max("h").alias("vh"))
-    r = h.where("plan_id = 1").select("hit_id", "template_id", (F.col("w") + 12).alias("rw"), (F.col("h") + 6).alias("rh"), (F.col("w") * F.col("h")).alias("ink"))
-    return v.join(r, "template_id").where("vw <= rw and vh <= rh and 2 * ink >= vw * vh").select("hit_id", "line")
+    v = h.groupBy("plan_id", "template_id", "line").agg(F.max("w").alias("vw"), F.max("h").alias("vh"))
+    r = h.select("hit_id", "plan_id", "template_id", (F.col("w") + 12).alias("rw"), (F.col("h") + 6).alias("rh"), (F.col("w") * F.col("h")).alias("ink"))
+    return v.join(r, ["plan_id", "template_id"]).where("vw <= rw and vh <= rh and 2 * ink >= vw * vh").select("hit_id", "line")
 
 
 @query(
@@ -173,15 +173,15 @@ def best_by_code(spark, d):
 
 @query(
     "case_boxes",
-    with_hits(f"""SELECT c.n_nationkey AS case_id, a.hit_id FROM (SELECT n_nationkey, CAST(n_nationkey * 45 AS BIGINT) AS x, CAST(n_nationkey * 31 % 1000 AS BIGINT) AS y, CAST(80 AS BIGINT) AS w, CAST(60 AS BIGINT) AS h FROM nation) c JOIN hits a ON a.plan_id = 1 JOIN (SELECT 1) o ON true
- WHERE {INTER.replace('b.', 'c.')} * 100 >= least(a.w*a.h, c.w*c.h) * 20 AND {INTER.replace('b.', 'c.')} > 0"""),
+    with_hits(f""", c AS (SELECT n_nationkey AS case_id, CAST(s_suppkey AS BIGINT) AS plan_id, CAST(n_nationkey * 45 AS BIGINT) AS x, CAST(n_nationkey * 31 % 1000 AS BIGINT) AS y, CAST(80 AS BIGINT) AS w, CAST(60 AS BIGINT) AS h FROM nation JOIN supplier ON s_nationkey = n_nationkey)
+ SELECT c.case_id, c.plan_id, a.hit_id FROM c JOIN hits a USING (plan_id) WHERE {INTER.replace('b.', 'c.')} * 100 >= least(a.w*a.h, c.w*c.h) * 20 AND {INTER.replace('b.', 'c.')} > 0"""),
 )
 def case_boxes(spark, d):
-    """Boxes in the regions of review cases: a fifth of the smaller is shared."""
-    k = F.col("n_nationkey")
-    cases = table(spark, d, "nation").select(k.alias("case_id"), F.lit(1).cast("long").alias("plan_id"), (k * 45).cast("long").alias("x"), (k * 31 % 1000).cast("long").alias("y"), F.lit(80).cast("long").alias("w"), F.lit(60).cast("long").alias("h"))
+    """Boxes in the regions of review cases, one on each plan: a fifth of the smaller is shared."""
+    k = F.col("s_nationkey")
+    cases = table(spark, d, "supplier").select(k.alias("case_id"), F.col("s_suppkey").cast("long").alias("plan_id"), (k * 45).cast("long").alias("x"), (k * 31 % 1000).cast("long").alias("y"), F.lit(80).cast("long").alias("w"), F.lit(60).cast("long").alias("h"))
     shared = lambda a, b: (G.intersection(a, b) > 0) & (G.intersection(a, b) * 100 >= F.least(a.area, b.area) * 20)
-    return S.spatial_join(cases, hits(spark, d).where("plan_id = 1").select(*BOX), shared, ["plan_id"]).select(F.col("case_id_a").alias("case_id"), F.col("hit_id_b").alias("hit_id"))
+    return S.spatial_join(cases, hits(spark, d).select(*BOX), shared, ["plan_id"]).select(F.col("case_id_a").alias("case_id"), "plan_id", F.col("hit_id_b").alias("hit_id"))
 
 
 @query("export_names", "SELECT DISTINCT concat('takeoff_', regexp_replace(regexp_replace(regexp_replace(p_type, '(.)\\.[^.]*$', '\\1'), '[^\\p{L}\\p{N}_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), '.xlsx') AS name FROM part")

@@ -135,3 +135,33 @@ def test_store(spark):
     assert sorted(map(tuple, after.collect())) == [(1, "a", 10), (2, "B", 20), (3, "c", 99)]
     live = store.expire(table, "created", F.lit(10))
     assert [r.id for r in live.collect()] == [2]
+
+
+def test_gate_counts_boxes_not_numbers(spark):
+    from tallyplan.operators import evaluate as E
+
+    kind = "box_id string, plan_id long, symbol long, x long, y long, w long, h long"
+    golden = spark.createDataFrame([("a", 1, 5, 0, 0, 20, 20), ("b", 1, 5, 200, 0, 20, 20), ("c", 2, 5, 0, 0, 20, 20), ("d", 3, 5, 0, 0, 20, 20)], kind)
+    candidate = spark.createDataFrame([("k", 1, 5, 3, 0, 20, 20), ("l", 1, 5, 500, 0, 20, 20), ("m", 2, 6, 2, 0, 20, 20), ("n", 3, 5, 0, 0, 20, 20)], kind)
+    got = {(r.box_id, r.status) for r in E.report(golden, candidate).collect()}
+    assert got == {("a", "moved"), ("b", "missing"), ("l", "extra"), ("c", "conflict"), ("m", "extra"), ("d", "matched")}
+    assert {r.plan_id: r.ok for r in E.gate(golden, candidate).collect()} == {1: False, 2: False, 3: True}
+
+
+def test_layer_names_read_in_the_wrong_code(spark):
+    from tallyplan.functions import text as X
+
+    wrong = "Oświetlenie Główne".encode().decode("latin-1")
+    rows = spark.createDataFrame([(wrong,), ("Oświetlenie  Główne",), ("Ãa",)], "n string").select(X.layer_key(F.col("n")).alias("k")).collect()
+    assert [r.k for r in rows] == ["oswietlenie głowne", "oswietlenie głowne", "aa"]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from tallyplan.operators import lineage
+
+    empty = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)), getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.cut(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf={})))
