@@ -61,7 +61,7 @@ class Windows(NamedTuple):
 
 
 #: By length of the items; repetitions are set by the recall measured on edited items (tests/llm/test_documents.py).
-CLASSES = (Windows(0, 40, 1, 4, 24, 5), Windows(48, 48, 6, 2, 20, 6), Windows(80, 40, 9, 1, 18, 6), Windows(128, 48, 16, 1, 20, 6))
+CLASSES = (Windows(0, 40, 1, 4, 24, 5), Windows(48, 48, 6, 2, 20, 6), Windows(80, 40, 8, 1, 22, 7), Windows(128, 56, 16, 1, 24, 7))
 
 
 def normalized(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
