@@ -24,6 +24,9 @@ BUCKET_ANCHORS, BUCKET_TEXT = 600_000, 6 << 20
 FLUSH_ANCHORS, FLUSH_BYTES = 3_000_000, 24 << 20
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 2 << 20
+#: Chunks that may share an anchor. The contexts of a more frequent one are divided into their windows, which are dealt out by
+#: their own content, so that no bucket grows with the places of an anchor.
+HOT_CHUNKS = 1 << 16
 #: Chunks are written once and read three times, so they are worth a higher level of compression.
 CHUNK_LEVEL = 5
 _U = np.uint64
@@ -135,13 +138,13 @@ class Runs:
         return first, of, docs == docs[first][of]
 
 
-def chunks_of(docs: DataFrame, tag: str) -> DataFrame:
-    """Texts in compressed chunks of about CHUNK_BYTES, written to the shared folder: (chunk, size, ids, lengths, data)."""
+def chunks_of(docs: DataFrame, tag: str, chunk_bytes: int) -> DataFrame:
+    """Texts in compressed chunks of about ``chunk_bytes``, written to the shared folder: (chunk, size, ids, lengths, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("size", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
         for batch in batches:
-            for first, rows, buf, offsets in C.text_blocks(batch, limit=CHUNK_BYTES):
+            for first, rows, buf, offsets in C.text_blocks(batch, limit=chunk_bytes):
                 data = deflate(buf.tobytes(), CHUNK_LEVEL)
                 yield pa.RecordBatch.from_arrays([pa.array([len(buf)], pa.int64()), pa.array([batch.column(0).slice(first, rows).to_pylist()], kind.field(1).type), pa.array([np.diff(offsets).tolist()], kind.field(2).type), pa.array([data], pa.binary())], schema=kind)
 
@@ -219,8 +222,15 @@ def _by_key(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[in
         yield key, rows
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket and chunk the keys that stand in two places."""
+def _repeated(hot_chunks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _repeated_keys(batches, hot_chunks)
+
+    return run
+
+
+def _repeated_keys(batches: Iterator[pa.RecordBatch], hot_chunks: int) -> Iterator[pa.RecordBatch]:
+    """For each bucket and chunk the keys that stand in two places, their lowest bit set if they stand in too many chunks."""
     for _, rows in _by_key("bucket", batches):
         keys = np.concatenate([np.cumsum(expand(r["keys"], r["n"], np.uint64)) for r in rows])
         chunk = np.concatenate([np.array(r["chunks"], dtype=np.int64)[expand(r["refs"], r["n"], np.uint32)] for r in rows])
@@ -231,6 +241,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.concatenate([cut, [len(bare)]]))
         flagged = np.maximum.reduceat((keys & _U(1)).astype(np.uint8), cut) > 0
         keep = np.repeat((size > 1) | flagged, size)
+        bare = bare << _U(1) | np.repeat(size > hot_chunks, size).astype(np.uint64)
         bare, chunk = bare[keep], chunk[keep]
         order = np.lexsort((bare, chunk))
         bare, chunk = bare[order], chunk[order]
@@ -278,6 +289,7 @@ def _contexts(kind, buckets: int):
             if not wanted:
                 continue
             wanted = np.unique(np.concatenate(wanted))
+            wanted, hot = wanted >> _U(1), wanted & _U(1) > 0
             buf, offsets = opened(head["size"], head["lengths"], head["data"])
             units = kind(buf, offsets)
             runs = Runs(units)
@@ -287,10 +299,15 @@ def _contexts(kind, buckets: int):
             weight = np.minimum(np.bincount(of), 2)
             good = wanted[where[some]] == runs.key[some]
             some, weight = some[good], weight[good]
-            a, b = units.slices(runs.first[some], runs.last[some])
+            divided = np.where(hot[where[some]], runs.count[some], 1)  # windows of their own
+            first, count = C.ragged(runs.first[some], divided), np.repeat(np.where(divided > 1, 1, runs.count[some]), divided)
+            key, last = np.repeat(runs.key[some], divided), first + count - 1 + kind.window
+            alone = np.repeat(hot[where[some]], divided)
+            key[alone] = C.mixed(C.range_hash(runs.sums, first[alone], last[alone])) >> _U(16)
+            a, b = units.slices(first, last)
             text = units.text[C.ragged(a, b - a)]
-            held.append((runs.key[some], docs[some], np.full(len(some), chunk, np.int64), runs.first[some], runs.count[some], b - a, weight, text))
-            total += len(text) + 40 * len(some)
+            held.append((key, np.repeat(docs[some], divided), np.full(len(first), chunk, np.int64), first, count, b - a, np.repeat(weight, divided), text))
+            total += len(text) + 40 * len(first)
             if total >= FLUSH_BYTES:
                 yield from flush()
                 total = 0
@@ -402,14 +419,14 @@ def _digest(kind, across: bool, finish: Callable):
     return run
 
 
-def remove(docs: DataFrame, tag: str, kind, judge: Callable[[Group], np.ndarray], finish: Callable, schema: str, across: bool, pack_bytes: int) -> DataFrame:
+def remove(docs: DataFrame, tag: str, kind, judge: Callable[[Group], np.ndarray], finish: Callable, schema: str, across: bool, pack_bytes: int, chunk_bytes: int = CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """The whole plan. ``across``: only windows of documents with a smaller doc_id count, instead of any other place."""
-    chunks = chunks_of(docs, f"{tag}-chunks")
+    chunks = chunks_of(docs, f"{tag}-chunks", chunk_bytes)
     total = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     per_unit = 6 if kind is Words else 1
     buckets = 1 + int(total / per_unit * 2 / (kind.window - kind.gram + 2) / BUCKET_ANCHORS)
     anchors = chunks.mapInArrow(_anchors(kind, buckets, across), "bucket long, n long, chunks array<long>, keys binary, refs binary")
-    repeated = anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "chunk long, n long, blob binary")
+    repeated = anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(hot_chunks), "chunk long, n long, blob binary")
     buckets = 1 + int(total / BUCKET_TEXT)
     contexts = with_chunks(chunks, repeated).mapInArrow(_contexts(kind, buckets), "bucket long, n long, bytes long, keys binary, docs binary, chunks binary, places binary, counts binary, sizes binary, weights binary, data binary")
     gone = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(kind, judge, pack_bytes), "chunk long, n long, blob binary")

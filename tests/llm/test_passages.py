@@ -147,3 +147,26 @@ def test_equals_sql(spark, name):
     got = con.execute(ORACLE_SQL[name])
     assert [x[0] for x in got.description] == df.columns
     assert sorted(map(tuple, df.collect())) == sorted(got.fetchall())
+
+
+@pytest.mark.parametrize("kind", ["tree", "transform"])
+def test_frequent_anchors_are_divided(spark, kind):
+    """Near copies over many chunks: the result doesn't depend on when an anchor counts as frequent."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for at in rng.integers(0, 90, 2):
+            own[at] = f"x{rng.integers(5)}"
+        texts.append(" ".join(own[int(rng.integers(3)) :]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    if kind == "tree":
+        args = ("t", passages.Words, suffix_tree.judge, suffix_tree._finish_text, "doc_id long, text string", False, suffix_tree.PACK_BYTES)
+    else:
+        args = ("a", passages.Bytes, suffix_array.judge, suffix_array._finish_text, "doc_id long, kept binary", True, suffix_array.PACK_BYTES)
+    plain = sorted((r[0], bytes(r[1]) if kind == "transform" else r[1]) for r in passages.remove(docs, *args).collect())
+    for hot in (0, 3):
+        divided = passages.remove(docs, *args, chunk_bytes=900, hot_chunks=hot)
+        assert sorted((r[0], bytes(r[1]) if kind == "transform" else r[1]) for r in divided.collect()) == plain
+    assert sum(len(t) for _, t in plain) < sum(map(len, texts)) * 0.8
