@@ -20,7 +20,8 @@ _POW = {"n": 0}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir. Where the session names none, a local session gets a folder of its own (tests);
+    on a cluster that is an error, for driver and executors would each write to their own disk."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if root:
@@ -30,6 +31,8 @@ def shared_root(spark: SparkSession) -> str:
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     import tempfile
 
     root = tempfile.mkdtemp(prefix="tallyplan-")
@@ -45,6 +48,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a materialized table that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        jvm = table.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of the table has, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -247,8 +259,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "a")
         after = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         after = materialize(after, "links")
+        before = links
         same = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         links = after
+        discard(before)
         if same:
             break
     else:
