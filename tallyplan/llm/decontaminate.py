@@ -26,14 +26,14 @@ SIMILARITY = 0.8
 #: spaces a character counts as a word.
 MIN_WORDS, MIN_CHARS = 5, 20
 #: Symbols that characters are folded to, and bits of a table's slots.
-SYMBOLS, TABLE_BITS = 32, 18
+SYMBOLS, TABLE_BITS = 32, 17
 #: Share of a walk's symbols that a window and an entry agree on.
-AGREEMENT = 0.42
-#: Characters of an item that are searched around a window (a machine word), share of them that may be edited, and places by
-#: which a window may lie beside its entry.
-PART, PART_EDITS, SLACK = 64, 0.32, 14
-#: Windows at a time, candidates at a time, and candidates searched at once.
-TILE, CANDIDATES, BATCH = 8192, 1 << 19, 2048
+AGREEMENT = 0.45
+#: Characters of an item that are searched around a window, first few and then more (machine words), share of them that may
+#: be edited, and places by which a window may lie beside its entry.
+PARTS, PART_EDITS, SLACK = (32, 64), 0.32, 12
+#: Windows at a time, candidates at a time, those gathered for the search, and those searched at once.
+TILE, CANDIDATES, GATHERED, BATCH = 8192, 1 << 19, 1 << 15, 4096
 #: Item bytes that travel with a task; a larger benchmark is searched in several passes, one after the other.
 SHARD_BYTES = 1 << 19
 
@@ -109,8 +109,8 @@ class Walk:
         """A row for each step, a column for each start; a walk that leaves the text stays at its last symbol."""
         out, place = np.empty((len(self.moves), len(at)), np.uint8), at.copy()
         for k, move in enumerate(self.moves):
-            np.take(text, place, out=out[k], mode="clip")
-            place += move[out[k]]
+            text.take(place, out=out[k], mode="clip")
+            place += move.take(out[k], mode="clip")
         return out
 
 
@@ -151,7 +151,7 @@ class Index:
                 rows, turned = [], None
                 for picks, keys, entries, some in tables:
                     key = _sampled(embedded, picks)
-                    hit = np.flatnonzero(some[_slot(key)])
+                    hit = np.flatnonzero(some.take(_slot(key), mode="clip"))
                     if not len(hit):
                         continue
                     first, last = (np.searchsorted(keys, key[hit], side=s) for s in ("left", "right"))
@@ -193,6 +193,19 @@ def _shares(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of arrays put together to ``least`` elements or more, so that each step of the search does much at once."""
+    held, n = [], 0
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[0])
+        if n >= least:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _agreeing(windows: np.ndarray, entries: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], least: float) -> np.ndarray:
     """Of (window, entry) those whose walks agree on ``least`` symbols, each as one number."""
     window, entry = (np.concatenate(x) for x in zip(*rows, strict=True))
@@ -273,33 +286,35 @@ class Items:
             at, sym = np.arange(len(text)), symbols(np.frombuffer(text, np.uint8))
             np.bitwise_or.at(self.bits, (sym, self.first[k] + at // 64), _U(1) << (at % 64).astype(np.uint64))
 
-    def _part_bits(self, item: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _part_bits(self, item: np.ndarray, place: np.ndarray, size: np.ndarray, part: int) -> np.ndarray:
         """Places of each symbol in the items' parts, as bits whose highest is a part's last; below a part, bits match all."""
         word, shift = self.first[item] + place // 64, (place % 64).astype(np.uint64)
         low, high = self.bits[:, word] >> shift, self.bits[:, word + 1] << ((_U(64) - shift) & _U(63))
         high[:, shift == 0] = 0
-        spare = (PART - size).astype(np.uint64)
-        return np.ascontiguousarray((((low | high) << spare) | ((_U(1) << spare) - _U(1))).T)
+        spare = (part - size).astype(np.uint64)
+        bits = ((low | high) << spare) | ((_U(1) << spare) - _U(1))
+        return np.ascontiguousarray(bits.astype(np.uint32 if part == 32 else np.uint64).T)
 
-    def _near(self, sym: np.ndarray, item: np.ndarray, place: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    def _near(self, sym: np.ndarray, item: np.ndarray, place: np.ndarray, begin: np.ndarray, part: int) -> np.ndarray:
         """Those whose part of the item, expected at ``begin``, is there within its edits (bit-parallel, as edit_distance)."""
+        word = np.uint32 if part == 32 else np.uint64
         good = []
         for lo in range(0, len(item), BATCH):
             some = slice(lo, lo + BATCH)
-            size = np.minimum(PART, self.lengths[item[some]] - place[some])
-            bits = self._part_bits(item[some], place[some], size).ravel()
+            size = np.minimum(part, self.lengths[item[some]] - place[some])
+            bits = self._part_bits(item[some], place[some], size, part).ravel()
             at = begin[some] - SLACK
             rows = np.arange(len(size)) * SYMBOLS
-            score = size.astype(np.uint64)
-            low, one, end = score.copy(), _U(1), _U(63)
-            up, down = _U(0xFFFFFFFFFFFFFFFF) << (PART - size).astype(np.uint64), np.zeros(len(size), dtype=np.uint64)
+            score = size.astype(word)
+            low, one, end = score.copy(), word(1), word(part - 1)
+            up, down = (_U(0xFFFFFFFFFFFFFFFF) << (part - size).astype(np.uint64)).astype(word), np.zeros(len(size), dtype=word)
             byte, (eq, d, x, h_up, h_down) = np.empty(len(size), np.uint8), (np.empty_like(up) for _ in range(5))
             where = np.empty_like(rows)
             for _ in range(int(size.max()) + 2 * SLACK):
-                np.take(sym, at, out=byte, mode="clip")
+                sym.take(at, out=byte, mode="clip")
                 at += 1
                 np.add(rows, byte, out=where)
-                np.take(bits, where, out=eq, mode="clip")
+                bits.take(where, out=eq, mode="clip")
                 eq |= down  # x
                 np.bitwise_and(eq, up, out=d)
                 d += up
@@ -345,18 +360,19 @@ class Items:
         out = self._copies(text, offsets)
         if not self.indexes or not len(text):
             return out
-        sym = np.concatenate([symbols(text), np.zeros(PART, np.uint8)])
+        sym = np.concatenate([symbols(text), np.zeros(max(PARTS), np.uint8)])
         begin = starts(text, offsets)
         spans = []
         for index in self.indexes:
             cell = begin // index.plan.stride
             mine = begin[np.concatenate([[True], cell[1:] != cell[:-1]])] if len(begin) else begin
-            for at, entry in index.candidates(sym, mine):
+            for at, entry in _gathered(index.candidates(sym, mine), GATHERED):
                 item, place = index.item[entry], index.at[entry]
-                # the part that starts where the entry does, or earlier if the item ends too soon
-                first = np.clip(self.lengths[item] - PART, 0, place)
-                good = self._near(sym, item, first, at - place + first)
-                at, item, place = at[good], item[good], place[good]
+                for part in PARTS:
+                    # the part that starts where the entry does, or earlier if the item ends too soon
+                    first = np.clip(self.lengths[item] - part, 0, place)
+                    good = self._near(sym, item, first, at - place + first, part)
+                    at, item, place = at[good], item[good], place[good]
                 doc = C.owner(at, offsets)
                 reach = self.most[item] + SLACK
                 low, high = np.maximum(offsets[doc], at - place - reach), np.minimum(offsets[doc + 1], at - place + self.lengths[item] + reach)
