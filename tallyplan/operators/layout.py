@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,29 @@ def group_by_running_mean(values: Column, tolerance: float) -> Column:
     return F.transform(F.aggregate(F.transform(values, lambda v: v.cast("double")), empty, step), lambda g: F.struct(g["first"].alias("first"), g["n"].alias("n"), (g["total"] / g["n"]).alias("mean")))
 
 
+def running_mean_groups(rows: DataFrame, group: str, at: str, tolerance: float) -> DataFrame:
+    """The same over rows, as (group, k, n, mean): each group's rows stream by in order, and one open group is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, k, n, total, started = None, 0, 0, 0.0, False
+        for batch in batches:
+            done: list[tuple] = []
+            for owner, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if started and owner == key and abs(v - total / n) <= tolerance:
+                    n, total = n + 1, total + v
+                    continue
+                if started:
+                    done.append((key, k, n, total / n))
+                k = k + 1 if started and owner == key else 0
+                key, n, total, started = owner, 1, v, True
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], [group, "k", "n", "mean"])
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((key, k, n, total / n), (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], [group, "k", "n", "mean"])
+
+    ordered = rows.where(F.col(at).isNotNull()).select(F.col(group).cast("long"), F.col(at).cast("double")).repartition(group).sortWithinPartitions(group, at)
+    return ordered.mapInArrow(run, f"{group} long, k int, n int, mean double")
+
+
 def row_bands(rows: DataFrame, group: list[str], center: str, pad: float) -> DataFrame:
     """Bands between the midpoints of neighbouring centres, padded at both ends."""
     w = Window.partitionBy(*group).orderBy(center)

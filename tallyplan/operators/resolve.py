@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyplan.functions import geometry as G
+from tallyplan.operators.selection import earlier_pairs, ordered_scan
 from tallyplan.operators.spatial import spatial_join
 
 
@@ -24,16 +25,11 @@ def promote(children: DataFrame, parents: DataFrame, on: list[str], identity: st
     return pairs.groupBy(F.col(f"{identity}_a").alias("child")).agg(F.min_by(f"{identity}_b", F.struct(G.distance2_squared(G.Box("_a"), G.Box("_b")), f"{identity}_b")).alias("parent"))
 
 
-def fair_peaks(peaks: Column, most: int, apart_x: float, apart_y: float) -> Column:
-    """The best peaks of an array in falling order, each apart from those taken, filled up with the best of the rest.
-
-    An ordered fold over one region's peaks (structs with x, y); ``most`` bounds what it holds.
-    """
-    empty = F.expr("cast(array() as array<struct<score:bigint,x:bigint,y:bigint,id:string>>)")
-
-    def step(taken: Column, p: Column) -> Column:
-        near = F.exists(taken, lambda t: (F.abs(t["x"] - p["x"]) < apart_x) & (F.abs(t["y"] - p["y"]) < apart_y))
-        return F.when((F.size(taken) < most) & ~near, F.array_append(taken, p)).otherwise(taken)
-
-    first = F.aggregate(peaks, empty, step)
-    return F.slice(F.concat(first, F.array_except(peaks, first)), 1, most)
+def fair_peaks(peaks: DataFrame, on: list[str], most: int, apart: int) -> DataFrame:
+    """The first ``most`` of ``peaks(id, rank, x, y, w, h)`` in each group: those that are apart from all better ones taken, in
+    order, filled up with the best of the rest."""
+    near = lambda a, b: (F.abs(a.x - b.x) < apart) & (F.abs(a.y - b.y) < apart)
+    taken = ordered_scan(peaks, earlier_pairs(peaks, near, on, pad=apart).select("first", "id"), F.count("*") > 0)
+    marked = peaks.join(taken.withColumn("fair", F.lit(True)), "id", "left")
+    place = F.row_number().over(Window.partitionBy(*on).orderBy(F.coalesce("fair", F.lit(False)).desc(), "rank"))
+    return marked.withColumn("place", place).where(F.col("place") <= most).select("id", *on)

@@ -37,10 +37,8 @@ def promoted_parents(spark, d):
 @query("fair_peaks")
 def fair_peaks(spark, d):
     """Twelve peaks of each plan and template, apart from one another where there are enough."""
-    one = F.struct(F.col("match_pct").alias("score"), "x", "y", F.col("hit_id").alias("id"))
-    order = F.struct(-F.col("match_pct"), "y", "x", "hit_id")
-    per = hits(spark, d).groupBy("plan_id", "template_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), one.alias("p")))).alias("s"))
-    return per.select("plan_id", "template_id", F.explode(R.fair_peaks(F.transform("s", lambda s: s["p"]), 12, 24, 24)).alias("p")).select("plan_id", "template_id", F.col("p.id").alias("hit_id"))
+    boxes = hits(spark, d).select(F.col("hit_id").alias("id"), F.struct(-F.col("match_pct"), "y", "x", "hit_id").alias("rank"), "plan_id", "template_id", "x", "y", F.lit(1).cast("long").alias("w"), F.lit(1).cast("long").alias("h"))
+    return R.fair_peaks(boxes, ["plan_id", "template_id"], 12, 24).select("plan_id", "template_id", F.col("id").alias("hit_id"))
 
 
 @query("nearby_boxes", with_hits("SELECT a.hit_id AS a, b.hit_id AS b FROM hits a JOIN hits b ON a.plan_id = b.plan_id AND a.hit_id < b.hit_id AND a.template_id = b.template_id WHERE abs(2*a.x + a.w - 2*b.x - b.w) <= 160 AND abs(2*a.y + a.h - 2*b.y - b.h) <= 160"))

@@ -109,7 +109,7 @@ def ghost_suppression(spark, d):
     boxes = hits(spark, d).select(*BOX, "verif_pct")
     a, b = Box("_a"), Box("_b")
     near = lambda p, q: (F.col("hit_id_a") != F.col("hit_id_b")) & (F.col("verif_pct_b") >= F.col("verif_pct_a") + 8) & (G.distance2_squared(p, q) * 10_000 <= p.diagonal_squared * 4 * 27_225)
-    pairs = S.spatial_join(boxes, boxes, near, ["plan_id"], pad=96)
+    pairs = S.spatial_join(boxes, boxes, near, ["plan_id"], cell=192, pad=96)
     cx, cy = a.center2
     out = pairs.groupBy("hit_id_a", cx.alias("cx"), cy.alias("cy")).agg(
         F.count("*").alias("stronger"), F.count_if(G.intersection(a, b) > 0).alias("overlapping"), F.min(b.x * 2).alias("x0"), F.min(b.y * 2).alias("y0"), F.max((b.x + b.w) * 2).alias("x1"), F.max((b.y + b.h) * 2).alias("y1")

@@ -67,19 +67,19 @@ def price_extension(spark, d):
 
 @query(
     "result_payload",
-    with_hits("SELECT template_id, count(*) AS n, string_agg(hit_id, ',' ORDER BY verif_pct DESC, match_pct DESC, hit_id) AS ids FROM hits GROUP BY template_id"),
+    with_hits("SELECT plan_id, template_id, count(*) AS n, string_agg(hit_id, ',' ORDER BY verif_pct DESC, match_pct DESC, hit_id) AS ids FROM hits GROUP BY plan_id, template_id"),
 )
 def result_payload(spark, d):
-    """Results with their boxes, best first."""
+    """A plan's results by symbol with their boxes, best first; a group is what a plan holds of one symbol."""
     one = F.struct((-F.col("verif_pct")).alias("v"), (-F.col("match_pct")).alias("m"), "hit_id")
-    return hits(spark, d).groupBy("template_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["hit_id"]), ",").alias("ids"))
+    return hits(spark, d).groupBy("plan_id", "template_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["hit_id"]), ",").alias("ids"))
 
 
 @query(
     "flatten_results",
-    with_hits("SELECT template_id, hit_id, x, y, w, h FROM hits"),
+    with_hits("SELECT plan_id, template_id, hit_id, x, y, w, h FROM hits"),
 )
 def flatten_results(spark, d):
-    """Grouped results exploded to boxes again."""
-    grouped = hits(spark, d).groupBy("template_id").agg(F.collect_list(F.struct("hit_id", "x", "y", "w", "h")).alias("boxes"))
-    return grouped.select("template_id", F.explode("boxes").alias("b")).select("template_id", "b.*")
+    """A plan's grouped results exploded to boxes again."""
+    grouped = hits(spark, d).groupBy("plan_id", "template_id").agg(F.collect_list(F.struct("hit_id", "x", "y", "w", "h")).alias("boxes"))
+    return grouped.select("plan_id", "template_id", F.explode("boxes").alias("b")).select("plan_id", "template_id", "b.*")

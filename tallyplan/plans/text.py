@@ -76,7 +76,8 @@ def token_equi_match(spark, d):
     part = table(spark, d, "part").select(F.upper(F.split("p_name", " ")[0]).alias("token"))
     wanted = part.unionByName(spark.createDataFrame([("THE",), ("DER",), ("QUE",)], "token string")).distinct()
     words = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"[ \n\t\r\f\x0B]+")).alias("w")).select("doc_id", X.full_token(F.col("w")).alias("token"))
-    return words.join(wanted, "token").groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    per_document = words.join(wanted, "token").groupBy("token", "doc_id").agg(F.count("*").alias("n"))
+    return per_document.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
 @query("token_families", "SELECT regexp_extract(upper(p_brand), '^([A-Z]+)[0-9]*', 1) AS family, count(*) AS n FROM part GROUP BY 1")

@@ -34,8 +34,7 @@ def group_splits(spark, d):
 @query("row_grouping_gaps")
 def row_grouping_gaps(spark, d):
     """Groups by the running mean, an ordered fold per user."""
-    per = positions(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list("pos")).alias("v"))
-    return per.select("user_id", F.posexplode(L.group_by_running_mean(F.col("v"), 500)).alias("k", "g")).select("user_id", "k", F.col("g.n").alias("n"), F.col("g.mean").alias("mean"))
+    return L.running_mean_groups(positions(spark, d), "user_id", "pos", 500)
 
 
 @query(

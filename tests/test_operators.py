@@ -103,6 +103,34 @@ def test_running_mean_groups(spark):
     assert [(g.n, g.mean) for g in rows[0].g] == [(3, 14.0), (2, 31.5), (1, 60.0)] and rows[1].g == []
 
 
+def test_running_means_over_rows_equal_those_over_arrays(spark):
+    values = {1: [10, 14, 18, 30, 33, 60], 2: [5], 3: [1, 2, 3, 900, 901, 5000]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "u long, v long").repartition(5)
+    got = {}
+    for r in layout.running_mean_groups(rows, "u", "v", 7).collect():
+        got.setdefault(r.u, {})[r.k] = (r.n, r.mean)
+    for k, vs in values.items():
+        one = spark.createDataFrame([(vs,)], "v array<long>").select(layout.group_by_running_mean(F.col("v"), 7).alias("g")).first().g
+        assert [got[k][i] for i in range(len(got[k]))] == [(g.n, g.mean) for g in one]
+    assert layout.running_mean_groups(rows.limit(0), "u", "v", 7).count() == 0
+
+
+def test_fair_peaks(spark):
+    rows = [r for r in hits(spark, DATA).where("plan_id < 3 and template_id < 4").collect()]
+    groups = {}
+    for r in sorted(rows, key=lambda r: (-r.match_pct, r.y, r.x, r.hit_id)):
+        groups.setdefault((r.plan_id, r.template_id), []).append(r)
+    expected = set()
+    for g in groups.values():
+        taken = []
+        for r in g:
+            if len(taken) < 12 and not any(abs(r.x - t.x) < 24 and abs(r.y - t.y) < 24 for t in taken):
+                taken.append(r)
+        expected |= {r.hit_id for r in (taken + [r for r in g if r not in taken])[:12]}
+    got = QUERIES["fair_peaks"](spark, DATA).where("plan_id < 3 and template_id < 4").collect()
+    assert {r.hit_id for r in got} == expected and len(got) == len(expected)
+
+
 def test_cascade_names_the_first_rule(spark):
     df = spark.createDataFrame([(1,), (5,), (9,)], "v long")
     rows = cascade(df, [("low", F.col("v") < 3), ("mid", F.col("v") < 7)]).collect()
