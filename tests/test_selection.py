@@ -143,3 +143,36 @@ def test_satellites_are_apart(spark):
                 inter, union, least, *_ = geometry(a, b)
                 assert not (inter > 0 and (inter * 100 >= union * 30 or inter * 100 >= least * 60))
     assert mine
+
+
+def nearly_equal(a, b):
+    inter, union, least, *_ = geometry(a, b)
+    even = all(max(a[s], b[s]) * 100 <= min(a[s], b[s]) * 115 for s in "wh")
+    return inter > 0 and inter * 100 >= union * 88 and inter * 100 >= least * 94 and even
+
+
+def sharing(a, b):
+    inter, _, least, *_ = geometry(a, b)
+    return inter > 0 and inter * 100 >= least * 45
+
+
+def holding(a, b):
+    return geometry(a, b)[0] * 100 >= b["w"] * b["h"] * 80
+
+
+@pytest.mark.parametrize("name", ["gray_alternatives", "sockets_deduped", "grid_cells"])
+def test_reviews_equal_sequential_scans(spark, name):
+    rows = [r.asDict() for r in P.measured(spark, DATA).where("plan_id in (0, 1)").collect()]
+    if name == "gray_alternatives":
+        rows = sorted((r for r in rows if r["gray"]), key=lambda r: (-((r["verif"] + r["match"] + r["context"]) * 10 + r["purity"] * 7), r["y"], r["x"], r["hit_id"]))
+        same = nearly_equal
+    elif name == "sockets_deduped":
+        rows = sorted((r for r in rows if 5 <= r["template_id"] <= 12), key=lambda r: (-r["text"], -r["verif"], -r["match"], r["y"], r["x"], r["hit_id"]))
+        same = sharing
+    else:
+        rows = [{**r, "w": r["w"] * (1 + int(r["hit_id"].split("-")[1]))} for r in rows if 15 <= r["template_id"] <= 22]
+        rows.sort(key=lambda r: (-(r["w"] * r["h"]), r["y"], r["x"], r["hit_id"]))
+        same = holding
+    mine = {r["hit_id"] for r in rows}
+    got = {r.hit_id for r in QUERIES[name](spark, DATA).collect()}
+    assert got & mine == sequential(rows, lambda kept, c: any(same(k, c) for k in kept))
