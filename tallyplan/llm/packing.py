@@ -16,9 +16,9 @@ WINDOW = 2048
 #: The id that ends every document.
 END_ID = 1
 #: Words whose ids a worker remembers at least (at most two times as many), and the bytes of the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 48
+CACHE_WORDS, CACHE_LENGTH = 250_000, 48
 #: Bytes of text whose words are looked up together.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Words that go to the tokenizer as one text.
 JOINED_WORDS = 8_192
 #: Pieces that are packed together: bounds a packer's memory, and is large enough that windows left open hardly count.
