@@ -119,9 +119,9 @@ def ghost_suppression(spark, d):
 
 @query("merged_rectangles")
 def merged_rectangles(spark, d):
-    """Clusters' bounds merged until none overlap."""
-    boxes = hits(spark, d).select(F.col("hit_id").alias("id"), "plan_id", "x", "y", "w", "h")
-    return graph.merge_rectangles(boxes, ["plan_id"]).select("id", "plan_id", "x", "y", "w", "h")
+    """Hits of one symbol on a plan, their bounds merged until none overlap."""
+    boxes = hits(spark, d).select(F.col("hit_id").alias("id"), "plan_id", "template_id", "x", "y", "w", "h")
+    return graph.merge_rectangles(boxes, ["plan_id", "template_id"]).select("id", "plan_id", "template_id", "x", "y", "w", "h")
 
 
 @query(

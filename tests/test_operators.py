@@ -89,7 +89,7 @@ def test_greedy_matching_settles_beyond_its_rounds(spark):
 
 def test_merged_rectangles_do_not_overlap(spark):
     rows = QUERIES["merged_rectangles"](spark, DATA).collect()
-    assert not any(p.plan_id == q.plan_id and inter((p.x, p.y, p.w, p.h), (q.x, q.y, q.w, q.h)) for p, q in itertools.combinations(rows, 2))
+    assert not any((p.plan_id, p.template_id) == (q.plan_id, q.template_id) and inter((p.x, p.y, p.w, p.h), (q.x, q.y, q.w, q.h)) for p, q in itertools.combinations(rows, 2))
 
 
 def test_components_of_a_long_path(spark):
