@@ -11,6 +11,7 @@ from tallyplan.llm.quality_rules import op3_quality_rules
 from tallyplan.llm.simhash import op5_simhash
 from tallyplan.llm.suffix_array import op4_suffix_array
 from tallyplan.llm.suffix_tree import op1_suffix_tree
+from tallyplan.llm.whitening import op11_whitening
 
 
 def pipeline(spark, sf_dir):
@@ -30,6 +31,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_whitening": op11_whitening,
     "pipeline": pipeline,
 }
 
