@@ -4,6 +4,7 @@ from tallyplan.llm import oracle
 from tallyplan.llm.decontaminate import op2_decontaminate
 from tallyplan.llm.html_text import op8_html_text
 from tallyplan.llm.language_id import op9_language_id
+from tallyplan.llm.licenses import op12_license_scans
 from tallyplan.llm.packing import op6_packing
 from tallyplan.llm.pii import op7_pii
 from tallyplan.llm.quality_classifier import op10_quality_classifier
@@ -32,6 +33,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_whitening": op11_whitening,
+    "op12_license_scans": op12_license_scans,
     "pipeline": pipeline,
 }
 
