@@ -5,6 +5,7 @@ from tallyplan.llm.decontaminate import op2_decontaminate
 from tallyplan.llm.html_text import op8_html_text
 from tallyplan.llm.language_id import op9_language_id
 from tallyplan.llm.licenses import op12_license_scans
+from tallyplan.llm.merkle import op13_merkle_manifest
 from tallyplan.llm.packing import op6_packing
 from tallyplan.llm.pii import op7_pii
 from tallyplan.llm.quality_classifier import op10_quality_classifier
@@ -34,7 +35,8 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_whitening": op11_whitening,
     "op12_license_scans": op12_license_scans,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_tree": oracle.OP1, "op4_suffix_array": oracle.OP4}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_tree": oracle.OP1, "op4_suffix_array": oracle.OP4, "op13_merkle_manifest": oracle.OP13}

@@ -19,3 +19,33 @@ OP4 = r"""WITH t AS (SELECT doc_id, hex(CAST(coalesce(text, '') AS BLOB)) AS x F
  edges AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS from_, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM spans),
  kept AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, string_agg(x[2 * from_ + 1:2 * a] || CASE WHEN next IS NULL THEN x[2 * b + 1:] ELSE '' END, '' ORDER BY a) AS left_ FROM edges JOIN t USING (doc_id) GROUP BY doc_id)
  SELECT t.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_, x))) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)"""
+
+
+def merkle(levels: int = 12, top_levels: int = 6, fanout: int = 8) -> str:
+    """Trees of up to fanout ** levels leaves and fanout ** top_levels languages, level by level; CRC-32 bit by bit."""
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    h = lambda text: "sha256(concat(" + ", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in names[:-1]) + f", coalesce(strlen({text}) || ':' || {text}, '-')))"
+    crc = "xor(list_reduce(list_prepend(4294967295, flatten([[ascii(ch), 0, 0, 0, 0, 0, 0, 0] for ch in string_split(CAST(doc_id AS VARCHAR), '')])), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"docs AS (SELECT doc_id, lang, {h('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {h(lower)} ELSE {h('text')} END AS claim FROM documents)",
+        "f0 AS (SELECT *, row_number() OVER w - 1 AS p, row_number() OVER w - 1 AS position, claim AS folded, '' AS proof FROM docs WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf))",
+        "n0 AS (SELECT lang, p AS i, leaf AS d, count(*) OVER (PARTITION BY lang) AS c FROM f0)",
+    ]
+    sides = "array_to_string(g.ds[1:{at}], '') || {own} || array_to_string(g.ds[{at} + 2:], '')"
+    for name, count in (("", levels), ("t", top_levels)):
+        if name:
+            steps.append(f"tn0 AS (SELECT 1 AS lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, lang AS of_, d, count(*) OVER () AS c FROM n{levels})")
+            steps.append(f"tf0 AS (SELECT f.* EXCLUDE (p), t.i AS p, t.d AS subroot FROM f{levels} f JOIN tn0 t ON f.lang IS NOT DISTINCT FROM t.of_)")
+        for k in range(count):
+            at = f"(p // {fanout**k} % {fanout})"
+            own_lang = "f.lang" if not name else "1"
+            steps.append(f"{name}g{k} AS (SELECT lang, i // {fanout} AS i, list(d ORDER BY i) AS ds, any_value(c) AS c FROM {name}n{k} GROUP BY lang, i // {fanout})")
+            steps.append(f"{name}n{k + 1} AS (SELECT lang, i, CASE WHEN c = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS d, (c - 1) // {fanout} + 1 AS c FROM {name}g{k})")
+            steps.append(
+                f"{name}f{k + 1} AS (SELECT f.* REPLACE (CASE WHEN g.c = 1 THEN folded ELSE sha256({sides.format(at=at, own='folded')}) END AS folded, CASE WHEN g.c = 1 THEN proof ELSE proof || {sides.format(at=at, own=repr(''))} END AS proof) FROM {name}f{k} f JOIN {name}g{k} g ON {own_lang} IS NOT DISTINCT FROM g.lang AND f.p // {fanout ** (k + 1)} = g.i)"
+            )
+    return f"WITH {', '.join(steps)} SELECT f.doc_id, f.lang, f.position, f.leaf, f.subroot, t.d AS root, sha256(f.proof) AS proof_sha256, f.folded AS folded_root, f.folded = t.d AS verified FROM tf{top_levels} f, tn{top_levels} t"
+
+
+OP13 = merkle()
