@@ -38,13 +38,14 @@ class Promotion(NamedTuple):
 
 
 def crops(pieces: DataFrame, boxes: DataFrame, pad: int, side: int = 64) -> DataFrame:
-    """``boxes(id, plan_id, x, y, w, h, ...)`` with the plan around each, ``pad`` pixels wider on all sides, as ``bits``.
+    """``boxes(id, plan_id, x, y, w, h, ...)`` with the plan around each, ``pad`` pixels wider on all sides, as ``bits``, and
+    the plan's ``rows`` and ``columns`` (null where no ink is near).
 
     A box meets the tiles that it overlaps by an equality join, and gathers no more tiles than its own size makes.
     """
     over = lambda at, size: F.explode(F.sequence(F.floor((F.col(at) - pad) / side), F.floor((F.col(at) + F.col(size) + pad - 1) / side)))
     spread = boxes.select("id", "plan_id", *"xywh").withColumn("tile_r", over("y", "h")).withColumn("tile_c", over("x", "w"))
-    drawn = T.tiles(pieces, side).select("plan_id", F.floor(F.col("r") / side).alias("tile_r"), F.floor(F.col("c") / side).alias("tile_c"), F.struct("r", "c", F.col("h").alias("th"), F.col("w").alias("tw"), "bits").alias("tile"))
+    drawn = T.tiles(pieces, side).select("plan_id", F.floor(F.col("r") / side).alias("tile_r"), F.floor(F.col("c") / side).alias("tile_c"), F.struct("r", "c", F.col("h").alias("th"), F.col("w").alias("tw"), "bits", "rows", "columns").alias("tile"))
     met = spread.join(drawn, ["plan_id", "tile_r", "tile_c"]).groupBy("id").agg(F.collect_list("tile").alias("parts"))
     found = boxes.join(met, "id", "left")
     kept = boxes.columns
@@ -61,9 +62,9 @@ def crops(pieces: DataFrame, boxes: DataFrame, pad: int, side: int = 64) -> Data
                         piece = T.unpacked(part["bits"], part["th"], part["tw"])
                         mask[a - y + pad : b - y + pad, p - x + pad : q - x + pad] = piece[a - part["r"] : b - part["r"], p - part["c"] : q - part["c"]]
                 out.append(T.packed(mask))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, "bits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary()), *(pa.array([p[0][c] if p else None for p in batch.column("parts").to_pylist()], pa.int32()) for c in ("rows", "columns"))], [*kept, "bits", "rows", "columns"])
 
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema) + ", bits binary"
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema) + ", bits binary, rows int, columns int"
     return found.select(*kept, "parts").mapInArrow(run, kind)
 
 
@@ -142,12 +143,17 @@ class Fit(NamedTuple):
     verification: float
 
 
-def best_fit(plan: np.ndarray, x0: int, y0: int, x: int, y: int, rule: Promotion, verification: float) -> Fit | None:
+def best_fit(plan: np.ndarray, x0: int, y0: int, x: int, y: int, rule: Promotion, verification: float, size: tuple[int, int]) -> Fit | None:
     """Where the parent fits best within the rule's radius of (x, y), of all places that pass the rule: the most of the extra
-    pixels, then verification, match, and the first place row by row. ``plan`` begins at (x0, y0)."""
+    pixels, then verification, match, and the first place row by row. ``plan`` begins at (x0, y0) of one of
+    ``size`` (rows, columns)."""
     mask, r = rule.parent.mask, rule.radius
     h, w = mask.shape
-    view = T.dilated(plan, 1) if rule.grown else plan
+    view = plan
+    if rule.grown:  # no ink grows beyond the plan's edges
+        view = T.dilated(plan, 1)
+        view[: max(0, -y0)], view[max(0, size[0] - y0) :] = False, False
+        view[:, : max(0, -x0)], view[:, max(0, size[1] - x0) :] = False, False
     top, left = y - r - y0, x - r - x0
     near = view[top : top + h + 2 * r, left : left + w + 2 * r]
     sums = np.zeros((view.shape[0] + 1, view.shape[1] + 1), dtype=np.int64)
@@ -197,8 +203,8 @@ def promote(pieces: DataFrame, hits: DataFrame, promotions: list[Promotion]) ->
             for row in batch.to_pylist():
                 plan = T.unpacked(row["bits"], row["h"] + 2 * reach, row["w"] + 2 * reach)
                 fits = []
-                for k, rule in enumerate(by_child[row["template_id"], row["scale"], row["turn"], row["mirrored"]]):
-                    fit = best_fit(plan, row["x"] - reach, row["y"] - reach, row["x"] - rule.x, row["y"] - rule.y, rule, row["verification"])
+                for k, rule in enumerate([] if row["rows"] is None else by_child[row["template_id"], row["scale"], row["turn"], row["mirrored"]]):
+                    fit = best_fit(plan, row["x"] - reach, row["y"] - reach, row["x"] - rule.x, row["y"] - rule.y, rule, row["verification"], (row["rows"], row["columns"]))
                     if fit:
                         fits.append(((fit.extra, round(fit.verification, 9), round(fit.match, 9), -k), fit, rule))
                 row |= dict.fromkeys(extra)
