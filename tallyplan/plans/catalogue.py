@@ -1,4 +1,4 @@
 """All registered queries and their SQL."""
 
-from tallyplan.plans import evaluation, lists, lookups, ranking, raster, reports, resolve, review, rules, selection, spatial, store, streams, takeoff, text, values, windows  # noqa: F401  they register
+from tallyplan.plans import evaluation, lists, lookups, ranking, raster, reports, resolve, review, rules, selection, spatial, store, streams, takeoff, text, tiled, values, windows  # noqa: F401  they register
 from tallyplan.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
