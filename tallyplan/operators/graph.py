@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyplan.operators.lineage import cut
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes with an edge in ``edges(a, b)``; a component is named by its least node.
 
     Labels are the least of the neighbours' and, by pointer jumping, of those labels' own: rounds grow with the logarithm
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         stepped = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "m").alias("next"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
@@ -25,10 +25,9 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = after.select("node", F.col("new").alias("component"))
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
 
 
-def greedy_winners(nodes: DataFrame, conflicts: DataFrame, rounds: int = 200) -> DataFrame:
+def greedy_winners(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
     """The scan "best first, keep unless it conflicts with a kept one", as rounds over ``nodes(id, rank)`` and
     ``conflicts(a, b)``; ranks are distinct. A node without a better undecided neighbour is kept and drops its neighbours,
     which gives exactly the scan's result, in as many rounds as its longest chain of decisions. Returns kept ids.
@@ -38,11 +37,11 @@ def greedy_winners(nodes: DataFrame, conflicts: DataFrame, rounds: int = 200) ->
     pairs = cut(pairs.join(rank.withColumnRenamed("id", "a").withColumnRenamed("rank", "rank_a"), "a").join(rank.withColumnRenamed("id", "b").withColumnRenamed("rank", "rank_b"), "b"))
     free = nodes.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("id")
     kept, open_ = [free], pairs
-    for _ in range(rounds):
+    while open_.limit(1).count():
         best = open_.groupBy("a").agg(F.min("rank_b").alias("rival"), F.first("rank_a").alias("own")).where("own < rival").select(F.col("a").alias("id"))
         best = cut(best)
         if not best.limit(1).count():
-            break
+            raise RuntimeError("the scan did not settle")
         kept.append(best)
         gone = open_.join(best.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).union(best).distinct()
         rest = open_.join(gone.withColumnRenamed("id", "a"), "a", "left_anti")
@@ -50,8 +49,6 @@ def greedy_winners(nodes: DataFrame, conflicts: DataFrame, rounds: int = 200) ->
         lone = cut(rest.select(F.col("a").alias("id")).distinct().join(left.select(F.col("a").alias("id")).distinct(), "id", "left_anti"))
         kept.append(lone)
         open_ = left
-    else:
-        raise RuntimeError("the scan did not settle")
     out = kept[0]
     for k in kept[1:]:
         out = out.union(k)
@@ -79,16 +76,15 @@ def greedy_matching(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     return out
 
 
-def merge_rectangles(boxes: DataFrame, on: list[str], rounds: int = 20) -> DataFrame:
+def merge_rectangles(boxes: DataFrame, on: list[str]) -> DataFrame:
     """Merges overlapping rectangles into their bounds until none overlap: components, then bounds, again and again."""
     from tallyplan.operators.spatial import overlapping, self_pairs
 
     current = cut(boxes.select("id", *on, "x", "y", "w", "h"))
-    for _ in range(rounds):
+    while True:
         edges = cut(self_pairs(current, overlapping, on, "id").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
         if not edges.limit(1).count():
             return current
         named = current.join(connected_components(edges), F.col("id") == F.col("node"), "left").withColumn("id", F.coalesce("component", "id"))
         bounds = named.groupBy("id", *on).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"))
         current = cut(bounds.select("id", *on, "x", "y", (F.col("right") - F.col("x")).alias("w"), (F.col("bottom") - F.col("y")).alias("h")))
-    raise RuntimeError("rectangles did not settle")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyplan.functions import geometry as G
@@ -13,55 +14,85 @@ from tallyplan.operators.lineage import cut
 from tallyplan.operators.spatial import self_pairs, spatial_join
 
 
-def _in_turn(nodes: DataFrame, waits: DataFrame, decide: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Kept ids of ``nodes(id)``: a node is decided once all it ``waits(first, id)`` for are, by ``decide(ready, kept)``, which
-    returns the ids that stay. Rounds follow the longest chain; each settles the least open node at least."""
-    waits = cut(waits.distinct())
-    lone = nodes.join(waits.select("id").distinct(), "id", "left_anti")
-    kept, open_ = cut(decide(lone, lone.limit(0))), cut(waits.select("id").distinct())
-    while open_.limit(1).count():
-        held = waits.join(open_.withColumnRenamed("id", "first"), "first", "left_semi").select("id").distinct()
-        ready = cut(open_.join(held, "id", "left_anti"))
-        if not ready.limit(1).count():
+OPEN, KEPT, DROPPED = 0, 1, 2
+
+
+def _settle(ids: DataFrame, pending: list[DataFrame], decide: Callable[[list[DataFrame]], DataFrame]) -> DataFrame:
+    """(id, s) of all ``ids(id)`` once none is open. ``pending`` are tables with ``id`` that wait for the status ``s`` of another
+    node, their column ``on``; ``decide`` returns (id, s) of the nodes that these already settle, the least open one at least.
+
+    Rows go with their node, and every round hands the new statuses on, so a pile of boxes that one kept box settles takes one
+    round, however deep it is.
+    """
+    start = ids.select("id", F.lit(OPEN).alias("start")).withColumnRenamed("id", "on")
+    live = [cut(p.join(start, "on", "left").withColumn("s", F.coalesce("start", F.lit(KEPT))).drop("start")) for p in pending]
+    done, rounds, left = [], 0, ids.count()
+    while left:
+        settled = Observation()
+        new = cut(decide(live).observe(settled, F.count(F.lit(1)).alias("n")))
+        if not settled.get["n"]:
             raise RuntimeError("the scan did not settle")
-        kept = cut(kept.unionByName(decide(ready, kept)))
-        open_ = cut(open_.join(ready, "id", "left_anti"))
-    return kept
+        left -= settled.get["n"]
+        done.append(new)
+        rounds += 1
+        if rounds % 20 == 0:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+        if left:
+            found = new.select(F.col("id").alias("on"), F.col("s").alias("found"))
+            live = [cut(p.join(new.select("id"), "id", "left_anti").join(found, "on", "left").withColumn("s", F.coalesce("found", "s")).drop("found")) for p in live]
+    return reduce(DataFrame.unionByName, done) if done else ids.select("id", F.lit(OPEN).alias("s"))
 
 
 def ordered_scan(nodes: DataFrame, pairs: DataFrame, drops: Column) -> DataFrame:
     """Ids kept by the scan in order of rank. ``pairs(first, id, ...)`` hold the earlier neighbours of each node; ``drops`` is
-    an aggregate over a node's kept earlier neighbours."""
-    pairs = cut(pairs)
+    an aggregate over a node's kept earlier neighbours which more of them never undo.
+
+    A node goes as soon as the kept ones among its neighbours suffice, and stays once none of them is open.
+    """
+    pairs = cut(pairs.withColumnRenamed("first", "on"))
+    ids = pairs.select("id").distinct()
+
+    def decide(live: list[DataFrame]) -> DataFrame:
+        waits = live[0].groupBy("id").agg(F.bool_or(F.col("s") == OPEN).alias("waits"))
+        gone = live[0].where(F.col("s") == KEPT).groupBy("id").agg(drops.alias("drop")).where("drop")
+        return waits.join(gone, "id", "left").select("id", F.when(F.col("drop"), DROPPED).when(~F.col("waits"), KEPT).alias("s")).where("s is not null")
+
+    settled = _settle(cut(ids), [pairs], decide)
+    return nodes.select("id").join(settled.where(F.col("s") == DROPPED), "id", "left_anti")
 
-    def decide(ready: DataFrame, kept: DataFrame) -> DataFrame:
-        met = pairs.join(kept.withColumnRenamed("id", "first"), "first", "left_semi").join(ready, "id", "left_semi")
-        return ready.join(met.groupBy("id").agg(drops.alias("drop")).where("drop"), "id", "left_anti").select("id")
 
-    return _in_turn(nodes.select("id"), pairs.select("first", "id"), decide)
+def firsts_of_equal(boxes: DataFrame, on: list[str], most: int = 1) -> DataFrame:
+    """The first ``most`` by rank of boxes that are the same in ``on`` and place. Of such boxes a scan keeps no more, if a box
+    goes that has ``most`` kept earlier neighbours and equal boxes are neighbours: they have the same ones, and the earlier of
+    themselves besides. Boxes without area are all left in."""
+    place = F.row_number().over(Window.partitionBy(*on, "x", "y", "w", "h").orderBy("rank"))
+    return boxes.withColumn("equal", place).where((F.col("equal") <= most) | (F.col("w") <= 0) | (F.col("h") <= 0)).drop("equal")
 
 
 def evicting_scan(nodes: DataFrame, dominates: DataFrame) -> DataFrame:
     """Ids left by the scan "in order of rank: leave out what a selected one dominates, else select it and evict the selected
     ones that it dominates", over ``nodes(id, rank)`` and ``dominates(winner, loser)``.
 
-    What is evicted before a node's turn doesn't stop it, so a node also waits for those that may evict its dominators.
+    What is evicted before a node's turn doesn't stop it, so a node also waits for those that may evict its dominators; it is
+    left out as soon as one dominator is selected and none of these are.
     """
     rank = nodes.select("id", "rank")
     ranked = dominates.join(rank.select(F.col("id").alias("winner"), F.col("rank").alias("w")), "winner").join(rank.select(F.col("id").alias("loser"), F.col("rank").alias("l")), "loser")
-    ranked = cut(ranked.select("winner", "loser", "w", "l"))
-    before = ranked.where("w < l").select(F.col("winner").alias("first"), F.col("loser").alias("id"), F.col("l").alias("turn"))
-    evicts = ranked.where("w > l").select(F.col("winner").alias("evictor"), F.col("loser").alias("first"), F.col("w").alias("at"))
-    between = cut(before.join(evicts, "first").where("at < turn").select("first", "id", "evictor"))
-    waits = before.select("first", "id").union(between.select(F.col("evictor").alias("first"), "id"))
-
-    def decide(ready: DataFrame, kept: DataFrame) -> DataFrame:
-        out = between.join(kept.withColumnRenamed("id", "evictor"), "evictor", "left_semi").select("first", "id")
-        stops = before.select("first", "id").join(ready, "id", "left_semi").join(kept.withColumnRenamed("id", "first"), "first", "left_semi").join(out, ["first", "id"], "left_anti")
-        return ready.join(stops.select("id").distinct(), "id", "left_anti").select("id")
-
-    kept = _in_turn(nodes.select("id"), waits, decide)
-    gone = evicts.join(kept.withColumnRenamed("id", "evictor"), "evictor", "left_semi").select(F.col("first").alias("id"))
+    ranked = cut(ranked.select("winner", "loser", "w", "l").distinct())
+    before = ranked.where("w < l").select(F.col("winner").alias("on"), F.col("loser").alias("id"), F.col("l").alias("turn"))
+    evicts = ranked.where("w > l").select(F.col("winner").alias("evictor"), F.col("loser").alias("on"), F.col("w").alias("at"))
+    between = before.join(evicts, "on").where("at < turn").select(F.col("on").alias("first"), "id", F.col("evictor").alias("on"))
+
+    def decide(live: list[DataFrame]) -> DataFrame:
+        out = live[1].groupBy("first", "id").agg(F.bool_or(F.col("s") == KEPT).alias("evicted"), F.bool_or(F.col("s") == OPEN).alias("unsure"))
+        met = live[0].where(F.col("s") != DROPPED).join(out.withColumnRenamed("first", "on"), ["on", "id"], "left").where(~F.coalesce("evicted", F.lit(False)))
+        sure = (F.col("s") == KEPT) & ~F.coalesce("unsure", F.lit(False))
+        state = met.groupBy("id").agg(F.bool_or(sure).alias("stops"))
+        return live[0].select("id").distinct().join(state, "id", "left").select("id", F.when(F.col("stops"), DROPPED).when(F.col("stops").isNull(), KEPT).alias("s")).where("s is not null")
+
+    settled = _settle(cut(before.select("id").distinct()), [before.select("on", "id"), between], decide)
+    kept = cut(nodes.select("id").join(settled.where(F.col("s") == DROPPED), "id", "left_anti"))
+    gone = evicts.join(kept.withColumnRenamed("id", "evictor"), "evictor", "left_semi").select(F.col("on").alias("id"))
     return kept.join(gone.distinct(), "id", "left_anti")
 
 
@@ -75,8 +106,10 @@ def suppress(boxes: DataFrame, on: list[str], percent: int, least: int, scope: l
     """Non-maximum suppression by an IoU over ``percent``, only in scopes of ``least`` boxes or more; ids kept."""
     many = boxes.groupBy(*scope).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*scope)
     over = lambda a, b: G.intersection(a, b) * 100 > G.union_area(a, b) * percent
-    pairs = earlier_pairs(boxes.join(many, scope, "left_semi"), over, on).select("first", "id")
-    return ordered_scan(boxes, pairs, F.lit(True) & (F.count("*") > 0))
+    crowded = boxes.join(many, scope, "left_semi")
+    first = firsts_of_equal(crowded, on)
+    kept = ordered_scan(first, earlier_pairs(first, over, on).select("first", "id"), F.count("*") > 0)
+    return kept.unionByName(boxes.join(many, scope, "left_anti").select("id"))
 
 
 def raw_duplicates(boxes: DataFrame, on: list[str]) -> DataFrame:
@@ -91,6 +124,7 @@ def raw_duplicates(boxes: DataFrame, on: list[str]) -> DataFrame:
     a, b = Box("_a"), Box("_b")
     near = lambda p, q: G.distance2_squared(p, q) * 16 <= q.diagonal_squared * 4
     either = lambda p, q: ((G.intersection(p, q) > 0) & same(p, q)) | near(p, q)
+    boxes = firsts_of_equal(boxes, [*on, "gray", "scale"])
     pairs = earlier_pairs(boxes, either, on, pad=24)
     twin = (G.intersection(a, b) > 0) & same(a, b)
     stays = (F.col("gray_a") == 1) & (F.col("gray_b") == 1) & (F.abs(F.col("scale_a") - F.col("scale_b")) >= 9)
@@ -100,6 +134,7 @@ def raw_duplicates(boxes: DataFrame, on: list[str]) -> DataFrame:
 
 def alternatives_within(boxes: DataFrame, on: list[str], most: int, predicate: Callable[[Box, Box], Column]) -> DataFrame:
     """Ids kept of local alternatives: a box with ``most`` kept earlier ones in its place goes."""
+    boxes = firsts_of_equal(boxes, on, most)
     pairs = earlier_pairs(boxes, predicate, on).select("first", "id")
     return ordered_scan(boxes, pairs, F.count("*") >= most)
 
@@ -107,21 +142,24 @@ def alternatives_within(boxes: DataFrame, on: list[str], most: int, predicate: C
 def contained(boxes: DataFrame, on: list[str], percent: int) -> DataFrame:
     """Ids kept of windows, largest first: one that a kept one holds to ``percent`` of its area goes."""
     inside = lambda a, b: G.intersection(a, b) * 100 >= b.area * percent
+    boxes = firsts_of_equal(boxes, on)
     return ordered_scan(boxes, earlier_pairs(boxes, inside, on).select("first", "id"), F.count("*") > 0)
 
 
 def apart_from(boxes: DataFrame, others: DataFrame, same: Callable[[Box, Box], Column], on: list[str]) -> DataFrame:
     """Satellites: boxes that are no same object as one of ``others`` nor as a better satellite."""
     hit = spatial_join(boxes, others, same, on).select(F.col("id_a").alias("id")).distinct()
-    free = boxes.join(hit, "id", "left_anti")
+    free = firsts_of_equal(boxes.join(hit, "id", "left_anti"), on)
     return ordered_scan(free, earlier_pairs(free, same, on).select("first", "id"), F.count("*") > 0)
 
 
 def seeded_groups(boxes: DataFrame, close: Callable[[Box, Box], Column], on: list[str]) -> DataFrame:
     """(id, seed): boxes join the first seed close to them, in order; a box close to none is a seed itself."""
-    pairs = cut(earlier_pairs(boxes, close, on).select("first", "id", F.col("rank_a").alias("turn")))
-    seeds = cut(ordered_scan(boxes, pairs.select("first", "id"), F.count("*") > 0))
-    joined = pairs.join(seeds.withColumnRenamed("id", "first"), "first", "left_semi").groupBy("id").agg(F.min_by("first", "turn").alias("seed"))
+    first = firsts_of_equal(boxes, on)
+    seeds = cut(ordered_scan(first, earlier_pairs(first, close, on).select("first", "id"), F.count("*") > 0))
+    ordered = lambda a, b: (F.col("rank_a") < F.col("rank_b")) & close(a, b)
+    near = spatial_join(boxes.join(seeds, "id", "left_semi"), boxes, ordered, on)
+    joined = near.groupBy(F.col("id_b").alias("id")).agg(F.min_by("id_a", "rank_a").alias("seed"))
     return boxes.select("id").join(joined, "id", "left").join(seeds.withColumn("own", F.lit(True)), "id", "left").select("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("seed")).alias("seed"))
 
 

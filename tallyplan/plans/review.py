@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyplan.functions import geometry as G
 from tallyplan.functions.geometry import Box
+from tallyplan.operators import rules
 from tallyplan.operators import selection as S
 from tallyplan.operators.spatial import overlapping, spatial_join
 from tallyplan.plans.base import CLUSTERS, D2, INTER, hits, query, table, with_hits
@@ -273,3 +274,42 @@ def ranked_regions(spark, d):
     """Regions with most ink first, while a plan's budget of area lasts."""
     w = Window.partitionBy("plan_id").orderBy(F.desc(F.col("ink_share") * F.col("region_area")), "hit_id").rowsBetween(Window.unboundedPreceding, 0)
     return measured(spark, d).where("gray = 1").select("plan_id", "hit_id", F.sum("region_area").over(w).alias("spent")).where("spent <= 400000")
+
+
+#: Hits that are no ghosts whatever stands around them: those well explained by their context, full labels, compact colour symbols.
+EXEMPT = rules.read("""
+explained context>=34
+full_label gray=1 text=1 scale>=85 area>=1000 aspect>=135 coverage>=88 purity>=34 content>=70 verif>=66 from_template=1 match>=62
+full_label gray=1 text=1 scale>=85 area>=1000 aspect>=135 coverage>=88 purity>=34 content>=82 verif>=66 from_content=1 match>=70
+compact scanned=1 area>=700 area<=2200 aspect<=185 match>=62 verif>=62 coverage>=70 purity>=72
+""")
+
+
+def _exempt_sql() -> str:
+    head, tail = rules.sql(EXEMPT, "measured", "hit_id", "count(n.name) AS exempt").rsplit(" SELECT r.hit_id", 1)
+    return f"{head}, exempt AS (SELECT r.hit_id{tail}), small AS (SELECT hit_id, plan_id, template_id, x // 4 AS x, y // 4 AS y, w, h, verif FROM measured)"
+
+
+@query(
+    "ghost_suppression",
+    with_measured(f"""{_exempt_sql()}, near AS (SELECT a.hit_id, count(*) AS stronger, count(*) FILTER (WHERE {INTER} > 0) AS overlapping, min(b.x) AS x0, min(b.y) AS y0, max(b.x + b.w) AS x1, max(b.y + b.h) AS y1, any_value(2*a.x + a.w) AS cx, any_value(2*a.y + a.h) AS cy
+ FROM small a JOIN exempt e ON e.hit_id = a.hit_id AND e.exempt = 0 JOIN small b ON a.plan_id = b.plan_id AND a.template_id = b.template_id AND a.hit_id <> b.hit_id WHERE b.verif >= a.verif + 8 AND {D2} * 10000 <= 4 * (a.w*a.w + a.h*a.h) * 27225 GROUP BY a.hit_id),
+ many AS (SELECT plan_id, template_id FROM small GROUP BY ALL HAVING count(*) >= 4)
+ SELECT hit_id FROM near JOIN small USING (hit_id) JOIN many USING (plan_id, template_id) WHERE stronger >= 3 AND overlapping >= 2 AND 100 * cx BETWEEN 200*x0 - 16*(x1 - x0) AND 200*x1 + 16*(x1 - x0) AND 100 * cy BETWEEN 200*y0 - 16*(y1 - y0) AND 200*y1 + 16*(y1 - y0)"""),
+)
+def ghost_suppression(spark, d):
+    """Weak hits of a template with four hits or more on its plan, amid at least three stronger ones of the same template, two of
+    them overlapping. Plans are a quarter of their size here, so that hits of one template crowd."""
+    m = measured(spark, d).select("*", *(rules.holds(EXEMPT, n).alias(n) for n in rules.names(EXEMPT))).withColumns({c: F.floor(F.col(c) / 4) for c in ("x", "y")})
+    side = ["hit_id", "plan_id", "template_id", "x", "y", "w", "h", "verif"]
+    many = m.groupBy("plan_id", "template_id").agg(F.count("*").alias("n")).where("n >= 4").select("plan_id", "template_id")
+    weak = m.where("not explained and not full_label and not compact").select(*side).join(many, ["plan_id", "template_id"], "left_semi")
+    a, b = G.Box("_a"), G.Box("_b")
+    near = lambda p, q: (F.col("hit_id_a") != F.col("hit_id_b")) & (F.col("verif_b") >= F.col("verif_a") + 8) & (G.distance2_squared(p, q) * 10_000 <= p.diagonal_squared * 4 * 27_225)
+    pairs = spatial_join(weak, m.select(*side), near, ["plan_id", "template_id"], cell=192, pad=96)
+    cx, cy = a.center2
+    out = pairs.groupBy("hit_id_a", (cx * 100).alias("cx"), (cy * 100).alias("cy")).agg(
+        F.count("*").alias("stronger"), F.count_if(G.intersection(a, b) > 0).alias("overlapping"), F.min(b.x * 200).alias("x0"), F.min(b.y * 200).alias("y0"), F.max((b.x + b.w) * 200).alias("x1"), F.max((b.y + b.h) * 200).alias("y1")
+    )
+    inside = lambda at, low, high: F.col(at).between(F.col(low) - (F.col(high) - F.col(low)) * 8 / 100, F.col(high) + (F.col(high) - F.col(low)) * 8 / 100)
+    return out.where((F.col("stronger") >= 3) & (F.col("overlapping") >= 2) & inside("cx", "x0", "x1") & inside("cy", "y0", "y1")).select(F.col("hit_id_a").alias("hit_id"))

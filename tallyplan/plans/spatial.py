@@ -98,25 +98,6 @@ def cluster_frames(spark, d):
     return out.where("members > 1").select("cluster", "members", "x", "y", (F.col("r") - F.col("x")).alias("w"), (F.col("b") - F.col("y")).alias("h"))
 
 
-@query(
-    "ghost_suppression",
-    with_hits(f""", near AS (SELECT a.hit_id, count(*) AS stronger, count(*) FILTER (WHERE {INTER} > 0) AS overlapping, min(b.x) AS x0, min(b.y) AS y0, max(b.x + b.w) AS x1, max(b.y + b.h) AS y1, any_value(2*a.x + a.w) AS cx, any_value(2*a.y + a.h) AS cy
- FROM hits a JOIN hits b ON a.plan_id = b.plan_id AND a.hit_id <> b.hit_id WHERE b.verif_pct >= a.verif_pct + 8 AND {D2} * 10000 <= 4 * (a.w*a.w + a.h*a.h) * 27225 GROUP BY a.hit_id)
- SELECT hit_id FROM near WHERE stronger >= 3 AND overlapping >= 2 AND cx BETWEEN 2*x0 AND 2*x1 AND cy BETWEEN 2*y0 AND 2*y1"""),
-)
-def ghost_suppression(spark, d):
-    """Weak hits inside at least three stronger ones nearby, two of them overlapping."""
-    boxes = hits(spark, d).select(*BOX, "verif_pct")
-    a, b = Box("_a"), Box("_b")
-    near = lambda p, q: (F.col("hit_id_a") != F.col("hit_id_b")) & (F.col("verif_pct_b") >= F.col("verif_pct_a") + 8) & (G.distance2_squared(p, q) * 10_000 <= p.diagonal_squared * 4 * 27_225)
-    pairs = S.spatial_join(boxes, boxes, near, ["plan_id"], cell=192, pad=96)
-    cx, cy = a.center2
-    out = pairs.groupBy("hit_id_a", cx.alias("cx"), cy.alias("cy")).agg(
-        F.count("*").alias("stronger"), F.count_if(G.intersection(a, b) > 0).alias("overlapping"), F.min(b.x * 2).alias("x0"), F.min(b.y * 2).alias("y0"), F.max((b.x + b.w) * 2).alias("x1"), F.max((b.y + b.h) * 2).alias("y1")
-    )
-    return out.where("stronger >= 3 and overlapping >= 2 and cx between x0 and x1 and cy between y0 and y1").select(F.col("hit_id_a").alias("hit_id"))
-
-
 @query("merged_rectangles")
 def merged_rectangles(spark, d):
     """Hits of one symbol on a plan, their bounds merged until none overlap."""

@@ -2,6 +2,8 @@
 
 import itertools
 
+import numpy as np
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,6 +94,28 @@ def test_merged_rectangles_do_not_overlap(spark):
     assert not any((p.plan_id, p.template_id) == (q.plan_id, q.template_id) and inter((p.x, p.y, p.w, p.h), (q.x, q.y, q.w, q.h)) for p, q in itertools.combinations(rows, 2))
 
 
+def test_merged_rectangles_equal_the_sequential_merge(spark):
+    rng = np.random.default_rng(2)
+    boxes = [(f"{k:03d}", int(k % 2), int(x), int(y), int(w), int(h)) for k, (x, y, w, h) in enumerate(np.column_stack([rng.integers(0, 900, 70), rng.integers(0, 900, 70), rng.integers(1, 90, 70), rng.integers(1, 90, 70)]).tolist())]
+    boxes += [("900", 0, *boxes[0][2:]), ("901", 0, *boxes[0][2:])]
+    want = set()
+    for plan in (0, 1):
+        left = [b[2:] for b in boxes if b[1] == plan]
+        done = False
+        while not done:
+            done = True
+            for i, j in itertools.combinations(range(len(left)), 2):
+                p, q = left[i], left[j]
+                if inter(p, q):
+                    x, y = min(p[0], q[0]), min(p[1], q[1])
+                    left = [b for k, b in enumerate(left) if k not in (i, j)] + [(x, y, max(p[0] + p[2], q[0] + q[2]) - x, max(p[1] + p[3], q[1] + q[3]) - y)]
+                    done = False
+                    break
+        want |= {(plan, *b) for b in left}
+    df = spark.createDataFrame(boxes, "id string, plan_id long, x long, y long, w long, h long")
+    assert {(r.plan_id, r.x, r.y, r.w, r.h) for r in graph.merge_rectangles(df, ["plan_id"]).collect()} == want
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
     assert {r.component for r in graph.connected_components(edges).collect()} == {0}

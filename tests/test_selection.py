@@ -46,6 +46,38 @@ def test_ordered_scan_without_pairs(spark):
     assert S.ordered_scan(nodes.limit(0), spark.createDataFrame([], "first long, id long"), F.count("*") > 0).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_ordered_scan_equals_the_sequential_one(spark, most):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(most)
+    n = 60
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, n, (4 * n, 2)).tolist() if a != b} | {(k, k + 1) for k in range(40, 55)}
+    kept = []
+    for k in range(n):
+        if sum((j, k) in pairs for j in kept) < most:
+            kept.append(k)
+    nodes = spark.createDataFrame([(k,) for k in range(n)], "id long")
+    got = S.ordered_scan(nodes, spark.createDataFrame(sorted(pairs), "first long, id long"), F.count("*") >= most)
+    assert sorted(r.id for r in got.collect()) == kept
+
+
+def test_a_pile_settles_at_once(spark, monkeypatch):
+    """10,000 boxes in one place, and 60 that differ by a pixel: few rounds, and no pairs of equal boxes."""
+    from pyspark.sql import functions as F
+
+    rounds, real = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df: rounds.append(1) or real(df))
+    pile = spark.range(10_000).selectExpr("id", "id AS rank", "1L AS plan_id", "5L AS x", "6L AS y", "20L AS w", "30L AS h")
+    assert [r.id for r in S.suppress(pile, ["plan_id"], 85, 250, ["plan_id"]).collect()] == [0] and len(rounds) < 10
+    rounds.clear()
+    near = spark.range(60).selectExpr("id", "id AS rank", "1L AS plan_id", "id % 8 AS x", "id % 5 AS y", "200L AS w", "300L AS h")
+    assert [r.id for r in S.contained(near, ["plan_id"], 80).collect()] == [0] and len(rounds) < 10
+    rounds.clear()
+    kept = S.alternatives_within(pile, ["plan_id"], 16, lambda a, b: F.lit(True)).collect()
+    assert sorted(r.id for r in kept) == list(range(16)) and len(rounds) < 50
+
+
 def test_raw_dedupe(spark):
     rng = np.random.default_rng(5)
     rows = [(f"{k:03d}", int(rng.integers(2)), int(100 + rng.integers(3)), int(100 + rng.integers(2)), 40, 30, int(rng.integers(2)), int(50 + 10 * rng.integers(8))) for k in range(60)]
