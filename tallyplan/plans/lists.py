@@ -123,26 +123,46 @@ def symbol_names(spark, d):
     return hits(spark, d).groupBy("plan_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("template_id").cast("string"))), ",").alias("names"))
 
 
+#: A table's rows: those of a brand in a range of 500 parts, so that tables grow in number and not in size.
+_TABLE = "p_brand, p_partkey // 500 AS range_"
+
+
+def _tables(spark, d):
+    return table(spark, d, "part").withColumn("range_", F.floor(F.col("p_partkey") / 500))
+
+
 @query(
     "gap_segments",
-    """WITH r AS (SELECT p_brand, p_partkey, p_size + 0 AS y, p_size - lag(p_size) OVER w AS gap FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey)), m AS (SELECT p_brand, least(8.0, greatest(2.0, 1.8 * quantile_cont(gap, 0.5))) AS bound FROM r WHERE gap IS NOT NULL GROUP BY p_brand)
- SELECT CAST(p_partkey AS BIGINT) AS id, CAST(sum(CASE WHEN gap > bound THEN 1 ELSE 0 END) OVER (PARTITION BY r.p_brand ORDER BY y, p_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM r LEFT JOIN m USING (p_brand)""",
+    f"""WITH RECURSIVE t AS (SELECT {_TABLE}, p_partkey, p_size FROM part), r AS (SELECT *, p_size - lag(p_size) OVER w AS gap, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY p_brand, range_ ORDER BY p_size, p_partkey)),
+ m AS (SELECT p_brand, range_, least(8.0, greatest(2.0, 1.8 * quantile_cont(gap, 0.5))) AS bound FROM r WHERE gap IS NOT NULL GROUP BY ALL),
+ walk AS (SELECT p_brand, range_, p_partkey, k, 0 AS segment, 1 AS members FROM r WHERE k = 1
+  UNION ALL SELECT r.p_brand, r.range_, r.p_partkey, r.k, segment + CASE WHEN gap > bound AND members >= 3 THEN 1 ELSE 0 END, CASE WHEN gap > bound AND members >= 3 THEN 1 ELSE members + 1 END FROM walk JOIN r ON r.p_brand = walk.p_brand AND r.range_ = walk.range_ AND r.k = walk.k + 1 JOIN m ON m.p_brand = r.p_brand AND m.range_ = r.range_)
+ SELECT CAST(p_partkey AS BIGINT) AS id, CAST(segment AS BIGINT) AS segment FROM walk""",
 )
 def gap_segments(spark, d):
-    """Rows of a table in segments: a new one after a gap of more than 1.8 times the median gap, within bounds."""
-    w = Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")
-    r = table(spark, d, "part").select("p_brand", "p_partkey", "p_size").withColumn("gap", F.col("p_size") - F.lag("p_size").over(w))
-    bound = r.where("gap is not null").groupBy("p_brand").agg(F.least(F.lit(8.0), F.greatest(F.lit(2.0), 1.8 * F.percentile("gap", F.lit(0.5)))).alias("bound"))
-    cut = F.coalesce((F.col("gap") > F.col("bound")).cast("long"), F.lit(0))
-    return r.join(bound, "p_brand", "left").select(F.col("p_partkey").cast("long").alias("id"), F.sum(cut).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
+    """Rows of a table in segments: a new one after a gap of more than 1.8 times the median gap, within bounds, if the segment has
+    three rows by then. The condition depends on what was split before, so a table's rows are walked in order."""
+    key = ["p_brand", "range_"]
+    w = Window.partitionBy(*key).orderBy("p_size", "p_partkey")
+    r = _tables(spark, d).select(*key, "p_partkey", "p_size").withColumn("gap", F.col("p_size") - F.lag("p_size").over(w))
+    g = r.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("p_size", "p_partkey", "gap"))).alias("rows"), F.least(F.lit(8.0), F.greatest(F.lit(2.0), 1.8 * F.percentile("gap", F.lit(0.5)))).alias("bound"))
+    first = F.struct(F.lit(0).cast("long").alias("segment"), F.lit(0).cast("long").alias("members"), F.array().cast("array<struct<id:bigint,segment:bigint>>").alias("out"))
+
+    def step(state, row):
+        split = F.coalesce((row["gap"] > F.col("bound")) & (state["members"] >= 3), F.lit(False))
+        segment = state["segment"] + split.cast("long")
+        one = F.struct(row["p_partkey"].cast("long").alias("id"), segment.alias("segment"))
+        return F.struct(segment.alias("segment"), F.when(split, F.lit(1)).otherwise(state["members"] + 1).cast("long").alias("members"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    return g.select(F.explode(F.aggregate("rows", first, step)["out"]).alias("o")).select("o.id", "o.segment")
 
 
 @query(
     "adjacent_chunks",
-    "WITH c AS (SELECT CAST(p_partkey AS BIGINT) AS id, p_brand, p_size % 4 AS col, p_partkey AS pos, p_size AS y FROM part) SELECT a.id, arg_min(b.id, b.pos) AS next FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.col = b.col AND b.pos > a.pos AND b.y BETWEEN a.y AND a.y + 12 GROUP BY a.id",
+    f"WITH c AS (SELECT {_TABLE}, CAST(p_partkey AS BIGINT) AS id, p_size % 4 AS col, p_partkey AS pos, p_size AS y FROM part) SELECT a.id, arg_min(b.id, b.pos) AS next FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.range_ = b.range_ AND a.col = b.col AND b.pos > a.pos AND b.y BETWEEN a.y AND a.y + 12 GROUP BY a.id",
 )
 def adjacent_chunks(spark, d):
     """The first later chunk of a table in the same column that goes on below."""
-    p = table(spark, d, "part").select("p_brand", (F.col("p_size") % 4).alias("col"), F.col("p_partkey").cast("long").alias("id"), F.col("p_size").alias("y"))
-    later = p.select("p_brand", "col", F.col("id").alias("b"), F.col("y").alias("by"))
-    return p.join(later, ["p_brand", "col"]).where("b > id and by between y and y + 12").groupBy("id").agg(F.min("b").alias("next"))
+    p = _tables(spark, d).select("p_brand", "range_", (F.col("p_size") % 4).alias("col"), F.col("p_partkey").cast("long").alias("id"), F.col("p_size").alias("y"))
+    later = p.select("p_brand", "range_", "col", F.col("id").alias("b"), F.col("y").alias("by"))
+    return p.join(later, ["p_brand", "range_", "col"]).where("b > id and by between y and y + 12").groupBy("id").agg(F.min("b").alias("next"))
