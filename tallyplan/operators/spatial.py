@@ -47,6 +47,12 @@ def overlapping(a: Box, b: Box) -> Column:
     return intersection(a, b) > 0
 
 
+def strips_around(zone: Box, width: int, height: int) -> dict[str, tuple[Column, Column, Column, Column]]:
+    """What a page has above, below, left and right of a row's zone; the first two are as wide as the page."""
+    right, bottom, none, wide = zone.x + zone.w, zone.y + zone.h, F.lit(0), F.lit(width)
+    return {"above": (none, none, wide, zone.y), "below": (none, bottom, wide, height - bottom), "left": (none, zone.y, zone.x, zone.h), "right": (right, zone.y, width - right, zone.h)}
+
+
 def outside(width: int, height: int, x: int, y: int, w: int, h: int) -> list[tuple[int, int, int, int]]:
     """The strips of an image around a zone: above, below, left, right; empty ones are left out."""
     strips = [(0, 0, width, y), (0, y + h, width, height - y - h), (0, y, x, h), (x + w, y, width - x - w, h)]

@@ -40,10 +40,22 @@ def exclusion_anti_join(spark, d):
     return hits(spark, d).where(~S.excluded(ZONES)).select("hit_id", "x", "y")
 
 
-@query("outside_zone_strips", f"SELECT * FROM (VALUES {', '.join(str(z) for z in S.outside(1300, 1300, *PLAN_ZONE))}) t(x, y, w, h)")
+_PAGE = 1300
+_KEPT = "kept AS (SELECT CAST(s_suppkey AS BIGINT) AS plan_id, CAST(s_suppkey * 7 % 40 AS BIGINT) AS x, CAST(s_suppkey * 11 % 30 AS BIGINT) AS y, CAST(1200 + s_suppkey % 61 AS BIGINT) AS w, CAST(1150 + s_suppkey * 3 % 121 AS BIGINT) AS h FROM supplier)"
+
+
+@query(
+    "outside_zone_strips",
+    f"""WITH {_KEPT}, strips AS (SELECT plan_id, 'above' AS side, 0 AS x, 0 AS y, {_PAGE} AS w, y AS h FROM kept UNION ALL SELECT plan_id, 'below', 0, y + h, {_PAGE}, {_PAGE} - y - h FROM kept
+ UNION ALL SELECT plan_id, 'left', 0, y, x, h FROM kept UNION ALL SELECT plan_id, 'right', x + w, y, {_PAGE} - x - w, h FROM kept)
+ SELECT plan_id, side, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h FROM strips WHERE w > 1 AND h > 1""",
+)
 def outside_zone_strips(spark, d):
-    """The complement of the plan's zone, as rectangles."""
-    return spark.createDataFrame(S.outside(1300, 1300, *PLAN_ZONE), "x int, y int, w int, h int")
+    """The complement of every plan's zone within its page, as up to four strips of more than a pixel."""
+    s = F.col("s_suppkey").cast("long")
+    kept = table(spark, d, "supplier").select(s.alias("plan_id"), (s * 7 % 40).alias("x"), (s * 11 % 30).alias("y"), (s % 61 + 1200).alias("w"), (s * 3 % 121 + 1150).alias("h"))
+    strips = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), *(v.cast("long").alias(c) for c, v in zip("xywh", box, strict=True))) for side, box in S.strips_around(Box(), _PAGE, _PAGE).items())))
+    return kept.select("plan_id", strips.alias("s")).select("plan_id", "s.side", "s.x", "s.y", "s.w", "s.h").where("w > 1 and h > 1")
 
 
 @query(
