@@ -158,11 +158,12 @@ def exclusions_off_legend(spark, d):
     return S.spatial_semi(zones, legend, S.overlapping, ["plan_id"], "hit_id", anti=True, cell=256).select("hit_id")
 
 
-@query("hidden_layer_text", "WITH hidden AS (SELECT DISTINCT p_type FROM part WHERE p_size = 1) SELECT CAST(p_partkey AS BIGINT) AS word_id FROM part WHERE p_type NOT IN (SELECT p_type FROM hidden)")
+@query("hidden_layer_text", "WITH words AS (SELECT CAST(p_partkey AS BIGINT) AS word_id, p_size, p_brand || '/' || p_type AS layer FROM part) SELECT word_id FROM words w WHERE NOT EXISTS (SELECT 1 FROM words v WHERE v.p_size IN (1, 2) AND v.layer = w.layer)")
 def hidden_layer_text(spark, d):
-    """Words, without those of layers hidden by exactly their name."""
-    part = table(spark, d, "part")
-    return part.join(part.where("p_size = 1").select("p_type").distinct(), "p_type", "left_anti").select(F.col("p_partkey").cast("long").alias("word_id"))
+    """Words, without those of layers that a request hides by exactly their name."""
+    words = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("word_id"), "p_size", F.concat_ws("/", "p_brand", "p_type").alias("layer"))
+    hidden = words.where("p_size in (1, 2)").select("layer").distinct()
+    return words.join(hidden, "layer", "left_anti").select("word_id")
 
 
 @query("described_shapes", with_hits("SELECT a.hit_id FROM hits a WHERE a.template_id = 3 AND EXISTS (SELECT 1 FROM hits b WHERE b.plan_id = a.plan_id AND b.template_id = 4 AND b.x > a.x AND b.x - a.x <= 400 AND abs(b.y - a.y) <= 30)"))
