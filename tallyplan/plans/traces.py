@@ -13,10 +13,10 @@ from tallyplan.plans.rules import measured, with_measured
 from tallyplan.plans.spatial import ZONES
 
 
-def _first_of(keys, most, *order):
-    """A stage that keeps the first so many of each group."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return lambda df: df.withColumn("place", place).where(F.col("place") <= most)
+def _first_of(df, keys, most, order):
+    """The first so many of each group."""
+    place = F.row_number().over(Window.partitionBy(*map(F.expr, keys)).orderBy(*map(F.expr, order)))
+    return df.withColumn("place", place).where(F.col("place") <= most)
 
 
 #: Six stages: sources, zones, scores, the share of a template's mask that is there, a budget for each symbol, one winner a cell.
@@ -25,8 +25,8 @@ STAGES = [
     ("zoned", lambda df: df.where(~S.excluded(ZONES))),
     ("matched", lambda df: df.where("match >= 55")),
     ("validated", lambda df: df.where("(coverage >= 60 or text = 1) and purity >= 45")),
-    ("budgeted", _first_of(["plan_id", "template_id"], 4, F.desc("match"), "hit_id")),
-    ("won", _first_of(["plan_id", F.floor(F.col("x") / 96), F.floor(F.col("y") / 96)], 1, F.desc("verif"), F.desc("match"), "hit_id")),
+    ("budgeted", lambda df: _first_of(df, ["plan_id", "template_id"], 4, ["-match", "hit_id"])),
+    ("won", lambda df: _first_of(df, ["plan_id", "x div 96", "y div 96"], 1, ["-verif", "-match", "hit_id"])),
 ]
 _KEEP = ["hit_id", "plan_id", "template_id", "x", "y", "w", "h", "match", "verif", "coverage", "purity", "text", "source"]
 
