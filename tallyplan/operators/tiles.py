@@ -193,8 +193,10 @@ def template_peaks(pieces: DataFrame, variants: list[tuple[int, int, np.ndarray]
             own[w.own] = True
             if not (value[own] >= threshold).any():
                 continue
-            peaks = (value >= threshold) & (value >= around(value, peak_radius(h), peak_radius(wide)) - 1e-6) & own
-            for i, j in np.argwhere(peaks).tolist():
+            up, across = peak_radius(h), peak_radius(wide)
+            for i, j in np.argwhere((value >= threshold) & own).tolist():  # few places come that far
+                if value[i, j] < value[max(0, i - up) : i + up + 1, max(0, j - across) : j + across + 1].max() - 1e-6:
+                    continue
                 out.append((w.plan_id, template_id, turn, int(c[j]), int(r[i]), wide, h, int(common[i, j]), float(value[i, j])))
         return tuple(zip(*out, strict=True)) if out else tuple([] for _ in range(9))
 
