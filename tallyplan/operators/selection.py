@@ -146,11 +146,11 @@ def contained(boxes: DataFrame, on: list[str], percent: int) -> DataFrame:
     return ordered_scan(boxes, earlier_pairs(boxes, inside, on).select("first", "id"), F.count("*") > 0)
 
 
-def apart_from(boxes: DataFrame, others: DataFrame, same: Callable[[Box, Box], Column], on: list[str]) -> DataFrame:
+def apart_from(boxes: DataFrame, others: DataFrame, same: Callable[[Box, Box], Column], on: list[str], pad: int = 0) -> DataFrame:
     """Satellites: boxes that are no same object as one of ``others`` nor as a better satellite."""
-    hit = spatial_join(boxes, others, same, on).select(F.col("id_a").alias("id")).distinct()
+    hit = spatial_join(boxes, others, same, on, pad=pad).select(F.col("id_a").alias("id")).distinct()
     free = firsts_of_equal(boxes.join(hit, "id", "left_anti"), on)
-    return ordered_scan(free, earlier_pairs(free, same, on).select("first", "id"), F.count("*") > 0)
+    return ordered_scan(free, earlier_pairs(free, same, on, pad).select("first", "id"), F.count("*") > 0)
 
 
 def seeded_groups(boxes: DataFrame, close: Callable[[Box, Box], Column], on: list[str]) -> DataFrame:
