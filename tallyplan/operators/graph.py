@@ -77,14 +77,22 @@ def greedy_matching(pairs: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def merge_rectangles(boxes: DataFrame, on: list[str]) -> DataFrame:
-    """Merges overlapping rectangles into their bounds until none overlap: components, then bounds, again and again."""
+    """Merges overlapping rectangles into their bounds until none overlap; a merged one has the smallest id of its members.
+
+    What rectangles end up together doesn't depend on the order of merging. So a round doesn't look for whole components: each
+    rectangle joins the first of its neighbours in an order that is drawn anew, and the bounds of those that join one are one
+    rectangle. A share of all that overlap goes in each round, whatever shape they make.
+    """
     from tallyplan.operators.spatial import overlapping, self_pairs
 
-    current = cut(boxes.select("id", *on, "x", "y", "w", "h"))
+    current, turn = cut(boxes.select("id", *on, "x", "y", "w", "h")), 0
     while True:
-        edges = cut(self_pairs(current, overlapping, on, "id").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-        if not edges.limit(1).count():
+        pairs = cut(self_pairs(current, overlapping, on, "id").select("id_a", "id_b"))
+        if not pairs.limit(1).count():
             return current
-        named = current.join(connected_components(edges), F.col("id") == F.col("node"), "left").withColumn("id", F.coalesce("component", "id"))
-        bounds = named.groupBy("id", *on).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"))
-        current = cut(bounds.select("id", *on, "x", "y", (F.col("right") - F.col("x")).alias("w"), (F.col("bottom") - F.col("y")).alias("h")))
+        drawn = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c).alias("id"))
+        both = pairs.select(F.col("id_a").alias("id"), drawn("id_b").alias("to")).unionByName(pairs.select(F.col("id_b").alias("id"), drawn("id_a").alias("to")))
+        first = both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("to", drawn("id")).getField("id").alias("joins"))
+        grouped = current.join(first, "id", "left").withColumn("joins", F.coalesce("joins", "id"))
+        bounds = grouped.groupBy("joins", *on).agg(F.min("id").alias("id"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"))
+        current, turn = cut(bounds.select("id", *on, "x", "y", (F.col("right") - F.col("x")).alias("w"), (F.col("bottom") - F.col("y")).alias("h"))), turn + 1

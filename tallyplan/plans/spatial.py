@@ -117,6 +117,13 @@ def merged_rectangles(spark, d):
     return graph.merge_rectangles(boxes, ["plan_id", "template_id"]).select("id", "plan_id", "template_id", "x", "y", "w", "h")
 
 
+@query("plan_rectangles_merged")
+def plan_rectangles_merged(spark, d):
+    """All hits of a plan, their bounds merged until none overlap."""
+    boxes = hits(spark, d).select(F.col("hit_id").alias("id"), "plan_id", "x", "y", "w", "h")
+    return graph.merge_rectangles(boxes, ["plan_id"]).select("id", "plan_id", "x", "y", "w", "h")
+
+
 @query(
     "neighbour_alternatives",
     with_hits(f"""SELECT a.hit_id, least(16, count(b.hit_id)) AS alternatives FROM hits a LEFT JOIN hits b ON a.plan_id = b.plan_id AND a.template_id = b.template_id AND a.hit_id <> b.hit_id AND abs(2*a.x + a.w - 2*b.x - b.w) <= 64 AND abs(2*a.y + a.h - 2*b.y - b.h) <= 64 GROUP BY a.hit_id"""),
