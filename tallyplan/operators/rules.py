@@ -39,21 +39,14 @@ def names(lines: list[Line]) -> list[str]:
     return list(dict.fromkeys(line.name for line in lines))
 
 
-def _bound(b: Bound) -> Column:
-    c, v = F.col(b.column), F.lit(b.value)
-    return {">=": c >= v, "<=": c <= v, "=": c == v, "<": c < v, ">": c > v}[b.op]
+def _every(line: Line) -> str:
+    return "(" + " AND ".join(f"`{b.column}` {b.op} {b.value}" for b in line.bounds) + ")"
 
 
 def holds(lines: list[Line], name: str) -> Column:
-    """Whether some alternative of the name holds and none of its exceptions does."""
-    out = {False: F.lit(False), True: F.lit(False)}
-    for line in lines:
-        if line.name == name:
-            every = F.lit(True)
-            for b in line.bounds:
-                every = every & _bound(b)
-            out[line.exception] = out[line.exception] | every
-    return out[False] & ~out[True]
+    """Whether some alternative of the name holds and none of its exceptions does; one parsed expression, for tables have hundreds of bounds."""
+    some, never = ([_every(line) for line in lines if line.name == name and line.exception == x] for x in (False, True))
+    return F.expr(f"({' OR '.join(some) or 'false'}) AND NOT ({' OR '.join(never) or 'false'})")
 
 
 def first(lines: list[Line]) -> Column:
