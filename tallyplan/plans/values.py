@@ -85,8 +85,9 @@ def kernel_sizes(spark, d):
 
 @query("file_digests", "SELECT page_id, sha256(html) AS digest, to_base64(encode(substr(url, 1, 60))) AS url64 FROM pages")
 def file_digests(spark, d):
-    """SHA-256 of a file, and text as base64."""
-    return table(spark, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.base64(F.encode(F.substring("url", 1, 60), "UTF-8")).alias("url64"))
+    """SHA-256 of a file, and text as base64 in one line, whether or not the session breaks it."""
+    url64 = F.translate(F.base64(F.encode(F.substring("url", 1, 60), "UTF-8")), "\r\n", "")
+    return table(spark, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), url64.alias("url64"))
 
 
 @query("zone_rectangles", "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(round(p_retailprice / 10) AS BIGINT) AS x, CAST(p_size - 5 AS BIGINT) AS w FROM part WHERE p_size - 5 > 0 AND p_partkey % 9 <> 0")
