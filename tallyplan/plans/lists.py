@@ -159,10 +159,22 @@ def gap_segments(spark, d):
 
 @query(
     "adjacent_chunks",
-    f"WITH c AS (SELECT {_TABLE}, CAST(p_partkey AS BIGINT) AS id, p_size % 4 AS col, p_partkey AS pos, p_size AS y FROM part) SELECT a.id, arg_min(b.id, b.pos) AS next FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.range_ = b.range_ AND a.col = b.col AND b.pos > a.pos AND b.y BETWEEN a.y AND a.y + 12 GROUP BY a.id",
+    "WITH c AS (SELECT CAST(p_partkey AS BIGINT) AS id, p_brand, p_size % 4 AS col, p_partkey AS pos, p_size AS y FROM part) SELECT a.id, arg_min(b.id, b.pos) AS next FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.col = b.col AND b.pos > a.pos AND b.y BETWEEN a.y AND a.y + 12 GROUP BY a.id",
 )
 def adjacent_chunks(spark, d):
     """The first later chunk of a table in the same column that goes on below."""
-    p = _tables(spark, d).select("p_brand", "range_", (F.col("p_size") % 4).alias("col"), F.col("p_partkey").cast("long").alias("id"), F.col("p_size").alias("y"))
-    later = p.select("p_brand", "range_", "col", F.col("id").alias("b"), F.col("y").alias("by"))
-    return p.join(later, ["p_brand", "range_", "col"]).where("b > id and by between y and y + 12").groupBy("id").agg(F.min("b").alias("next"))
+    return following_chunks(table(spark, d, "part").select("p_brand", F.col("p_partkey").cast("long").alias("id"), F.col("p_size").alias("y")), 12)
+
+
+def following_chunks(chunks, reach, run=50_000):
+    """(id, next) of ``chunks(p_brand, id, y)``, columns being y modulo 4: a chunk is also put to each y that it follows, where
+    the next one in order of id is the answer. Ids are in runs, so that a y of any number of chunks is no single group: the last
+    of a run is followed by the first of the next run that has any."""
+    at = F.sequence(F.col("y") - reach, F.col("y"))
+    put = chunks.where("p_brand is not null and id is not null").withColumn("at", F.explode(at)).where("at % 4 = y % 4")
+    put = put.groupBy("p_brand", "at", "id").agg(F.bool_or(F.col("at") == F.col("y")).alias("own")).withColumn("run", F.floor(F.col("id") / run))
+    spot = Window.partitionBy("p_brand", "at").orderBy("run")
+    runs = put.groupBy("p_brand", "at", "run").agg(F.min("id").alias("first")).withColumn("after", F.lead("first").over(spot)).drop("first")
+    near = F.lead("id").over(Window.partitionBy("p_brand", "at", "run").orderBy("id"))
+    followed = put.withColumn("near", near).where("own").join(runs, ["p_brand", "at", "run"]).select("id", F.coalesce("near", "after").alias("next"))
+    return followed.where("next is not null").groupBy("id").agg(F.min("next").alias("next"))
