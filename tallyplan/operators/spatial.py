@@ -9,36 +9,40 @@ from pyspark.sql import functions as F
 
 from tallyplan.functions.geometry import Box, intersection
 
-CELL = 64
+#: Cells are much larger than boxes, so that few boxes lie in more than one and what is shuffled is little more than the boxes.
+CELL = 256
 
 
-def _celled(boxes: DataFrame, cell: int, pad: int) -> DataFrame:
-    cells = lambda at, size: F.sequence(F.floor((at - pad) / cell), F.floor((at + size + pad) / cell))
-    return boxes.withColumn("cx", F.explode(cells(F.col("x"), F.col("w")))).withColumn("cy", F.explode(cells(F.col("y"), F.col("h"))))
+def _celled(boxes: DataFrame, cell: int, pad: tuple[int, int]) -> DataFrame:
+    cells = lambda at, size, by: F.sequence(F.floor((at - by) / cell), F.floor((at + size + by) / cell))
+    return boxes.withColumn("cx", F.explode(cells(F.col("x"), F.col("w"), pad[0]))).withColumn("cy", F.explode(cells(F.col("y"), F.col("h"), pad[1])))
 
 
 def _sided(boxes: DataFrame, suffix: str, keys: list[str]) -> DataFrame:
     return boxes.select(*(F.col(c).alias(c if c in keys else f"{c}{suffix}") for c in boxes.columns))
 
 
-def spatial_join(a: DataFrame, b: DataFrame, predicate: Callable[[Box, Box], Column], on: list[str], cell: int = CELL, pad: int = 0) -> DataFrame:
-    """Pairs of boxes within ``pad`` of one another that satisfy the predicate; columns get the suffixes _a and _b.
+def spatial_join(a: DataFrame, b: DataFrame, predicate: Callable[[Box, Box], Column], on: list[str], cell: int | None = None, pad: int | tuple[int, int] = 0) -> DataFrame:
+    """Pairs of boxes within ``pad`` of one another (one for both axes, or one for each) that satisfy the predicate; columns
+    get the suffixes _a and _b. Cells grow with the pad unless ``cell`` says how large they are.
 
     Each pair is kept only in the cell that holds the corner where their (padded) overlap begins, so there is no distinct.
     """
+    pads = pad if isinstance(pad, tuple) else (pad, pad)
+    cell = cell or CELL + 2 * max(pads)
     keys = [*on, "cx", "cy"]
-    left, right = _sided(_celled(a, cell, pad), "_a", keys), _sided(_celled(b, cell, 0), "_b", keys)
+    left, right = _sided(_celled(a, cell, pads), "_a", keys), _sided(_celled(b, cell, (0, 0)), "_b", keys)
     box_a, box_b = Box("_a"), Box("_b")
-    owner = (F.col("cx") == F.floor(F.greatest(box_a.x - pad, box_b.x) / cell)) & (F.col("cy") == F.floor(F.greatest(box_a.y - pad, box_b.y) / cell))
+    owner = (F.col("cx") == F.floor(F.greatest(box_a.x - pads[0], box_b.x) / cell)) & (F.col("cy") == F.floor(F.greatest(box_a.y - pads[1], box_b.y) / cell))
     return left.join(right, keys).where(owner & predicate(box_a, box_b)).drop("cx", "cy")
 
 
-def self_pairs(boxes: DataFrame, predicate: Callable[[Box, Box], Column], on: list[str], identity: str, cell: int = CELL) -> DataFrame:
+def self_pairs(boxes: DataFrame, predicate: Callable[[Box, Box], Column], on: list[str], identity: str, cell: int | None = None) -> DataFrame:
     """Unordered pairs of one relation, the smaller identity first."""
     return spatial_join(boxes, boxes, lambda a, b: (F.col(f"{identity}_a") < F.col(f"{identity}_b")) & predicate(a, b), on, cell)
 
 
-def spatial_semi(a: DataFrame, b: DataFrame, predicate: Callable[[Box, Box], Column], on: list[str], identity: str, anti: bool = False, cell: int = CELL, pad: int = 0) -> DataFrame:
+def spatial_semi(a: DataFrame, b: DataFrame, predicate: Callable[[Box, Box], Column], on: list[str], identity: str, anti: bool = False, cell: int | None = None, pad: int | tuple[int, int] = 0) -> DataFrame:
     hit = spatial_join(a.select(identity, *on, "x", "y", "w", "h"), b, predicate, on, cell, pad).select(F.col(f"{identity}_a").alias(identity)).distinct()
     return a.join(hit, identity, "left_anti" if anti else "left_semi")
 

@@ -50,7 +50,7 @@ def nearby_boxes(spark, d):
         (px, py), (qx, qy) = p.center2, q.center2
         return (F.col("hit_id_a") < F.col("hit_id_b")) & (F.abs(px - qx) <= 160) & (F.abs(py - qy) <= 160)
 
-    return S.spatial_join(boxes, boxes, near, ["plan_id", "template_id"], cell=128, pad=80).select(F.col("hit_id_a").alias("a"), F.col("hit_id_b").alias("b"))
+    return S.spatial_join(boxes, boxes, near, ["plan_id", "template_id"], cell=1024, pad=80).select(F.col("hit_id_a").alias("a"), F.col("hit_id_b").alias("b"))
 
 
 @query(
@@ -155,7 +155,7 @@ def axis_overlap(spark, d):
     boxes = hits(spark, d).select(*BOX, "template_id")
     a, b = G.Box("_a"), G.Box("_b")
     above = lambda p, q: (F.col("hit_id_a") < F.col("hit_id_b")) & (G.overlap_1d(p.x, p.w, q.x, q.w) >= 0.5) & (F.abs(p.y - q.y) <= 60)
-    return S.spatial_join(boxes, boxes, above, ["plan_id", "template_id"], pad=100).select(F.col("hit_id_a").alias("a"), F.col("hit_id_b").alias("b"), G.gap_1d(a.y, a.h, b.y, b.h).cast("long").alias("gap"))
+    return S.spatial_join(boxes, boxes, above, ["plan_id", "template_id"], pad=(0, 60)).select(F.col("hit_id_a").alias("a"), F.col("hit_id_b").alias("b"), G.gap_1d(a.y, a.h, b.y, b.h).cast("long").alias("gap"))
 
 
 @query("draft_gate", "SELECT source, count(*) >= 2 AND avg(n_chars % 100) >= 45 AS accepted FROM documents GROUP BY source")
