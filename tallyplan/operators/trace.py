@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -11,24 +12,47 @@ from tallyplan.functions.geometry import Box
 from tallyplan.operators.lineage import cut
 from tallyplan.operators.spatial import spatial_join
 
-#: A stage takes the hits that are left and returns those that it keeps, by their identity.
-Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 
+class First(NamedTuple):
+    """A stage that keeps the first ``most`` hits of each group, in an order that is total."""
+
+    keys: list[str]
+    most: int
+    order: list[str]
+
+
+#: A stage is a condition on a hit, the first of groups, or takes the hits that are left and returns those that it keeps, by their identity.
+Stage = tuple[str, "Column | First | Callable[[DataFrame], DataFrame]"]
 
-def through(hits: DataFrame, stages: list[Stage], identity: str) -> tuple[DataFrame, dict[str, int]]:
-    """All ``hits`` with ``bits``, in which bit k says that a hit is there after stage k, and how many each stage leaves.
 
-    Each stage sees what the ones before it left. A stage's result is cut by a checkpoint, and its count observed on the way.
+def marked(hits: DataFrame, stages: list[Stage], identity: str) -> DataFrame:
+    """All ``hits`` with ``bits``, in which bit k says that a hit is there after stage k. Each stage sees what the ones before it left.
+
+    Conditions are marked in place and the first of groups by one window, so that only a stage of another kind joins the hits
+    with what it keeps; these are cut by a checkpoint beforehand, for it reads them twice.
     """
-    state, counts = hits.withColumn("bits", F.lit(0).cast("long")), {}
-    for k, (name, keeps) in enumerate(stages):
-        left = state.where(F.col("bits") == (1 << k) - 1).drop("bits")
-        kept = keeps(left).select(F.col(identity), F.lit(1 << k).cast("long").alias("bit"))
-        seen = Observation()
-        state = state.join(kept, identity, "left").withColumn("bits", F.col("bits") + F.coalesce("bit", F.lit(0))).drop("bit")
-        state = cut(state.observe(seen, F.count_if(F.col("bits") == (2 << k) - 1).alias("n")))
-        counts[name] = seen.get["n"]
-    return state, counts
+    state = hits.withColumn("bits", F.lit(0).cast("long"))
+    for k, (_, keeps) in enumerate(stages):
+        alive, bit = F.col("bits") == (1 << k) - 1, F.lit(1 << k).cast("long")
+        if isinstance(keeps, First):
+            place = F.row_number().over(Window.partitionBy(alive, *map(F.expr, keeps.keys)).orderBy(*map(F.expr, keeps.order)))
+            state = state.withColumn("place", place).withColumn("bits", F.when(alive & (F.col("place") <= keeps.most), F.col("bits") + bit).otherwise(F.col("bits"))).drop("place")
+        elif isinstance(keeps, Column):
+            state = state.withColumn("bits", F.when(alive & keeps, F.col("bits") + bit).otherwise(F.col("bits")))
+        else:
+            state = cut(state)
+            kept = keeps(state.where(alive).drop("bits")).select(F.col(identity), bit.alias("bit"))
+            state = state.join(kept, identity, "left").withColumn("bits", F.col("bits") + F.coalesce("bit", F.lit(0))).drop("bit")
+    return state
+
+
+def through(hits: DataFrame, stages: list[Stage], identity: str) -> tuple[DataFrame, dict[str, int]]:
+    """``marked`` hits, cut by a checkpoint, and how many each stage leaves, observed on the way."""
+    seen = Observation()
+    there = [F.count_if(F.col("bits").bitwiseAND((2 << k) - 1) == (2 << k) - 1).alias(f"n{k}") for k in range(len(stages))]
+    state = marked(hits, stages, identity)
+    state = cut(state.observe(seen, *there) if stages else state)
+    return state, {name: seen.get[f"n{k}"] for k, (name, _) in enumerate(stages)}
 
 
 def lost_at(bits: Column, stages: int) -> Column:

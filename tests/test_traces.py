@@ -1,10 +1,12 @@
 """Provenance and histograms against plain models."""
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyplan.operators import histogram as H
 from tallyplan.operators import trace as T
+from tallyplan.plans.catalogue import QUERIES
 
 
 def test_every_lost_hit_names_its_stage(spark):
@@ -36,6 +38,29 @@ def test_every_lost_hit_names_its_stage(spark):
     assert results[0] != results[1]  # the order of stages matters
 
 
+def test_stages_in_place_equal_stages_that_join(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, int(rng.integers(6)), int(rng.integers(10)) if k % 7 else None) for k in range(300)]
+    hits = spark.createDataFrame(rows, "id long, a long, b long")
+
+    def first(df):
+        place = F.row_number().over(Window.partitionBy("a").orderBy("b", "id"))
+        return df.withColumn("place", place).where("place <= 3")
+
+    joining = [("some", lambda df: df.where("b > 1")), ("first", first), ("small", lambda df: df.where("a < 4"))]
+    in_place = [("some", F.expr("b > 1")), ("first", T.First(["a"], 3, ["b", "id"])), ("small", F.expr("a < 4"))]
+    results = []
+    for stages in (joining, in_place, [joining[0], in_place[1], joining[2]]):
+        state, counts = T.through(hits, stages, "id")
+        results.append((sorted((r.id, r.bits) for r in state.collect()), counts))
+    assert results[0] == results[1] == results[2]
+
+
+def test_provenance_joins_no_hits(spark):
+    plan = QUERIES["hit_provenance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Scan ExistingRDD" not in plan and "LogicalRDD" not in plan
+
+
 def test_percentiles_of_histograms(spark):
     rng = np.random.default_rng(1)
     rows = [(int(k), int(v) if v < 250 else None, int(w)) for k, v, w in zip(rng.integers(0, 3, 500), rng.integers(0, 256, 500), rng.integers(0, 9, 500), strict=True)] + [(7, 4, None)]
