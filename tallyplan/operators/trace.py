@@ -71,9 +71,9 @@ def near_regions(state: DataFrame, regions: DataFrame, stages: int, radius: int,
     each = met.withColumn("stage", F.explode(F.sequence(F.lit(0), F.lit(stages - 1)))).where("shiftright(bits, stage) & 1 = 1")
     key = ["plan_id", "region", "stage"]
     turn = F.row_number().over(Window.partitionBy(*key).orderBy("far", *(f"o{k}" for k in range(len(order))), "id"))
-    counts = each.groupBy(*key).agg(F.count("*").alias("matched"))
-    top = each.withColumn("turn", turn).where(F.col("turn") <= most).groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "id"))), lambda x: x["id"]), ",").alias("items"))
-    return counts.join(top, key)
+    top = each.withColumns({"turn": turn, "matched": F.count("*").over(Window.partitionBy(*key))}).where(F.col("turn") <= most)
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "id"))), lambda x: x["id"]), ",")
+    return top.groupBy(*key).agg(F.max("matched").alias("matched"), items.alias("items"))
 
 
 def _gap_squared(region: Box, hit: Box) -> Column:

@@ -61,6 +61,11 @@ def test_provenance_joins_no_hits(spark):
     assert "Join" not in plan and "Scan ExistingRDD" not in plan and "LogicalRDD" not in plan
 
 
+def test_regions_join_the_hits_once(spark):
+    plan = QUERIES["trace_by_region"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
+
+
 def test_percentiles_of_histograms(spark):
     rng = np.random.default_rng(1)
     rows = [(int(k), int(v) if v < 250 else None, int(w)) for k, v, w in zip(rng.integers(0, 3, 500), rng.integers(0, 256, 500), rng.integers(0, 9, 500), strict=True)] + [(7, 4, None)]
