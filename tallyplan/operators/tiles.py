@@ -55,6 +55,17 @@ def pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+#: So many rows are turned into masks at a time, whatever batches Spark hands over.
+AT_ONCE = 128
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches as smaller ones, so that a task holds the pixels of few rows; one empty batch stays one."""
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), AT_ONCE):
+            yield batch.slice(start, AT_ONCE)
+
+
 def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
     yield from zip(*(batch.column(name).to_pylist() for name in _FIELDS), strict=True)
 
@@ -63,7 +74,7 @@ def _cut(side: int, before: int, after: int):
     """Cuts pieces at the windows that they meet; what has no ink is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             out, tiles = [], []
             for plan, rows, columns, r, c, h, w, bits in _rows_of(batch):
                 mask = unpacked(bits, h, w)
@@ -116,7 +127,7 @@ def transposed(pieces: DataFrame) -> DataFrame:
     """The raster with rows and columns exchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             yield pieces_batch([(plan, columns, rows, c, r, unpacked(bits, h, w).T) for plan, rows, columns, r, c, h, w, bits in _rows_of(batch)])
 
     return pieces.mapInArrow(run, PIECES)

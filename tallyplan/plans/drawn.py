@@ -56,7 +56,7 @@ def plans(spark, d, strokes: bool = True) -> DataFrame:
     """The raster of all plans, with their strokes or of symbols alone; vectors of another length than 64 and those with null entries draw nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.portions(batches):
             out = []
             for vec_id, entries, label in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "embedding", "label")), strict=True):
                 if entries is None or len(entries) != 64 or None in entries:

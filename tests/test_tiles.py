@@ -269,3 +269,18 @@ def test_runs_across_tiles(spark):
         assert sorted(tuple(r) for r in L.joined(L.runs(pieces, side), 0).collect()) == sorted((1, r, a, b) for r, a, b in zip(*(x.tolist() for x in T._runs(mask)), strict=True))
         lines = L.horizontal_lines(pieces, side=side)
         assert sorted((r.x, r.y, r.w, r.h) for r in lines.collect()) == [(10, 2, 89, 1), (120, 2, 41, 1)]
+
+
+def test_a_task_holds_the_pixels_of_few_rows():
+    """Batches of 3,000 pieces, as large as Spark makes them, are cut and turned without all their masks at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    mask = rng.random((128, 128)) < 0.1
+    batch = T.pieces_batch([(k // 64, 1024, 1024, k % 64 // 8 * 128, k % 8 * 128, mask) for k in range(3000)])
+    tracemalloc.start()
+    pieces = sum(b.num_rows for b in T._cut(256, 0, 0)(iter([batch])))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert pieces == 3000 and peak < 16e6
+    assert [b.num_rows for b in T.portions(iter([batch.slice(0, 0), batch.slice(0, 200)]))] == [0, 128, 72]
