@@ -86,11 +86,12 @@ def gap_1d(a: Column, a_size: Column, b: Column, b_size: Column) -> Column:
 def clusters(a: Box, b: Box) -> Column:
     """Same physical object: overlap with IoU of at least .30 and centres within .28 of the smaller diagonal, or IoM of at
     least .72 with nested centres within .322. Whole-number arithmetic, so the bounds are exact."""
+    # areas are 1 at least, so either bound asks for an overlap; inter * 100 >= (areas - inter) * 30 has inter once
     inter, far = intersection(a, b), distance2_squared(a, b) * 1_000_000
     diagonal = F.greatest(F.lit(1), F.least(a.diagonal_squared, b.diagonal_squared)) * 4
-    near = (inter * 100 >= union_area(a, b) * 30) & (far <= diagonal * 78_400)
+    near = (inter * 130 >= (a.area + b.area) * 30) & (far <= diagonal * 78_400)
     nested = (inter * 100 >= F.least(a.area, b.area) * 72) & (center_within(a, b) | center_within(b, a)) & (far <= diagonal * 103_684)
-    return (inter > 0) & (near | nested)
+    return near | nested
 
 
 def hue_distance(a: Column, b: Column) -> Column:

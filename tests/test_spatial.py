@@ -49,3 +49,41 @@ def test_joins_shuffle_few_rows_a_box(spark, pad):
 def test_counts_of_neighbours_join_no_hits_again(spark):
     plan = QUERIES["neighbour_alternatives"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_pairs_are_judged_in_small_methods(spark):
+    """Methods of over 8,000 bytes aren't compiled by the JVM, and the judging of pairs in one place is most of the work."""
+    import re
+
+    from tallyplan.plans import selection, spatial
+    from tallyplan.plans.base import hits
+
+    data = "/root/testdata/sf0.001"
+    explain = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    adaptive, limit = (spark.conf.get(f"spark.sql.{c}") for c in ("adaptive.enabled", "autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for threshold in ("-1", limit):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            for df in (spatial.cluster_edges(hits(spark, data)), selection.dominating(selection.by_quality(spark, data).select(*selection.SIDE))):
+                sizes = re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(explain))
+                assert sizes and max(map(int, sizes)) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_finished_components_leave_the_rounds(spark, monkeypatch):
+    """A long path among many pairs and triangles, a loop and a doubled edge: rounds after the first hold the path alone."""
+    from tallyplan.operators import graph
+
+    rows, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (lambda out: rows.append((out.columns, out.count())) or out)(real(df)))
+    path = [(k, k + 1) for k in range(40)]
+    small = [(1000 + 2 * k, 1001 + 2 * k) for k in range(300)] + [e for k in range(100) for e in ((5000 + 3 * k, 5001 + 3 * k), (5001 + 3 * k, 5002 + 3 * k), (5002 + 3 * k, 5000 + 3 * k))]
+    edges = [*path, *small, (7000, 7000), (7001, 7001), (7001, 7002), (1001, 1000), (40, 39)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {**{k: 0 for k in range(41)}, **{1000 + k: 1000 + k // 2 * 2 for k in range(600)}, **{5000 + k: 5000 + k // 3 * 3 for k in range(300)}, 7000: 7000, 7001: 7001, 7002: 7001}
+    assert got == want
+    seen = [n for columns, n in rows if "open" in columns]
+    assert max(seen) < 400 and max(seen[1:]) <= 41
