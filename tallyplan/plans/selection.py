@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyplan.functions import geometry as G
 from tallyplan.operators import rules, selection as S
+from tallyplan.operators.spatial import CELL, self_pairs
 from tallyplan.plans.base import query
 from tallyplan.plans.rules import COLOR_CLASSES, measured
 
@@ -53,8 +54,12 @@ def dominance(pairs):
 
 
 def dominating(boxes):
-    pairs = S.unordered(boxes, G.clusters, ["plan_id"]).withColumn("first_a", F.col("rank_a") < F.col("rank_b"))
-    return pairs.where(dominance(pairs)).select(F.col("id_a").alias("winner"), F.col("id_b").alias("loser"))
+    """(winner, loser, w, l) with the ranks of both. Pairs in one place are few: they are met once, dealt out and turned into both
+    directions before these are judged, so that a pair of the join is tested for its place alone."""
+    met = self_pairs(boxes, G.clusters, ["plan_id"], "id", cell=CELL // 2).repartition("plan_id", "id_a")
+    directed = lambda p, q: F.struct(*(F.col(f"{c}{s}").alias(f"{c}{t}") for s, t in ((p, "_a"), (q, "_b")) for c in boxes.columns if c != "plan_id"))
+    pairs = met.select(F.explode(F.array(directed("_a", "_b"), directed("_b", "_a"))).alias("p")).select("p.*").withColumn("first_a", F.col("rank_a") < F.col("rank_b"))
+    return pairs.where(dominance(pairs)).select(F.col("id_a").alias("winner"), F.col("id_b").alias("loser"), F.col("rank_a").alias("w"), F.col("rank_b").alias("l"))
 
 
 SIDE = ["id", "rank", "plan_id", "template_id", "x", "y", "w", "h", "area", "gray", "text", "verif", "match", "coverage", "purity"]
