@@ -27,7 +27,7 @@ def snapshot_pairs(spark, d):
 @query("snapshot_match_greedy")
 def snapshot_match_greedy(spark, d):
     """One-to-one matching, nearest first."""
-    return E.match_snapshots(golden(spark, d), candidate(spark, d), ["plan_id", "symbol"])
+    return E.match_snapshots(golden(spark, d), candidate(spark, d), ["plan_id", "symbol"]).select("a", "b", "cost")
 
 
 @query(
