@@ -13,8 +13,9 @@ from tallyplan.operators.spatial import spatial_join
 def candidate_pairs(golden: DataFrame, candidate: DataFrame, on: list[str], distance: int, size: int) -> DataFrame:
     """Pairs of equal symbol whose centres are near and whose sizes agree, with four times their squared distance."""
     near = lambda a, b: (G.distance2_squared(a, b) <= 4 * distance * distance) & (F.abs(a.w - b.w) <= size) & (F.abs(a.h - b.h) <= size)
-    pairs = spatial_join(golden, candidate, near, on, pad=distance)
-    return pairs.select(F.col("box_id_a").alias("a"), F.col("box_id_b").alias("b"), G.distance2_squared(G.Box("_a"), G.Box("_b")).alias("cost"))
+    # boxes of one symbol are few on a plan, so cells are large and few boxes lie in several
+    pairs = spatial_join(golden, candidate, near, on, cell=1024, pad=distance)
+    return pairs.select(F.col("box_id_a").alias("a"), F.col("box_id_b").alias("b"), G.distance2_squared(G.Box("_a"), G.Box("_b")).alias("cost"), *on)
 
 
 def match_snapshots(golden: DataFrame, candidate: DataFrame, on: list[str], distance: int = 18, size: int = 12) -> DataFrame:
@@ -48,10 +49,10 @@ def sentinel_counts(sentinels: DataFrame, boxes: DataFrame, reach: int, radius:
 def report(golden: DataFrame, candidate: DataFrame, distance: int = 18, size: int = 12, conflict: int = 20) -> DataFrame:
     """(plan_id, box_id, side, status) of every box: matched or moved pairs by the golden box, what is missing or extra, and
     missing boxes with another symbol in their place as conflicts."""
-    pairs = graph.cut(match_snapshots(golden, candidate, ["plan_id", "symbol"], distance, size))
-    matched = golden.join(pairs.select(F.col("a").alias("box_id"), "cost"), "box_id").select("plan_id", "box_id", F.lit("golden").alias("side"), F.when(F.col("cost") == 0, "matched").otherwise("moved").alias("status"))
-    missing = golden.join(pairs.select(F.col("a").alias("box_id")), "box_id", "left_anti")
-    extra = candidate.join(pairs.select(F.col("b").alias("box_id")), "box_id", "left_anti")
+    pairs = match_snapshots(golden, candidate, ["plan_id", "symbol"], distance, size)
+    matched = pairs.select("plan_id", F.col("a").alias("box_id"), F.lit("golden").alias("side"), F.when(F.col("cost") == 0, "matched").otherwise("moved").alias("status"))
+    missing = graph.cut(golden.join(pairs.select(F.col("a").alias("box_id")), "box_id", "left_anti"))
+    extra = graph.cut(candidate.join(pairs.select(F.col("b").alias("box_id")), "box_id", "left_anti"))
     other = nearest_conflicts(missing, extra, ["plan_id"], conflict).select(F.col("golden_id").alias("box_id"), F.lit(True).alias("met"))
     gone = missing.join(other, "box_id", "left").select("plan_id", "box_id", F.lit("golden").alias("side"), F.when(F.col("met"), "conflict").otherwise("missing").alias("status"))
     return matched.unionByName(gone).unionByName(extra.select("plan_id", "box_id", F.lit("candidate").alias("side"), F.lit("extra").alias("status")))

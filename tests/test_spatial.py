@@ -87,3 +87,18 @@ def test_finished_components_leave_the_rounds(spark, monkeypatch):
     assert got == want
     seen = [n for columns, n in rows if "open" in columns]
     assert max(seen) < 400 and max(seen[1:]) <= 41
+
+
+def test_a_matching_round_writes_once_and_shuffles_pairs_twice(spark, monkeypatch):
+    from tallyplan.operators import evaluate, graph
+
+    plans, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    pairs = spark.range(500).selectExpr("id AS a", "id + 1000 AS b", "id % 7 AS cost", "id % 3 AS plan_id").unionByName(spark.range(500).selectExpr("id AS a", "id + 1001 AS b", "9L AS cost", "id % 3 AS plan_id"))
+    got = graph.greedy_matching(pairs.repartition(3))
+    assert sorted((r.a, r.b, r.plan_id) for r in got.collect()) == [(k, k + 1000, k % 3) for k in range(500)]
+    assert len(plans) == 2 and plans[0].count("Exchange hashpartitioning") == 2
+    plans.clear()
+    _, boxes = _boxes(spark, 100, 8)
+    boxes = boxes.withColumnRenamed("id", "box_id").withColumn("symbol", F.lit(1))
+    assert {r.status for r in evaluate.report(boxes, boxes).collect()} == {"matched"} and len(plans) == 3
