@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyplan.functions import geometry as G
-from tallyplan.operators.selection import earlier_pairs, firsts_of_equal, ordered_scan
+from tallyplan.operators.selection import ordered_scan, pairs_without_copies
 from tallyplan.operators.spatial import spatial_join
 
 
@@ -29,8 +29,7 @@ def fair_peaks(peaks: DataFrame, on: list[str], most: int, apart: int) -> DataFr
     """The first ``most`` of ``peaks(id, rank, x, y, w, h)`` in each group: those that are apart from all better ones taken, in
     order, filled up with the best of the rest."""
     near = lambda a, b: (F.abs(a.x - b.x) < apart) & (F.abs(a.y - b.y) < apart)
-    first = firsts_of_equal(peaks, on)
-    taken = ordered_scan(first, earlier_pairs(first, near, on, pad=apart).select("first", "id"), F.count("*") > 0)
+    taken = ordered_scan(peaks, pairs_without_copies(peaks, near, on, pad=apart).select("first", "id", "copy"), F.count("*") > 0)
     marked = peaks.join(taken.withColumn("fair", F.lit(True)), "id", "left")
     place = F.row_number().over(Window.partitionBy(*on).orderBy(F.coalesce("fair", F.lit(False)).desc(), "rank"))
     return marked.withColumn("place", place).where(F.col("place") <= most).select("id", *on)

@@ -27,17 +27,18 @@ def _sided(boxes: DataFrame, suffix: str, keys: list[str]) -> DataFrame:
     return boxes.select(*(F.col(c).alias(c if c in keys else f"{c}{suffix}") for c in boxes.columns))
 
 
-def spatial_join(a: DataFrame, b: DataFrame, predicate: Callable[[Box, Box], Column], on: list[str], cell: int | None = None, pad: int | tuple[int, int] = 0) -> DataFrame:
+def spatial_join(a: DataFrame, b: DataFrame, predicate: Callable[[Box, Box], Column], on: list[str], cell: int | None = None, pad: int | tuple[int, int] = 0, prepare: Callable[[DataFrame, list[str]], DataFrame] = lambda rows, keys: rows) -> DataFrame:
     """Pairs of boxes within ``pad`` of one another (one for both axes, or one for each) that satisfy the predicate; columns
     get the suffixes _a and _b. Cells grow with the pad unless ``cell`` says how large they are.
 
     Each pair is kept only in the cell that holds the corner where their (padded) overlap begins, so there is no distinct: the
     cell that is the first of one of them in both directions. That and four comparisons of sides come before the predicate.
+    ``prepare`` may add columns to the rows of each side, whose cells are given by the keys.
     """
     pads = pad if isinstance(pad, tuple) else (pad, pad)
     cell = cell or CELL + 2 * max(pads)
     keys = [*on, "cx", "cy"]
-    left, right = _sided(_celled(a, cell, pads), "_a", keys), _sided(_celled(b, cell, (0, 0)), "_b", keys)
+    left, right = (_sided(prepare(_celled(side, cell, by), keys), suffix, keys) for side, by, suffix in ((a, pads, "_a"), (b, (0, 0), "_b")))
     box_a, box_b = Box("_a"), Box("_b")
     owner = F.col("corner__a").bitwiseOR(F.col("corner__b")) == 3
     return left.join(right, keys).where(owner & _meeting(box_a, box_b, pads) & predicate(box_a, box_b)).drop("cx", "cy", "corner__a", "corner__b")
