@@ -238,19 +238,14 @@ def test_groups_without_overlaps_leave_the_rounds(spark, monkeypatch):
 
 def _merged_one_by_one(boxes):
     """The sequential merge of (id, plan, x, y, w, h), as a set."""
-    left, k = list(boxes), 0
-    while k < len(left):
-        p = left.pop(k)
-        q = next((q for q in left if q[1] == p[1] and inter(p[2:], q[2:])), None)
-        if q is None:
-            left.insert(k, p)
-            k += 1
-            continue
-        left.remove(q)
-        x, y = min(p[2], q[2]), min(p[3], q[3])
-        left.append((min(p[0], q[0]), p[1], x, y, max(p[2] + p[4], q[2] + q[4]) - x, max(p[3] + p[5], q[3] + q[5]) - y))
-        k = 0
-    return set(left)
+    done = []
+    for box in boxes:
+        while met := [d for d in done if d[1] == box[1] and inter(d[2:], box[2:])]:
+            done = [d for d in done if d not in met]
+            ids, x, y, right, bottom = zip(*((i, x, y, x + w, y + h) for i, _, x, y, w, h in [box, *met]), strict=True)
+            box = (min(ids), box[1], min(x), min(y), max(right) - min(x), max(bottom) - min(y))
+        done.append(box)
+    return set(done)
 
 
 def test_a_plan_that_merges_into_one_takes_few_rounds(spark, monkeypatch):
