@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyplan.operators import tiles as T
+from tallyplan.operators.lineage import cut
 from tallyplan.operators.variants import Variant
 
 # Fixed values, shares in percent.
@@ -37,7 +38,7 @@ class Promotion(NamedTuple):
     drop: int = 6
 
 
-def crops(pieces: DataFrame, boxes: DataFrame, pad: int, side: int = 64) -> DataFrame:
+def crops(pieces: DataFrame, boxes: DataFrame, pad: int, side: int = 128) -> DataFrame:
     """``boxes(id, plan_id, x, y, w, h, ...)`` with the plan around each, ``pad`` pixels wider on all sides, as ``bits``, and
     the plan's ``rows`` and ``columns`` (null where no ink is near).
 
@@ -51,9 +52,10 @@ def crops(pieces: DataFrame, boxes: DataFrame, pad: int, side: int = 64) -> Data
     kept = boxes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
+        for batch in T.portions(batches):
+            out, sizes = [], []
             for x, y, w, h, parts in zip(*(batch.column(c).to_pylist() for c in (*"xywh", "parts")), strict=True):
+                sizes.append((parts[0]["rows"], parts[0]["columns"]) if parts else (None, None))
                 mask = np.zeros((h + 2 * pad, w + 2 * pad), dtype=bool)
                 for part in parts or []:
                     a, b = max(part["r"], y - pad), min(part["r"] + part["th"], y + h + pad)
@@ -62,7 +64,7 @@ def crops(pieces: DataFrame, boxes: DataFrame, pad: int, side: int = 64) -> Data
                         piece = T.unpacked(part["bits"], part["th"], part["tw"])
                         mask[a - y + pad : b - y + pad, p - x + pad : q - x + pad] = piece[a - part["r"] : b - part["r"], p - part["c"] : q - part["c"]]
                 out.append(T.packed(mask))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary()), *(pa.array([p[0][c] if p else None for p in batch.column("parts").to_pylist()], pa.int32()) for c in ("rows", "columns"))], [*kept, "bits", "rows", "columns"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary()), *(pa.array([n[k] for n in sizes], pa.int32()) for k in (0, 1))], [*kept, "bits", "rows", "columns"])
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema) + ", bits binary, rows int, columns int"
     return found.select(*kept, "parts").mapInArrow(run, kind)
@@ -90,19 +92,24 @@ def shifted(rows: np.ndarray, by: int, width: int) -> np.ndarray:
     return out
 
 
-def common_at(plan: np.ndarray, *templates: np.ndarray) -> Iterator[tuple[int, int, tuple[int, ...], int]]:
-    """(row, column, counts of common ink with each template, the plan's ink under them) at every displacement of templates of
-    one size over a plan: rows of words are shifted once per column, and bits counted word by word."""
+def counts_at(plan: np.ndarray, *templates: np.ndarray, at_once: int = 16) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """(first column, counts of common ink with each template, the plan's ink under them), the counts as (column, row) of the
+    displacement, for all displacements of templates of one size over a plan, so many columns at a time: rows of words are
+    shifted once per column, and bits counted word by word."""
     h, w = templates[0].shape
     rows = words(plan)
     laid = [words(t) for t in templates]
-    for c in range(plan.shape[1] - w + 1):
-        under = shifted(rows, c, w)
-        views = np.lib.stride_tricks.sliding_window_view(under, h, axis=0)  # (displacement, word, row)
-        counts = [np.bitwise_count(views & t.T[None]).sum(axis=(1, 2)) for t in laid]
-        ink = np.bitwise_count(views).sum(axis=(1, 2))
-        for r in range(len(ink)):
-            yield r, c, tuple(int(n[r]) for n in counts), int(ink[r])
+    for first in range(0, plan.shape[1] - w + 1, at_once):
+        under = np.stack([shifted(rows, c, w) for c in range(first, min(first + at_once, plan.shape[1] - w + 1))])
+        views = np.lib.stride_tricks.sliding_window_view(under, h, axis=1)  # (column, displacement, word, row)
+        yield first, [np.bitwise_count(views & t.T).sum(axis=(2, 3), dtype=np.int64) for t in laid], np.bitwise_count(views).sum(axis=(2, 3), dtype=np.int64)
+
+
+def common_at(plan: np.ndarray, *templates: np.ndarray) -> Iterator[tuple[int, int, tuple[int, ...], int]]:
+    """(row, column, counts of common ink with each template, the plan's ink under them) at every displacement."""
+    for first, counts, ink in counts_at(plan, *templates):
+        for c, r in np.ndindex(*ink.shape):
+            yield r, first + c, tuple(int(n[c, r]) for n in counts), int(ink[c, r])
 
 
 def context_margin(h: int, w: int) -> int:
@@ -156,13 +163,17 @@ def best_fit(plan: np.ndarray, x0: int, y0: int, x: int, y: int, rule: Promotion
         view[:, : max(0, -x0)], view[:, max(0, size[1] - x0) :] = False, False
     top, left = y - r - y0, x - r - x0
     near = view[top : top + h + 2 * r, left : left + w + 2 * r]
+    margin, t, e = context_margin(h, w), int(mask.sum()), int(rule.extension.sum())
+    good = []
+    for first, (both, more), ink in counts_at(near, mask, rule.extension):
+        for c, dr in np.argwhere((more * 100 >= rule.extra * e) & (ink > 0)).tolist():
+            good.append((dr, first + c, int(both[c, dr]), int(more[c, dr]), int(ink[c, dr])))
+    if not good:
+        return None
     sums = np.zeros((view.shape[0] + 1, view.shape[1] + 1), dtype=np.int64)
     sums[1:, 1:] = view.cumsum(axis=0, dtype=np.int64).cumsum(axis=1)
-    margin, t, e = context_margin(h, w), int(mask.sum()), int(rule.extension.sum())
     best, best_key = None, None
-    for dr, dc, (both, more), ink in common_at(near, mask, rule.extension):
-        if more * 100 < rule.extra * e or not ink:
-            continue
+    for dr, dc, both, more, ink in good:
         a, b = max(0, top + dr - margin), min(view.shape[0], top + dr + h + margin)
         p, q = max(0, left + dc - margin), min(view.shape[1], left + dc + w + margin)
         context = int(sums[b, q] - sums[a, q] - sums[b, p] + sums[a, p])
@@ -183,6 +194,7 @@ def promote(pieces: DataFrame, hits: DataFrame, promotions: list[Promotion]) ->
     ``hits(id, plan_id, template_id, scale, turn, mirrored, x, y, w, h, verification)``; out come the same columns with
     promoted_from (null if it stays), extra, coverage, purity and context of the new mask.
     """
+    hits = cut(hits) if promotions else hits  # they are read three times, and finding them is most of the work
     by_child: dict[tuple, list[Promotion]] = {}
     for rule in promotions:
         by_child.setdefault(rule.child, []).append(rule)
@@ -198,7 +210,7 @@ def promote(pieces: DataFrame, hits: DataFrame, promotions: list[Promotion]) ->
     bounds = {f.name: f.dataType.simpleString() for f in children.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.portions(batches):
             out = []
             for row in batch.to_pylist():
                 plan = T.unpacked(row["bits"], row["h"] + 2 * reach, row["w"] + 2 * reach)

@@ -144,15 +144,20 @@ def window_sums(mask: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 class Correlator:
-    """Counts of common ink of one mask with many templates at every place, by products of transforms; exact, since rounded."""
+    """Counts of common ink of one mask with many templates at every place, by products of transforms; exact, since rounded.
+    Masks are widened to a size of small factors. ``known`` keeps the templates' transforms for further masks of the size."""
 
-    def __init__(self, mask: np.ndarray) -> None:
-        self.mask, self.shape = mask, mask.shape
-        self.transform = np.fft.rfft2(mask.astype(np.float64))
+    def __init__(self, mask: np.ndarray, known: dict[tuple, np.ndarray] | None = None) -> None:
+        self.mask, self.shape, self.known = mask, mask.shape, {} if known is None else known
+        self.wide = tuple(-(-n // 32) * 32 for n in mask.shape)
+        self.transform = np.fft.rfft2(mask.astype(np.float64), self.wide)
 
     def common(self, template: np.ndarray) -> np.ndarray:
         h, w = template.shape
-        out = np.fft.irfft2(self.transform * np.conj(np.fft.rfft2(template.astype(np.float64), self.shape)), self.shape)
+        key = (self.wide, template.shape, template.tobytes())
+        if key not in self.known:
+            self.known[key] = np.conj(np.fft.rfft2(template.astype(np.float64), self.wide))
+        out = np.fft.irfft2(self.transform * self.known[key], self.wide)
         return np.rint(out[: self.shape[0] - h + 1, : self.shape[1] - w + 1]).astype(np.int64)
 
 
@@ -189,14 +194,16 @@ def template_peaks(pieces: DataFrame, variants: list[tuple[int, int, np.ndarray]
     reach = max(max(peak_radius(m.shape[0]), peak_radius(m.shape[1])) for _, _, m in variants)
     largest = max(max(m.shape) for _, _, m in variants)
     masks = [(t, turn, m.astype(bool)) for t, turn, m in variants]
+    known: dict[tuple, np.ndarray] = {}
 
     def compute(w: Window) -> tuple[list, ...]:
         out: list[tuple] = []
-        view, rows, columns = Correlator(w.mask), np.arange(w.mask.shape[0]) + w.r0, np.arange(w.mask.shape[1]) + w.c0
+        ink = {shape: window_sums(w.mask, *shape) for shape in {m.shape for _, _, m in masks}}
+        view, rows, columns = Correlator(w.mask, known), np.arange(w.mask.shape[0]) + w.r0, np.arange(w.mask.shape[1]) + w.c0
         for template_id, turn, mask in masks:
             h, wide = mask.shape
             common = view.common(mask)
-            value = scores(common, window_sums(w.mask, h, wide), mask)
+            value = scores(common, ink[h, wide], mask)
             r, c = rows[: value.shape[0]], columns[: value.shape[1]]
             on_plan = ((r >= 0) & (r + h <= w.rows))[:, None] & ((c >= 0) & (c + wide <= w.columns))[None, :]
             value = np.where(on_plan, value, -np.inf)

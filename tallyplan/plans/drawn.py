@@ -65,7 +65,8 @@ def plans(spark, d, strokes: bool = True) -> DataFrame:
                 out.append((vec_id // 64, SIZE, SIZE, r, c, cell_mask(np.array(entries, np.float32), label or 0, strokes)))
             yield T.pieces_batch(out)
 
-    return table(spark, d, "embeddings").select("vec_id", "embedding", "label").mapInArrow(run, T.PIECES)
+    # few bytes are much to draw: dealt out, so that a small file is not one task's work
+    return table(spark, d, "embeddings").select("vec_id", "embedding", "label").repartition("vec_id").mapInArrow(run, T.PIECES)
 
 
 _GLYPHS = ", ".join(f"({t}, {q}, {r}, {c})" for (t, q), mask in TURNED.items() for r, c in np.argwhere(mask).tolist())

@@ -154,3 +154,28 @@ def test_promotions(spark, grown):
         assert any(o[0] == best and (r.x, r.y, r.turn) == (*o[2][:2], o[3].parent.turn) and np.allclose((r.extra, r.coverage, r.purity, r.context, r.verification), o[2][2:]) for o in options)
         assert r.promoted_from == 1 and r.template_id == 2
     assert promoted >= 4 and (grown or got[4].promoted_from is None) and got[99].promoted_from is None
+
+
+def test_counts_of_many_columns_at_once_are_those_of_few():
+    rng = np.random.default_rng(8)
+    plan, template = rng.random((30, 90)) < 0.4, rng.random((11, 40)) < 0.5
+    whole = list(M.counts_at(plan, template, at_once=99))
+    few = list(M.counts_at(plan, template, at_once=3))
+    assert len(whole) == 1 and [f for f, _, _ in few] == list(range(0, 51, 3))
+    assert (np.concatenate([n for _, (n,), _ in few]) == whole[0][1][0]).all() and (np.concatenate([n for _, _, n in few]) == whole[0][2]).all()
+
+
+def test_hits_are_found_once_for_promotions(spark):
+    """Children, their crops and those that stay come from one pass over the hits."""
+    child, parent = np.ones((6, 6), dtype=bool), np.ones((6, 9), dtype=bool)
+    found = M.rules(V.variants(1, child, scales=(100,), mirror=False), V.variants(2, parent, scales=(100,), mirror=False), 30, 2)
+    passed = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    hits = spark.createDataFrame([(k, 9, k % 2 + 1, 100, 0, False, 10 * k, 20, 6, 6, 0.8) for k in range(6)], "id long, plan_id long, template_id long, scale int, turn int, mirrored boolean, x long, y long, w int, h int, verification double")
+    out = M.promote(raster(spark, {9: np.ones((60, 80), dtype=bool)}), hits.mapInArrow(run, hits.schema), found).collect()
+    assert len(out) == 6 and passed.value == 6
