@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,35 @@ def spatial_semi(a: DataFrame, b: DataFrame, predicate: Callable[[Box, Box], Col
     return a.join(hit, identity, "left_anti" if anti else "left_semi")
 
 
+def summarised(boxes: DataFrame, others: DataFrame, predicate: Callable[[Box, Box], Column], on: list[str], keep: list[str], aggregates: list[Column], pad: int = 0) -> DataFrame:
+    """``keep`` of every box, with aggregates over the others within ``pad`` of it that satisfy the predicate; boxes have the suffix
+    _a there, others _b. A box without any stays, and its aggregates see one row of nulls. Equal boxes are not made one.
+
+    A box of half a cell at most is dealt once, to the cell of its corner, and summed up there: the others go to all cells in which
+    the corner of such a box may lie. So boxes are neither copied nor joined with their sums. Larger boxes go to all of their cells.
+    """
+    cell = CELL + 2 * pad
+    reach, keys, pads = cell // 2, [*on, "cx", "cy"], (pad, pad)
+    placed = (F.col("x") + F.col("y") + F.col("w") + F.col("h")).isNotNull()
+    large = placed & (F.greatest("w", "h") > reach)
+    at = lambda name, by: F.floor((F.col(name) + by) / cell)
+    around = lambda name, size: F.explode(F.sequence(at(name, -reach - pad), at(name, F.col(size) + pad)))
+    numbered = boxes.withColumn("row_", F.monotonically_increasing_id())
+
+    def summed(mine: DataFrame, theirs: DataFrame, first: Column, by: list[str]) -> DataFrame:
+        a, b = Box("_a"), Box("_b")
+        same_cell = reduce(Column.__and__, (F.col(f"{k}_a") == F.col(f"{k}_b") for k in keys))
+        pairs = _sided(mine, "_a", []).join(_sided(theirs, "_b", []), same_cell & first & _meeting(a, b, pads) & predicate(a, b), "left")
+        sums = pairs.groupBy(*(F.col(f"{c}_a").alias(c) for c in dict.fromkeys([*keep, *by, "row_"]))).agg(*aggregates)
+        return sums.drop(*({*by, "row_"} - {*keep}))
+
+    once = numbered.where(~large).withColumns({"cx": F.when(placed, at("x", 0)), "cy": F.when(placed, at("y", 0)), **{c: F.coalesce(c, F.lit(0)) for c in "xywh"}})
+    reached = others.withColumn("cx", around("x", "w")).withColumn("cy", around("y", "h")).withColumns({c: F.coalesce(c, F.lit(0)) for c in "xywh"})
+    owner = F.col("corner__a").bitwiseOR(F.col("corner__b")) == 3
+    rest = summed(_celled(numbered.where(large), cell, pads), _celled(others, cell, (0, 0)), owner, [])
+    return summed(once, reached, F.lit(True), keys).unionByName(rest)
+
+
 def overlapping(a: Box, b: Box) -> Column:
     return intersection(a, b) > 0
 

@@ -122,3 +122,48 @@ def test_hits_are_dealt_once_to_the_nearest_text(spark):
         tree.extend(node.children().apply(k) for k in range(node.children().length()))
     dealt = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node.children().apply(1)).count()
     assert dealt == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("pad", [0, 30])
+def test_summaries_equal_brute_force(spark, pad):
+    """Small, large and equal boxes, boxes without a place, a size or a plan, and plans without any other box."""
+    rng = random.Random(9)
+    size = lambda: rng.choice([0, 1, 40, 127, 128, 129, 300, 900])
+    rows = [(k, k % 3, rng.randint(-700, 700), rng.randint(-700, 700), size(), size()) for k in range(150)]
+    rows += [rows[3], rows[3], (200, 0, None, 5, 9, 9), (201, 0, 5, 5, None, 900), (202, None, 0, 0, 500, 9), (203, 7, 0, 0, 9, 9), (204, 7, 0, 0, 500, 500)]
+    others = [(k, k % 3, rng.randint(-700, 700), rng.randint(-700, 700), size(), size()) for k in range(60)] + [(60, None, 0, 0, 50, 50), (61, 0, 0, None, 50, 50)]
+    kind = "id long, plan_id long, x long, y long, w long, h long"
+    apart = lambda a, b, at, size: max(a[at], b[at]) - min(a[at] + a[size], b[at] + b[size])
+    near = lambda a, b: None not in a and None not in b and a[1] == b[1] and apart(a, b, 2, 4) <= pad and apart(a, b, 3, 5) <= pad
+    met = [[b[0] for b in others if near(a, b)] for a in rows]
+    gap = lambda p, ps, q, qs: F.greatest(p, q) - F.least(p + ps, q + qs)
+    within = lambda a, b: (gap(a.x, a.w, b.x, b.w) <= pad) & (gap(a.y, a.h, b.y, b.h) <= pad)
+    sums = [F.count("id_b").alias("n"), F.sum("id_b").alias("sum"), F.count_distinct("h_b").alias("heights")]
+    got = S.summarised(spark.createDataFrame(rows, kind), spark.createDataFrame(others, kind), within, ["plan_id"], ["id", "plan_id"], sums, pad)
+    assert got.columns == ["id", "plan_id", "n", "sum", "heights"]
+    heights = {b[0]: b[5] for b in others}
+    want = [(a[0], a[1], len(m), sum(m) if m else None, len({heights[b] for b in m})) for a, m in zip(rows, met, strict=True)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and max(map(len, met)) > 5
+
+
+@pytest.mark.parametrize("name", ["text_class_hints", "socket_family_resolve"])
+def test_hits_with_texts_are_dealt_once(spark, name):
+    """Neither copied for the cells of the join nor dealt again to be joined with what was found."""
+    data, before = "/root/testdata/sf0.001", {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    hits = spark.read.parquet(f"{data}/lineitem.parquet").where("l_partkey % 29 < 5" if name == "socket_family_resolve" else "true").count()
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = QUERIES[name](spark, data)
+        assert df.count() == hits
+        tree, dealt = [df._jdf.queryExecution().executedPlan()], 0
+        df.collect()
+        while tree:
+            node = tree.pop()
+            if node.nodeName() == "Exchange" and "lineitem.parquet" in node.toString():
+                dealt += node.metrics().apply("shuffleRecordsWritten").value()
+            tree.extend(node.children().apply(k) for k in range(node.children().length()))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert dealt == hits
