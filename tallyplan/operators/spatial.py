@@ -34,12 +34,14 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: Callable[[Box, Box], Col
 
     Each pair is kept only in the cell that holds the corner where their (padded) overlap begins, so there is no distinct: the
     cell that is the first of one of them in both directions. That and four comparisons of sides come before the predicate.
+    A relation joined with itself has half of the pad on either side, so that both sides are the same rows and shuffled once.
     ``prepare`` may add columns to the rows of each side, whose cells are given by the keys.
     """
     pads = pad if isinstance(pad, tuple) else (pad, pad)
     cell = cell or CELL + 2 * max(pads)
     keys = [*on, "cx", "cy"]
-    left, right = (_sided(prepare(_celled(side, cell, by), keys), suffix, keys) for side, by, suffix in ((a, pads, "_a"), (b, (0, 0), "_b")))
+    pad_a, pad_b = [tuple(-(-p // 2) for p in pads)] * 2 if a is b else (pads, (0, 0))
+    left, right = (_sided(prepare(_celled(side, cell, by), keys), suffix, keys) for side, by, suffix in ((a, pad_a, "_a"), (b, pad_b, "_b")))
     box_a, box_b = Box("_a"), Box("_b")
     owner = F.col("corner__a").bitwiseOR(F.col("corner__b")) == 3
     return left.join(right, keys).where(owner & _meeting(box_a, box_b, pads) & predicate(box_a, box_b)).drop("cx", "cy", "corner__a", "corner__b")

@@ -9,7 +9,7 @@ from tallyplan.operators import resolve as R
 from tallyplan.operators import spatial as S
 from tallyplan.plans.base import D2, INTER, hits, query, table, with_hits
 from tallyplan.plans.raster import TEMPLATES, patches
-from tallyplan.plans.spatial import _TEXTS, BOX, _on_plans
+from tallyplan.plans.spatial import _TEXTS, BOX, _on_plans, centres
 
 
 @query(
@@ -44,13 +44,8 @@ def fair_peaks(spark, d):
 @query("nearby_boxes", with_hits("SELECT a.hit_id AS a, b.hit_id AS b FROM hits a JOIN hits b ON a.plan_id = b.plan_id AND a.hit_id < b.hit_id AND a.template_id = b.template_id WHERE abs(2*a.x + a.w - 2*b.x - b.w) <= 160 AND abs(2*a.y + a.h - 2*b.y - b.h) <= 160"))
 def nearby_boxes(spark, d):
     """Pairs of one symbol within eighty pixels on both axes."""
-    boxes = hits(spark, d).select(*BOX, "template_id")
-
-    def near(p, q):
-        (px, py), (qx, qy) = p.center2, q.center2
-        return (F.col("hit_id_a") < F.col("hit_id_b")) & (F.abs(px - qx) <= 160) & (F.abs(py - qy) <= 160)
-
-    return S.spatial_join(boxes, boxes, near, ["plan_id", "template_id"], cell=1024, pad=80).select(F.col("hit_id_a").alias("a"), F.col("hit_id_b").alias("b"))
+    points = centres(hits(spark, d), "hit_id", "template_id")
+    return S.spatial_join(points, points, lambda a, b: F.col("hit_id_a") < F.col("hit_id_b"), ["plan_id", "template_id"], cell=2048, pad=160).select(F.col("hit_id_a").alias("a"), F.col("hit_id_b").alias("b"))
 
 
 @query(

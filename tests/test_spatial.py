@@ -167,3 +167,27 @@ def test_hits_with_texts_are_dealt_once(spark, name):
         for c, v in before.items():
             spark.conf.set(c, v)
     assert dealt == hits
+
+
+@pytest.mark.parametrize("pad", [0, 25, (70, 5)])
+def test_pads_between_two_relations_equal_brute_force(spark, pad):
+    (some, a), (more, b) = _boxes(spark, 90, 11), _boxes(spark, 130, 12)
+    px, py = pad if isinstance(pad, tuple) else (pad, pad)
+    apart = lambda a, b, at, size: max(a[at], b[at]) - min(a[at] + a[size], b[at] + b[size])
+    want = sorted((p[0], q[0]) for p in some for q in more if p[1] == q[1] and apart(p, q, 2, 4) <= px and apart(p, q, 3, 5) <= py)
+    got = S.spatial_join(a, b, lambda p, q: F.lit(True), ["plan_id"], pad=pad).select("id_a", "id_b").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("name", ["nearby_boxes", "neighbour_alternatives", "axis_overlap"])
+def test_padded_joins_with_itself_shuffle_one_side(spark, name):
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    join = plan[plan.index("SortMergeJoin") :]
+    assert join.count("+- Exchange hashpartitioning(") == 1 and join.count("ReusedExchange") == 1
