@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyplan.operators import conflicts as C
 from tallyplan.plans import conflicts as P
@@ -267,3 +268,18 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     state, counts = C.resolve(C.as_finals(none), none, P.words(none), C.stages(P.FLOOR_BOX))
     assert state.count() == 0 and counts.count() == 0
+
+
+def test_stages_write_what_they_may_change(spark, monkeypatch):
+    """Final hits are written once, hits that no stage reads never, and what stages write is less than the final hits."""
+    tables, real = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df: (lambda out: tables.append(out) or out)(real(df)))
+    hits, chain = P.colored(spark, "/root/testdata/sf0.001"), C.stages(P.FLOOR_BOX)
+    first = P.finals(hits)
+    _, counts = C.resolve(first, hits, P.words(hits), chain)
+    n, finals = hits.count(), first.count()
+    read, words, kept, *new = (t.count() for t in tables)
+    assert (kept, len(new)) == (finals, len(chain) - 1)
+    assert read < n / 3 and words < n / 3 and 0 < sum(new) < finals / 2
+    changed = {r.turn: r.n for r in counts.groupBy("turn").agg(F.sum("changed").alias("n")).collect()}
+    assert changed == {k: table.where(F.col("stage") == name).count() for k, (table, (name, _)) in enumerate(zip(tables[3:], chain))} | {len(chain) - 1: 0}
