@@ -64,7 +64,10 @@ def _met(golden: DataFrame, candidate: DataFrame, on: list[str], distance: int,
 
 
 def match_snapshots(golden: DataFrame, candidate: DataFrame, on: list[str], distance: int = 18, size: int = 12) -> DataFrame:
-    return graph.greedy_matching(candidate_pairs(golden, candidate, on, distance, size))
+    """(a, b, cost, on...): one-to-one matching, nearest first. Only pairs that aren't the nearest for both go to the rounds."""
+    pairs, _ = _met(golden, candidate, on, distance, size)
+    pairs = stored(pairs.where("chosen or open").select(F.col("box_id_a").alias("a"), F.col("box_id_b").alias("b"), "cost", *(F.col(f"{c}_a").alias(c) for c in on), "chosen"))
+    return pairs.where("chosen").drop("chosen").union(graph.greedy_matching(pairs.where("not chosen").drop("chosen")))
 
 
 def nearest_conflicts(golden: DataFrame, candidate: DataFrame, on: list[str], distance: int) -> DataFrame:
