@@ -56,7 +56,7 @@ def test_matching_and_report_equal_the_scan(spark, monkeypatch, cell):
     assert sorted(map(str, map(tuple, report.select("plan_id", "box_id", "side", "status").collect()))) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize(("name", "most"), [("snapshot_match_greedy", (2, 0)), ("snapshot_report", (2, 2))])
+@pytest.mark.parametrize(("name", "most"), [("snapshot_match_greedy", (2, 0)), ("snapshot_report", (2, 2)), ("regression_gate", (2, 2))])
 def test_snapshots_are_shuffled_once(spark, monkeypatch, name, most):
     """By the join that finds the pairs; judging pairs and finding boxes without one shuffle nothing. Rounds see the pairs in dispute alone."""
     plans, rounds, real, matching = [], [], E.stored, E.graph.greedy_matching
